@@ -66,7 +66,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str, values: list[str], rows_in_bucket: int = 500, most_buckets: int = 1024) -> DataFrame:
-    """Each row with the next one's ``values`` as next_<value>, ids descending (nulls last; ties by a hash of the values); after the last row, the first.
+    """Each row with the next one's ``values`` as next_<value>, ids descending (nulls last; ties by a hash of the first value); after the last row, the first.
 
     Rows are dealt to buckets of neighbouring ids, whose bounds are percentiles; the first row of a bucket is also put
     at the end of the bucket above, so a window in each bucket sees every neighbour and no task sees the whole table.
@@ -76,21 +76,20 @@ def with_next(docs: DataFrame, id_col: str, values: list[str], rows_in_bucket: i
     buckets = max(1, min(most_buckets, n // rows_in_bucket))
     cuts = docs.select(F.percentile_approx(id_col, [i / buckets for i in range(1, buckets)] or [0.5], 10_000).alias("c")).first()["c"] if n and buckets > 1 else []
     cuts = sorted(set(cuts or []))
-    held = docs.withColumn("_h", F.xxhash64(*values))
+    held = docs.withColumn("_h", F.xxhash64(values[0]))
     bucket = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<long>"), lambda c: c <= F.col(id_col))) if cuts else F.lit(0))
     dealt = held.withColumn("_b", bucket)
     # at most most_buckets + 1 rows: the first of each bucket, and the bucket that goes before
-    firsts = docs.select(id_col, *values).withColumn("_h", F.xxhash64(*values)).withColumn("_b", bucket).groupBy("_b").agg(F.min(F.struct((-F.col(id_col)).alias("k"), "_h")).alias("f"))
+    firsts = docs.select(id_col, F.xxhash64(values[0]).alias("_h")).withColumn("_b", bucket).groupBy("_b").agg(F.min(F.struct((-F.col(id_col)).alias("k"), "_h")).alias("f"))
     every = Window.orderBy(F.col("_b").desc())
     firsts = firsts.withColumn("_to", F.coalesce(F.lag("_b").over(every), F.min("_b").over(Window.partitionBy())))
     firsts = firsts.select((-F.col("f.k")).alias("_fk"), F.col("f._h").alias("_fh"), "_to")
     dealt = dealt.join(F.broadcast(firsts), dealt[id_col].eqNullSafe(F.col("_fk")) & (F.col("_h") == F.col("_fh")), "left")
     own = F.struct(F.col("_b").alias("b"), F.lit(False).alias("ghost"))
     dealt = dealt.withColumn("_p", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("_to").alias("b"), F.lit(True).alias("ghost"))))))
-    w = Window.partitionBy("_p.b").orderBy("_p.ghost", *order)
-    for v in values:
-        dealt = dealt.withColumn(f"next_{v}", F.lead(v).over(w))
-    return dealt.where("not _p.ghost").drop("_h", "_b", "_fk", "_fh", "_to", "_p")
+    dealt = dealt.select(*docs.columns, "_h", F.col("_p.b").alias("_in"), F.col("_p.ghost").alias("_ghost"))
+    w = Window.partitionBy("_in").orderBy("_ghost", *order)
+    return dealt.select("*", F.lead(F.struct(*values)).over(w).alias("_next")).where("not _ghost").select(*docs.columns, *[F.col(f"_next.{v}").alias(f"next_{v}") for v in values])
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
