@@ -175,15 +175,45 @@ def text_batches(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> It
 
 # --------------------------------------------------------------------------- connected components
 
+#: Edges (16 bytes each) that one task may join by itself.
+FEW_EDGES = 200_000
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids on the edges (a, b), and the smallest id that each reaches."""
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a):]
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        while not np.array_equal(new[new], new):
+            new = new[new]
+        if np.array_equal(new, root):
+            return ids, ids[root]
+        root = new
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    if parts:
+        ids, low = roots(*(np.concatenate(x) for x in zip(*parts)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(low, pa.int64())], names=["id", "component"])
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(id, component): the smallest id that each end of an edge (a, b) reaches.
 
-    Alternates large-star and small-star steps (a node's larger neighbours, then its smaller ones, move to the smallest
-    neighbour) until the edges stop changing; every step is two joins on thin rows, so AQE can split a hot node.
+    Up to FEW_EDGES edges, which are counted first, are joined by one task. More are joined by all tasks, which alternate large-star and
+    small-star steps (a node's larger neighbours, then its smaller ones, move to the smallest neighbour) until the edges stop changing; every step is two joins on thin rows, so AQE can split a hot node.
     """
     cur = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     size = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     was, step = size(cur), 0
+    if was[0] <= FEW_EDGES:
+        return cur.coalesce(1).mapInArrow(_joined, "id long, component long")
     while was[0]:
         both = cur.union(cur.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

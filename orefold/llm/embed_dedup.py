@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orefold.llm.common import Scratch, components
+from orefold.llm.common import Scratch, components, roots
 
 #: Vectors of the fitting sample (at most; chosen by hash), pivots per vector list, and the largest block of a list.
 SAMPLE, NEAREST, BLOCK = 4096, 8, 1024
@@ -78,18 +78,13 @@ def _linked(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         np.add.at(n_links, a, mult[b])
         np.add.at(n_links, b, mult[a])
         links.append((a, b))
-    root = np.argsort(np.argsort(ids, kind="stable"), kind="stable")  # ranks of ids: labels that only fall
-    by_rank = np.sort(ids, kind="stable")
-    while links:  # the components of this list, so that one edge for each vector tells them
-        was = root.copy()
-        for a, b in links:
-            m = np.minimum(root[a], root[b])
-            np.minimum.at(root, a, m)
-            np.minimum.at(root, b, m)
-        if (was == root).all():
-            break
+    to = ids.copy()
+    if links:
+        node, low = roots(ids[np.concatenate([a for a, _ in links])], ids[np.concatenate([b for _, b in links])])
+        at = np.minimum(np.searchsorted(node, ids), max(0, len(node) - 1))
+        to = np.where(node[at] == ids, low[at], ids) if len(node) else ids  # one edge for each vector tells this list's components
     keep = n_links > 0
-    return pd.DataFrame({"vec": ids[keep], "links": n_links[keep], "to": by_rank[root[keep]]})
+    return pd.DataFrame({"vec": ids[keep], "links": n_links[keep], "to": to[keep]})
 
 
 def near_vectors(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", group_col: str = "label", *, threshold: float = 0.98, pivots: int = 0) -> DataFrame:
