@@ -6,18 +6,22 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from orefold.llm.common import Scratch, components, run_hashes, shingles, word_hashes
+from orefold.llm.common import Scratch, components, roots, run_hashes, shingles, word_hashes
 
 #: The two collections hold COLLECTION half keys of HALF minhashes each. A pair of similarity s shares a table with
 #: probability (1 - (1 - s^HALF)^COLLECTION)^2: 0.9995 at 0.8, 0.0002 at 0.17. The COLLECTION^2 = 256 tables of
 #: 2 * HALF = 8 rows cost 2 * COLLECTION * HALF = 128 minhashes instead of 2048.
 COLLECTION, HALF = 16, 4
 SEED = 20_261
+#: Shingles (and 200 a text) of a block of candidate texts that are compared in one task.
+BLOCK = 1 << 18
 
 
 def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,14 +104,57 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) ->
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(rep, set): the shingle set of each text, as sorted 64-bit numbers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, h, bounds in word_hashes(batch.column(1)):
+                sets = [shingles(h[bounds[i]: bounds[i + 1]], width).tobytes() for i in range(len(bounds) - 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(sets, pa.binary())], names=["rep", "set"])
+
+    return texts.select("id", "text").mapInArrow(run, "rep long, set binary")
+
+
+def _linked(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """Links between two blocks of a group (or in one): the least edges that join what is linked, other than by label."""
+    x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
+    block, label, ids = pdf["block"].to_numpy(), pdf["label"].to_numpy(), pdf["rep"].to_numpy()
+    left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    sets = [np.frombuffer(v, dtype=np.uint64) for v in pdf["set"]]
+    sizes = np.array([len(v) for v in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    values, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    use = np.flatnonzero(count > 1)  # only shared shingles can meet
+    new = np.full(len(values), -1, dtype=np.int64)
+    new[use] = np.arange(len(use))
+    col = new[col]
+    row, col = row[col >= 0], col[col >= 0]
+    both = np.zeros((len(left), len(right)), dtype=np.float32)
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for a in range(0, len(use), 4096):
+        lo, hi = np.searchsorted(col, [a, a + 4096])
+        m = np.zeros((len(sets), min(4096, len(use) - a)), dtype=np.float32)
+        m[row[lo:hi], col[lo:hi] - a] = 1
+        both += m[left] @ m[right].T
+    union = sizes[left][:, None] + sizes[right][None, :] - both
+    i, j = np.nonzero((100 * both >= threshold * union) & (label[left][:, None] != label[right][None, :]))
+    a, b = ids[left[i]], ids[right[j]]
+    node, root = roots(a, b) if len(a) else (a, b)
+    near = node != root
+    return pd.DataFrame({"a": node[near], "b": root[near]})
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 4, threshold: int = 80) -> DataFrame:
     """Groups of documents whose shingle sets are linked: (doc_id, n_shingles, component_id, kept), a row for each input row.
 
     Equal sets form one class before any search, so copies cost one row each. The half keys of the classes are counted
     first; only classes that share a half key of both collections get table keys, which pair their shared half keys.
-    In each table every class meets the class of the smallest id; pairs are confirmed on full sets, and the links'
-    components computed. Tables that still hold several components go on with twice as many centres each round until
-    each pair of classes that share a table is linked, in one component, or refused; no table or group is capped.
+    In each table every class meets the class of the smallest id, and the pairs are confirmed on full sets. Tables that
+    still hold classes of several components go on: their classes form candidate groups, which are dealt to blocks of
+    bounded size in order of set size, and the pairs of blocks that may hold links compare all their sets and return a spanning
+    forest. So each pair of classes that share a table is linked, in one component, or refused; nothing is capped, and
+    no group meets in one task.
 
     Null and empty texts have no set (n_shingles 0) and no links. A row without id has a null component and is kept.
     Ids should be unique; repeated rows with one id are one node, and each gets its row. Extra columns are not read.
@@ -125,37 +172,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         return keys.join(often, "key").groupBy("rep").agg(F.collect_set("key").alias(side))
 
     tables = shared("a").join(shared("b"), "rep").select("rep", F.explode("a").alias("ka"), "b").select("rep", "ka", F.explode("b").alias("kb")).select("rep", F.xxhash64("ka", "kb").alias("key"))
-    tables = s.save(tables, "keys")
-    often = tables.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    tables = tables.join(often, "key").join(nodes.select("rep", F.col("n_shingles").alias("n")), "rep")
-    live = s.save(tables.select("key", "rep", "n", F.col("rep").alias("label")), "live-0")
-    texts = s.save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(live.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    s.drop("keys")
-
-    edges = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "id long, component long")
-    tried = spark.createDataFrame([], "a long, b long")
-    low, high, step = 0, 1, 0
-    while not live.isEmpty():
-        if step == 0:
-            centres = live.groupBy("key").agg(F.min(F.struct("rep", "n", "label")).alias("c")).select("key", "c.*", F.lit(1).alias("rank"))
-            ranked = live.withColumn("rank", F.lit(2))
-        else:
-            ranked = s.save(live.selectExpr("*", "row_number() over (partition by key order by rep) as rank"), f"ranked-{step}")
-            centres = ranked.where((F.col("rank") > low) & (F.col("rank") <= high))
-        c = centres.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("rank").alias("ra"))
-        pairs = (ranked.join(c, "key").where("rep > a and la <> label and rank > ra and 100 * least(n, na) >= %d * greatest(n, na)" % threshold)
-                 .select("a", F.col("rep").alias("b")).distinct())
-        pairs = s.save(pairs.join(tried, ["a", "b"], "left_anti") if step else pairs, f"pairs-{step}")
-        tried = tried.union(pairs)
-        edges = edges.union(s.save(_verified(pairs, texts, width, threshold), f"edges-{step}"))
-        labels = s.save(components(edges, s, f"cc{step}"), f"labels-{step}")
-        named = live.drop("label").join(labels, live.rep == labels.id, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
-        open_keys = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c")).where(f"x <> y and c > {high + 1}").select("key")
-        live = s.save(named.join(open_keys, "key"), f"live-{step + 1}")
-        s.drop(f"live-{step}", f"ranked-{step}")
-        step += 1
-        low, high = high, high * 2
+    first = s.save(tables.select("key", "rep", F.min("rep").over(Window.partitionBy("key")).alias("low"), F.count("*").over(Window.partitionBy("key")).alias("c")).where("c > 1").drop("c"), "tables")
+    sizes = nodes.select("rep", F.col("n_shingles").alias("n"))
+    some = first.select(F.col("rep").alias("id")).distinct()
+    texts = s.save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(some, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    pairs = first.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = pairs.join(sizes.withColumnsRenamed({"rep": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"rep": "b", "n": "nb"}), "b").where(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)").select("a", "b")
+    edges = s.save(_verified(pairs, texts, width, threshold), "edges")
+    labels = s.save(components(edges, s, "stars"), "labels")
+
+    named = first.join(labels, first.rep == labels.id, "left").select("key", "rep", "low", F.coalesce("component", "rep").alias("label"))
+    seen = Window.partitionBy("key")
+    unsettled = named.select("*", F.min("label").over(seen).alias("p"), F.max("label").over(seen).alias("q")).where("p <> q")
+    unsettled = s.save(unsettled.groupBy("rep", "low").agg(F.first("label").alias("label")), "unsettled")
+    groups = components(unsettled.select(F.col("rep").alias("a"), F.col("low").alias("b")), s, "groups").select(F.col("id").alias("rep"), F.col("component").alias("g"))
+    members = unsettled.select("rep", "label").distinct().join(groups, "rep").join(sizes, "rep")
+    fill = F.sum(F.col("n") + 200).over(Window.partitionBy("g").orderBy("n", "rep"))
+    members = s.save(members.withColumn("block", F.floor(fill / BLOCK)), "members")
+    blocks = members.groupBy("g", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+    other = blocks.toDF("g", "y", "m0", "m1", "k0", "k1")
+    meet = blocks.withColumnRenamed("block", "x").join(other, "g").where(f"x <= y and 100 * n1 >= {threshold} * m0 and not (l0 = l1 and k0 = k1 and l0 = k0)").select("g", "x", "y")
+    meet = s.save(meet, "meet")
+    dealt = meet.select("g", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    full = members.join(_sets(texts.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), width), "rep")
+    met = full.join(dealt, ["g", "block"]).select("g", "x", "y", "block", "rep", "label", "set")
+    late = s.save(met.groupBy("g", "x", "y").applyInPandas(lambda pdf: _linked(pdf, threshold), "a long, b long"), "late")
+    labels = s.save(components(late.union(labels.select("id", "component")), s, "all"), "components")
+    s.drop("tables", "texts", "unsettled", "members")
+
     thin = rows.select("id", "n_shingles", "set_id")
     out = (thin.join(classes, "set_id", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
            .select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "rep", "id").alias("component_id")))
