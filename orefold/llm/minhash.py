@@ -202,7 +202,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     thin = rows.select("id", "n_shingles", "set_id")
     out = (thin.join(classes, "set_id", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-           .select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "rep", "id").alias("component_id")))
+           .select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
