@@ -41,7 +41,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", carry: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, key, start, and ``carry`` as _<name>): what the mix takes of each row of ``docs``.
+    """(doc_id, source, size, source_size, target, taken, key, start, and ``carry`` as _carry_<name>): what the mix takes of each row of ``docs``.
 
     A source's rows stand in the order of an MD5 of seed and id; passes go round it until its target is filled, so a row
     is taken whole in each full pass and the last row of the last pass in part. ``start`` is the row's place in a pass,
@@ -50,7 +50,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Null and empty texts have size 0 and are taken 0 times; a null source is a source. Rows with one id and source are
     ordered by size. An all-empty source has target 0. Extra columns are not read.
     """
-    thin = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), *[F.col(c).alias(f"_{c}") for c in carry])
+    thin = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
     thin = thin.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     thin = thin.withColumn("bucket", F.substring("key", 1, DIGITS)).withColumn("source", F.struct(F.col("source").alias("s")))
     sums = thin.groupBy("source", "bucket").agg(F.sum("size").alias("b"))
@@ -63,7 +63,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     start = F.col("at") + F.col("within")
     passes = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), words - passes * F.col("source_size") - start))
-    return placed.select("doc_id", "size", "source_size", "target", (passes * F.col("size") + part).alias("taken"), "key", start.alias("start"), F.col("source.s").alias("source"), *[f"_{c}" for c in carry])
+    return placed.select("doc_id", "size", "source_size", "target", (passes * F.col("size") + part).alias("taken"), "key", start.alias("start"), F.col("source.s").alias("source"), *[f"_carry_{c}" for c in carry])
 
 
 def position(start, target, slope: float = 0.0):
@@ -110,10 +110,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     there is such a column, follows the text.
     """
     m = _passes(mix(docs, id_col, text_col, source_col, carry=docs.columns, **options), slopes)
-    text = F.col(f"_{text_col}")
+    text = F.col(f"_carry_{text_col}")
     cut = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")).otherwise(text)
     m = m.withColumn("_cut", cut)
-    return m.select(*[F.col("_cut").alias(c) if c == text_col else F.length("_cut").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_{c}").alias(c) for c in docs.columns])
+    return m.select(*[F.col("_cut").alias(c) if c == text_col else F.length("_cut").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_carry_{c}").alias(c) for c in docs.columns])
 
 
 def mix_report(spark, docs: DataFrame, *, slopes: Sequence[float] = SLOPES) -> DataFrame:
