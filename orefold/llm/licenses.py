@@ -14,7 +14,7 @@ from orefold.llm.common import run_hashes, word_hashes, words_of
 
 #: Words of a fingerprint's run and runs of a winnowing window: any RUN + WINDOW - 1 equal words share a fingerprint.
 RUN, WINDOW = 3, 3
-#: Least share of a template's words that a match covers; half width of the alignment's band, in words.
+#: Least share of a template's words that a match covers; greatest half width of the alignment's band, in words (an eighth of a shorter template).
 COVERAGE, BAND = 0.75, 12
 
 # Notices and texts of public licences.
@@ -125,17 +125,16 @@ def matches(h: np.ndarray, templates: tuple[tuple[str, str], ...], coverage: flo
             found.setdefault(int(owner[k]), []).append(int(p) - int(place[k]))
     out = []
     for t, offsets in found.items():
-        done = -1 << 60
-        for o in sorted(set(offsets)):  # one alignment for each group of near diagonals
-            if o - done <= BAND:
-                continue
-            a = max(0, o - BAND)
-            pairs = align(h[a: o + BAND + len(words[t])], words[t], o - a)
+        band, k, offsets = min(BAND, max(1, len(words[t]) // 8)), 0, sorted(set(offsets))
+        while k < len(offsets):  # one alignment for each group of near diagonals, at its middle
+            end = int(np.searchsorted(offsets, offsets[k] + 2 * band, side="right"))
+            o, k = (offsets[k] + offsets[end - 1]) // 2, end
+            a = max(0, o - band)
+            pairs = align(h[a: max(a, o + band + len(words[t]))], words[t], o - a, band)
             if len(pairs) >= coverage * len(words[t]):
                 hit = [a + i for i, _ in pairs]
-                cuts = [k for k in range(1, len(hit)) if hit[k] != hit[k - 1] + 1]
+                cuts = [x for x in range(1, len(hit)) if hit[x] != hit[x - 1] + 1]
                 spans = [(hit[x], hit[y - 1]) for x, y in zip([0, *cuts], [*cuts, len(hit)])]
-                done = o
                 out.append((names[t], len(pairs) / len(words[t]), hit[0], hit[-1], spans))
     return sorted(out, key=lambda m: (m[2], m[3], m[0]))
 
