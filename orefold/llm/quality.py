@@ -25,6 +25,7 @@ _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _CLASS[48:58] = 2
 _UPPER = np.zeros(256, dtype=np.int64)
 _UPPER[65:91] = 1
+PART_SLOTS = 1 << 12  # slots whose sums travel as one row
 _PART = 1 << 18  # bytes of a long text that are turned into slots at once
 
 
@@ -95,8 +96,18 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s = slots[a:b][order]
                 first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
                 total[s[first]] += np.add.reduceat(around[order], first, axis=0)
-    at = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at]), pa.array([v.tobytes() for v in total[at]], pa.binary())], names=["slot", "seen", "sums"])
+    for k in range(0, SLOTS, PART_SLOTS):
+        part = slice(k, k + PART_SLOTS)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([seen[part].tobytes()], pa.binary()), pa.array([total[part].tobytes()], pa.binary())], names=["first", "seen", "sums"])
+
+
+def _vectors(parts: pa.Table) -> pa.Table:
+    """Unit word vectors of PART_SLOTS slots, from all tasks' sums; a word counts as its own neighbour, too."""
+    k = parts.column("first")[0].as_py()
+    add = lambda name: sum(np.frombuffer(v.as_py(), dtype=np.int64) for v in parts.column(name))
+    words = add("sums").reshape(-1, DIM) + index_vectors()[k: k + PART_SLOTS] * add("seen")[:, None]
+    length = np.sqrt((words.astype(np.float64) ** 2).sum(1, keepdims=True))
+    return pa.table({"first": pa.array([k], pa.int32()), "words": pa.array([(words / np.where(length > 0, length, 1)).astype(np.float32).tobytes()], pa.binary())})
 
 
 def features(words: np.ndarray, slots: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -176,14 +187,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample: int
     got = rows.groupBy("y").count().count()
     if got < 2:
         return None
-    parts = rows.select("text").coalesce(4).mapInArrow(_contexts, "slot long, seen long, sums binary").toArrow()  # 4 times SLOTS rows at most
-    words, seen = np.zeros((SLOTS, DIM), dtype=np.int64), np.zeros(SLOTS, dtype=np.int64)
-    for slot, count, sums in zip(*(c.to_pylist() for c in parts.columns)):
-        words[slot] += np.frombuffer(sums, dtype=np.int64)
-        seen[slot] += count
-    words = words + index_vectors() * seen[:, None]  # a word counts as its own neighbour, too
-    length = np.sqrt((words.astype(np.float64) ** 2).sum(1, keepdims=True))
-    words = (words / np.where(length > 0, length, 1)).astype(np.float32)
+    sums = rows.select("text").coalesce(4).mapInArrow(_contexts, "first int, seen binary, sums binary")
+    parts = sums.groupBy("first").applyInArrow(_vectors, "first int, words binary").orderBy("first").toArrow()  # SLOTS * DIM floats
+    words = np.concatenate([np.frombuffer(v.as_py(), dtype=np.float32) for v in parts.column("words")]).reshape(SLOTS, DIM)
     sent = spark.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +199,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample: int
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, len(x)) for i in (0, 1)), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     t = rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x array<double>").orderBy("doc_id", "y", "x").toArrow()
-    return train(words, np.array(t.column("x").to_pylist()), np.array(t.column("y").to_pylist(), dtype=float))
+    x = t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM + 3)
+    return train(words, x, t.column("y").to_numpy().astype(float))
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
