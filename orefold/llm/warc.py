@@ -17,6 +17,8 @@ from orefold.llm.files import AtomicFile, open_store
 
 #: Bytes of payload in a chunk row; least payload that a revisit stands for; payload bytes (about) in an archive.
 CHUNK, LEAST, ARCHIVE = 1 << 18, 1000, 16 << 20
+#: Parts into which the revisits of one response are dealt.
+SALTS = 64
 EPOCH = "1970-01-01T00:00:00Z"
 
 CHUNKS = T.StructType([
@@ -25,41 +27,51 @@ CHUNKS = T.StructType([
     T.StructField("payload_digest", T.StringType()), T.StructField("refers_to", T.StringType())])
 
 
-def records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", least: int = LEAST) -> DataFrame:
-    """(id, uri, payload, bytes, digest, refers_to): each row's payload as bytes, and the record that a repeated one stands for.
-
-    Of equal payloads of at least ``least`` bytes the largest id is the response, the others refer to it. Digests are
-    counted before they are joined back, as thin rows, so a payload that a third of all rows share is no hot group.
-    """
+def records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:
+    """(id, uri, payload, bytes, digest): each row's payload as bytes."""
     uri = F.col(url_col).cast("string") if url_col in pages.columns else F.lit(None).cast("string")
     base = pages.select(F.col(id_col).cast("long").alias("id"), uri.alias("uri"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    base = base.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
-    often = base.where((F.col("bytes") >= least) & F.col("id").isNotNull()).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("c")).where("c > 1").select("digest", "first")
-    out = base.join(often, "digest", "left")
-    return out.withColumn("refers_to", F.when(F.col("first").isNotNull() & F.col("id").isNotNull() & (F.col("bytes") >= least) & (F.col("id") != F.col("first")), F.col("first"))).drop("first")
+    return base.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
+
+
+def revisits(recs: DataFrame, least: int = LEAST) -> DataFrame:
+    """(id, digest, refers_to) of the records that repeat another: of equal payloads of at least ``least`` bytes the largest id is the response.
+
+    Only ids and digests are shuffled, not payloads; digests are counted before they are joined back.
+    """
+    thin = recs.where((F.col("bytes") >= least) & F.col("id").isNotNull()).select("id", "digest").distinct()
+    often = thin.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("c")).where("c > 1").select("digest", "refers_to")
+    return thin.join(often, "digest").where("id <> refers_to").select("id", "digest", "refers_to")
 
 
 def _urn(i: int | None, part: int, n: int) -> str:
     return f"<urn:x-record:{i}>" if i is not None else f"<urn:x-record:none-{part}-{n}>"
 
 
-def write(recs: DataFrame, folder: str, archives: int, *, chunk: int = CHUNK) -> DataFrame:
+def write(recs: DataFrame, repeats: DataFrame, folder: str, archives: int, *, chunk: int = CHUNK) -> DataFrame:
     """Archives of gzip members, one for each record; returns (path, records, bytes) of each archive.
 
-    Payloads become chunk rows (record, number, bytes) before they are dealt to archives by id, so a writer holds one
-    chunk of an oversized payload at a time. Each archive appears when complete, under a name that a repeated task uses again.
+    Payloads become chunk rows (record, number, bytes), which are shuffled once, to archives by id, so a writer holds one
+    chunk of an oversized payload at a time. A row of ``repeats`` (see ``revisits``) is dealt the same way and comes just before
+    the chunks of its id and digest, which then are written as revisits without payload. Each archive appears when
+    complete, under a name that a repeated task uses again.
     """
     n = max(1, archives)
-    recs = recs.withColumn("kept", F.when(F.col("refers_to").isNull(), F.col("bytes")).otherwise(F.lit(0).cast("long"))).withColumn("uid", F.monotonically_increasing_id())
-    rows = recs.withColumn("chunk_no", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("kept") - 1) / chunk)))))
-    data = F.when(F.col("kept") > 0, F.substring(F.col("payload"), (F.col("chunk_no") * chunk + 1).cast("int"), F.lit(chunk)))
-    rows = rows.select("id", "uid", "chunk_no", "uri", "bytes", "digest", "refers_to", "kept", data.alias("data"), F.pmod(F.xxhash64(F.coalesce("id", "uid")), F.lit(n)).cast("int").alias("archive"))
+    rows = recs.withColumn("uid", F.monotonically_increasing_id()).withColumn("chunk_no", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / chunk)))))
+    data = F.when(F.col("bytes") > 0, F.substring(F.col("payload"), (F.col("chunk_no") * chunk + 1).cast("int"), F.lit(chunk)))
+    rows = rows.select("id", "digest", "uid", "chunk_no", "uri", "bytes", F.lit(None).cast("long").alias("refers_to"), data.alias("data"))
+    marks = repeats.select("id", "digest", F.lit(-1).cast("long").alias("uid"), F.lit(-1).cast("long").alias("chunk_no"), F.lit(None).cast("string").alias("uri"), F.lit(0).cast("long").alias("bytes"), "refers_to", F.lit(None).cast("binary").alias("data"))
+    rows = rows.unionAll(marks).withColumn("archive", F.pmod(F.xxhash64(F.coalesce("id", "uid")), F.lit(n)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, archive, count, gz, paths = None, None, 0, None, []
+        out, archive, count, gz, paths, mark = None, None, 0, None, [], (None, None, None)
         try:
             for batch in batches:
                 for r in batch.to_pylist():
+                    if r["chunk_no"] < 0:
+                        mark = (r["id"], r["digest"], r["refers_to"])
+                        continue
+                    target = mark[2] if r["id"] is not None and mark[:2] == (r["id"], r["digest"]) else None
                     if r["archive"] != archive:
                         if out:
                             out.write(gz.compress(b"\r\n\r\n") + gz.flush())
@@ -71,16 +83,16 @@ def write(recs: DataFrame, folder: str, archives: int, *, chunk: int = CHUNK) ->
                         if gz:
                             out.write(gz.compress(b"\r\n\r\n") + gz.flush())
                         gz = zlib.compressobj(5, zlib.DEFLATED, 31)
-                        kind = "response" if r["refers_to"] is None else "revisit"
+                        kind = "response" if target is None else "revisit"
                         head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(r['id'], archive, count)}", f"WARC-Date: {EPOCH}", f"WARC-Payload-Digest: sha1:{r['digest']}"]
                         if r["uri"]:
                             head.append("WARC-Target-URI: " + "".join(r["uri"].splitlines()))
-                        if r["refers_to"] is not None:
-                            head += [f"WARC-Refers-To: {_urn(r['refers_to'], 0, 0)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-                        head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {r['kept']}", "", ""]
+                        if target is not None:
+                            head += [f"WARC-Refers-To: {_urn(target, 0, 0)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+                        head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {r['bytes'] if target is None else 0}", "", ""]
                         out.write(gz.compress("\r\n".join(head).encode()))
                         count += 1
-                    if r["data"]:
+                    if r["data"] and target is None:
                         out.write(gz.compress(r["data"]))
             if out:
                 out.write(gz.compress(b"\r\n\r\n") + gz.flush())
@@ -93,7 +105,7 @@ def write(recs: DataFrame, folder: str, archives: int, *, chunk: int = CHUNK) ->
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in paths], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "records", "bytes"])
 
     dealt = rows.repartitionById(n, F.col("archive")) if n > 1 else rows.coalesce(1)
-    return dealt.sortWithinPartitions("archive", "id", "uid", "chunk_no").mapInArrow(run, "path string, records long, bytes long")
+    return dealt.sortWithinPartitions("archive", "id", "digest", "uid", "chunk_no").mapInArrow(run, "path string, records long, bytes long")
 
 
 class _Stream:
@@ -203,13 +215,17 @@ def round_trip(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", p
     s = Scratch(spark, "warc")
     folder = f"{s.path}/archives"
     total = pages.agg(F.sum(F.octet_length(F.col(payload_col).cast("string")))).first()[0] or 0
-    made = s.save(write(records(pages, id_col, payload_col, url_col, least), folder, int(-(-total // ARCHIVE)), chunk=chunk), "index")
+    recs = records(pages, id_col, payload_col, url_col)
+    made = s.save(write(recs, revisits(recs, least), folder, int(-(-total // ARCHIVE)), chunk=chunk), "index")
     n = made.count()
     got = read(spark, made.repartition(max(1, n)) if n > 1 else made, folder, chunk=chunk, with_data=False)
     whole = got.where("last").select("record_id", "type", "refers_to", "payload_digest", (F.col("chunk_no") * chunk + F.col("size")).alias("bytes"), "sha1")
     number = lambda c: F.when(F.col(c).contains(":none-"), F.lit(None)).otherwise(F.regexp_extract(c, r"(-?\d+)>$", 1)).cast("long")
     whole = s.save(whole.select(number("record_id").alias("page_id"), "type", number("refers_to").alias("refers_to"), "bytes", "sha1", "payload_digest"), "read")
-    first = whole.where("type = 'response' and page_id is not null").groupBy("page_id").agg(F.min(F.struct("bytes", "sha1")).alias("f"))
-    first = first.select(F.col("page_id").alias("target"), "f")
-    out = whole.join(first, F.col("refers_to") == F.col("target"), "left")
-    return out.select("page_id", F.coalesce("f.bytes", "bytes").cast("long").alias("payload_bytes"), F.coalesce("f.sha1", "sha1").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+    # A response that a third of all records refer to: the pairs of target and salt are few, and each record joins one of them.
+    again = whole.where("refers_to is not null").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
+    first = whole.where("type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to")).agg(F.min(F.struct("bytes", "sha1")).alias("f"))
+    salted = again.select("refers_to", "salt").distinct().join(first, "refers_to")
+    again = again.join(salted, ["refers_to", "salt"], "left").select("page_id", F.coalesce("f.bytes", "bytes").alias("bytes"), F.coalesce("f.sha1", "sha1").alias("sha1"), "type", "refers_to")
+    out = whole.where("refers_to is null").select(again.columns).unionAll(again)
+    return out.select("page_id", F.col("bytes").cast("long").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
