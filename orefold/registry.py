@@ -396,3 +396,6 @@ def _(s, d):
 @query("windowed_counts_l9", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(s, d):
     return runs.windowed_counts(T.table(s, d, "events"), "ts", "event_type")
+
+
+from orefold import linkage_queries  # noqa: E402, F401  - adds its queries to QUERIES and ORACLES

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from orefold.functions import paths, text
 from orefold.operators import graph, joins, rollups
+from orefold.plans import validation
 from orefold.sources import snapshot
 
 
@@ -56,3 +57,16 @@ def test_snapshot(spark, tmp_path):
     (tmp_path / "src" / "a.js").write_text("import './b.js'\n")
     files = snapshot.checkout(spark, str(tmp_path), "r", "c")
     assert [tuple(r) for r in files.select("path", "size", "text").collect()] == [("src/a.js", 16, "import './b.js'\n")]
+
+
+def test_edits_apply_in_order(spark):
+    files = spark.createDataFrame([("a", "x y x"), ("b", "k")], "path string, text string")
+    edits = spark.createDataFrame([("a", 2, "z", "w", 2), ("a", 1, "x", "z", 2), ("a", 3, "y", "q", 2), ("b", 1, "k", "", 1)], "path string, seq int, find string, put string, times int")
+    got = {r.path: (r.after, r.applied) for r in validation.apply_edits(files, edits).collect()}
+    assert got == {"a": ("w y w", 2), "b": ("", 1)}
+
+
+def test_structural_findings(spark):
+    rows = [("a.json", None, "{"), ("/abs", "x", "x"), ("ok.md", "a", "b\0"), ("ok2.md", "a", None), ("a\\b", "a", "=======\n"), ("c", "a", ">>>>>>> x")]
+    got = {(r.path, r.code) for r in validation.structural_findings(spark.createDataFrame(rows, "path string, before string, after string"), 100).collect()}
+    assert got == {("a.json", "INVALID_JSON"), ("/abs", "INVALID_PATH"), ("/abs", "NOOP_CHANGE"), ("ok.md", "NULL_BYTE"), ("a\\b", "INVALID_PATH"), ("c", "CONFLICT_MARKER")}
