@@ -1,4 +1,4 @@
-"""License scans by winnowed fingerprints and banded alignment (operator 5)."""
+"""License scans by word-run fingerprints, chained pieces and banded alignment (operator 5)."""
 
 from __future__ import annotations
 
@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from orefold.llm.common import run_hashes, word_hashes, words_of
 
-#: Words of a fingerprint's run and runs of a winnowing window: any RUN + WINDOW - 1 equal words share a fingerprint.
-RUN, WINDOW = 3, 3
+#: Words of a fingerprint's run, in templates of SHORT words or more and in shorter ones. Every run is a fingerprint: windows of several would skip notices.
+RUN, SHORT_RUN, SHORT = 3, 2, 20
 #: Least share of a template's words that a match covers; greatest half width of the alignment's band, in words (an eighth of a shorter template).
 COVERAGE, BAND = 0.75, 12
+#: Words that may stand between two pieces of one match: so many times the template's length, and in short templates once, or so many words.
+REACH, SHORT_REACH = 8, 8
 
 # Notices and texts of public licences.
 TEMPLATES = {
@@ -53,27 +55,20 @@ _GAP = np.ones(256, dtype=bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
-def winnow(runs: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Places of the kept hashes: the rightmost least one of each window (all windows there are, one at least)."""
-    if len(runs) == 0:
-        return np.empty(0, np.int64)
-    w = min(window, len(runs))
-    views = np.lib.stride_tricks.sliding_window_view(runs, w)[:, ::-1]
-    return np.unique(np.arange(len(views)) + w - 1 - views.argmin(1))
-
-
 @lru_cache(maxsize=4)
-def index(templates: tuple[tuple[str, str], ...]) -> tuple[list[str], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Names, words, and the inverted index: fingerprints in order, with the template and the place of each."""
-    names, words, rows = [], [], []
+def index(templates: tuple[tuple[str, str], ...]) -> tuple[list[str], list[np.ndarray], dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Names, words, and the inverted index of each length of run: fingerprints in order, with the template and the place of each."""
+    names, words, rows = [], [], {}
     for i, (name, text) in enumerate(templates):
         h = words_of(np.frombuffer(text.encode(), dtype=np.uint8), np.empty(0, np.int64), _GAP)[0]
         names.append(name)
         words.append(h)
-        runs = run_hashes(h, min(RUN, len(h)))
-        rows += [(runs[p], i, p) for p in winnow(runs)]
-    rows.sort(key=lambda r: (int(r[0]), r[1], r[2]))
-    return names, words, np.array([r[0] for r in rows], dtype=np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        k = min(RUN if len(h) >= SHORT else SHORT_RUN, len(h))
+        if k:
+            rows.setdefault(k, []).extend((r, i, p) for p, r in enumerate(run_hashes(h, k)))
+    for k in rows:
+        rows[k].sort(key=lambda r: (int(r[0]), r[1], r[2]))
+    return names, words, {k: (np.array([r[0] for r in x], dtype=np.uint64), np.array([r[1] for r in x]), np.array([r[2] for r in x])) for k, x in rows.items()}
 
 
 def align(text: np.ndarray, template: np.ndarray, offset: int, band: int = BAND) -> list[tuple[int, int]]:
@@ -112,39 +107,118 @@ def align(text: np.ndarray, template: np.ndarray, offset: int, band: int = BAND)
     return out[::-1]
 
 
+def pieces(h: np.ndarray, k: int, keys: np.ndarray, owner: np.ndarray, place: np.ndarray) -> dict[int, np.ndarray]:
+    """For each template, (word of the text, word of the template, words) of the longest equal pieces of k words or more, in order."""
+    runs = run_hashes(h, k)
+    lo, hi = np.searchsorted(keys, runs, side="left"), np.searchsorted(keys, runs, side="right")
+    at = np.flatnonzero(hi > lo)
+    n = hi[at] - lo[at]
+    entry = np.repeat(lo[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+    p, t, q = np.repeat(at, n), owner[entry], place[entry]
+    order = np.lexsort((p, p - q, t))
+    p, t, q = p[order], t[order], q[order]
+    first = np.r_[True, (np.diff(t) != 0) | (np.diff(p - q) != 0) | (np.diff(p) != 1)][: len(p)]
+    start = np.flatnonzero(first)
+    found = np.column_stack([p[start], q[start], np.diff(np.r_[start, len(p)]) + k - 1])
+    return {int(x): (mine := found[t[start] == x])[np.lexsort((mine[:, 1], mine[:, 0]))] for x in np.unique(t[start])}
+
+
+def chains(piece: np.ndarray, size: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the best chain that ends with each piece (less a part of a word for gaps, so near pieces go first), and the piece before it (or -1).
+
+    Pieces follow each other in text and template, at most ``reach`` words of the text apart; where two overlap, the later one is cut.
+    """
+    p, q, n = piece.T
+    score, before = n.astype(float), np.full(len(p), -1)
+    low = np.searchsorted(p, p - reach - size)
+    for i in range(1, len(p)):
+        j = slice(low[i], i)
+        gap = p[i] - p[j] - n[j]
+        over = np.maximum(0, np.maximum(-gap, q[j] + n[j] - q[i]))
+        value = score[j] + n[i] - over - np.maximum(0, gap) / (4 * reach * size)
+        value[(over >= n[i]) | (q[j] >= q[i]) | (p[j] >= p[i]) | (gap > reach)] = 0
+        if len(value) and value.max() > score[i]:
+            before[i] = low[i] + len(value) - 1 - value[::-1].argmax()
+            score[i] = value.max()
+    return score, before
+
+
+def fill(h: np.ndarray, template: np.ndarray, chain: np.ndarray, band: int) -> list[tuple[int, int]]:
+    """Matched pairs of a chain: its pieces, and what aligns between them and, near their diagonals, before the first and after the last."""
+    pairs: list[tuple[int, int]] = []
+    end_p, end_q = 0, 0
+    for n, (p, q, size) in enumerate([*chain.tolist(), [len(h), len(template), 0]]):
+        last = n == len(chain)
+        cut = max(0, end_p - p, end_q - q) if n and not last else 0
+        p, q, size = p + cut, q + cut, size - cut
+        gap = q - end_q
+        if gap > 0:
+            side = gap + band
+            if not n:
+                at = np.arange(max(0, p - side), p)
+                got = align(h[at], template[:q], len(at) - gap, band)
+            elif last:
+                at = np.arange(end_p, min(p, end_p + side))
+                got = align(h[at], template[end_q:], 0, band)
+            else:  # beside each of the two pieces
+                at = np.arange(end_p, p) if p - end_p <= 2 * side else np.r_[end_p: end_p + side, p - side: p]
+                got = align(h[at], template[end_q: q], (len(at) - gap) // 2, (abs(len(at) - gap) + 1) // 2 + band) if len(at) else []
+            pairs += [(int(at[x]), end_q + y) for x, y in got]
+        pairs += [(p + x, q + x) for x in range(size)]
+        end_p, end_q = p + size, q + size
+    return pairs
+
+
 def matches(h: np.ndarray, templates: tuple[tuple[str, str], ...], coverage: float = COVERAGE) -> list[tuple[str, float, int, int, list[tuple[int, int]]]]:
     """(template, coverage, first word, last word, spans of matched words) of a text's word hashes, in order of place."""
-    names, words, keys, owner, place = index(templates)
-    runs = run_hashes(h, RUN)
-    at = winnow(runs)
-    lo = np.searchsorted(keys, runs[at], side="left")
-    hi = np.searchsorted(keys, runs[at], side="right")
-    found: dict[int, list[int]] = {}
-    for p, a, b in zip(at[hi > lo], lo[hi > lo], hi[hi > lo]):
-        for k in range(a, b):
-            found.setdefault(int(owner[k]), []).append(int(p) - int(place[k]))
+    names, words, lists = index(templates)
     out = []
-    for t, offsets in found.items():
-        band, k, offsets = min(BAND, max(1, len(words[t]) // 8)), 0, sorted(set(offsets))
-        while k < len(offsets):  # one alignment for each group of near diagonals, at its middle
-            end = int(np.searchsorted(offsets, offsets[k] + 2 * band, side="right"))
-            o, k = (offsets[k] + offsets[end - 1]) // 2, end
-            a = max(0, o - band)
-            pairs = align(h[a: max(a, o + band + len(words[t]))], words[t], o - a, band)
-            if len(pairs) >= coverage * len(words[t]):
-                hit = [a + i for i, _ in pairs]
-                cuts = [x for x in range(1, len(hit)) if hit[x] != hit[x - 1] + 1]
-                spans = [(hit[x], hit[y - 1]) for x, y in zip([0, *cuts], [*cuts, len(hit)])]
-                out.append((names[t], len(pairs) / len(words[t]), hit[0], hit[-1], spans))
+    for t, found in [x for k, entries in lists.items() for x in pieces(h, k, *entries).items()]:
+        size = len(words[t])
+        reach = REACH * size if size >= SHORT else max(size, SHORT_REACH)
+        band = min(BAND, max(1, size // 8))
+        far = np.flatnonzero(found[1:, 0] - np.maximum.accumulate(found[:, 0] + found[:, 2])[:-1] > reach) + 1
+        for group in np.split(found, far):
+            a, b = max(0, group[0, 0] - size - band), (group[:, 0] + group[:, 2]).max() + size + band
+            if np.isin(words[t], h[a:b]).sum() < coverage * size:
+                continue
+            more = True
+            while more and len(group):  # again without the pieces of what was found
+                more = False
+                score, before = chains(group, size, reach)
+                used, tried = np.zeros((2, len(group)), dtype=bool)
+                for i in np.argsort(-score, kind="stable"):
+                    if used[i] or tried[i]:
+                        continue
+                    chain = [i]
+                    while before[chain[-1]] >= 0 and not used[before[chain[-1]]]:
+                        chain.append(before[chain[-1]])
+                    tried[chain] = True
+                    rows = group[chain[::-1]]
+                    if np.isin(words[t], h[max(0, rows[0, 0] - size - band): rows[-1, 0] + rows[-1, 2] + size + band]).sum() < coverage * size:
+                        continue
+                    pairs = fill(h, words[t], rows, band)
+                    if len(pairs) < coverage * size:
+                        continue
+                    hit = [x for x, _ in pairs]
+                    cuts = [x for x in range(1, len(hit)) if hit[x] != hit[x - 1] + 1]
+                    spans = [(hit[x], hit[y - 1]) for x, y in zip([0, *cuts], [*cuts, len(hit)])]
+                    out.append((names[t], len(pairs) / size, hit[0], hit[-1], spans))
+                    for x, y in spans:
+                        w = slice(np.searchsorted(group[:, 0], x - size), np.searchsorted(group[:, 0], y, side="right"))
+                        used[w] |= group[w, 0] + group[w, 2] > x
+                    more = True
+                group = group[~used]
     return sorted(out, key=lambda m: (m[2], m[3], m[0]))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, first_word, last_word, spans): a row for each place of a template in a whole text.
 
-    Words are runs of ASCII letters and digits and of all other characters beyond ASCII, in lower case. A text's winnowed fingerprints
-    are looked up in the templates' inverted index, which is small and goes with the code; each template is aligned
-    once near each group of diagonals with hits, and reported when ``coverage`` of its words match. Spans are inclusive
+    Words are runs of ASCII letters and digits and of all other characters beyond ASCII, in lower case. Every run of RUN words
+    (SHORT_RUN in templates below SHORT words) of a text is looked up in the templates' inverted index, which is small and
+    goes with the code. Equal pieces of a template are chained over inserted, lost and changed words, what lies between and
+    beside them is aligned, and a chain is reported when ``coverage`` of the template's words match. Spans are inclusive
     word ranges. Null, empty and license-free texts give no row; repeated rows repeat theirs; extra columns are not read.
     """
     known = tuple((templates or TEMPLATES).items())
@@ -152,13 +226,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tem
     spans = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = index(known)[2]
+        lists = index(known)[2]
         for batch in batches:
             ids, rows = batch.column(0), []
             for first, h, bounds in word_hashes(batch.column(1), _GAP):
-                runs = run_hashes(h, RUN)
-                near = np.cumsum(np.r_[0, keys[np.minimum(np.searchsorted(keys, runs), len(keys) - 1)] == runs]) if len(runs) else np.zeros(1, np.int64)
-                some = near[np.minimum(bounds[1:], len(near) - 1)] > near[np.minimum(bounds[:-1], len(near) - 1)]
+                some = np.zeros(len(bounds) - 1, dtype=bool)
+                for k, (keys, _, _) in lists.items():
+                    runs = run_hashes(h, k)
+                    near = np.cumsum(np.r_[0, keys[np.minimum(np.searchsorted(keys, runs), len(keys) - 1)] == runs]) if len(runs) else np.zeros(1, np.int64)
+                    some |= near[np.minimum(bounds[1:], len(near) - 1)] > near[np.minimum(bounds[:-1], len(near) - 1)]
                 for i in np.flatnonzero(some):  # texts with a run of a template at all
                     for m in matches(h[bounds[i]: bounds[i + 1]], known, coverage):
                         rows.append((ids[first + int(i)].as_py(), *m[:4], [{"start": a, "stop": b} for a, b in m[4]]))

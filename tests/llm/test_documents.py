@@ -245,6 +245,22 @@ def test_licenses_are_found(spark, odd, none):
     assert licenses.scan(odd).collect() == [] and licenses.scan(none).collect() == []
 
 
+def test_licenses_with_inserted_changed_and_split_words(spark):
+    mit = licenses.TEMPLATES["MIT"].split()
+    strange = [f"q{n}" for n in range(60)]
+    quarter = " ".join("other" if n % 4 == 3 else w for n, w in enumerate(licenses.TEMPLATES["ISC"].split()))
+    apache = "Licensed under the very permissive Apache License, Version 2.0."
+    texts = rows("Released under the terms of the MIT License", "Released under a MIT License", apache, " ".join(mit[:80] + strange + mit[80:]), quarter,
+                 "Released under the terms of the MIT License. " * 3, "Released under the old rules, as the fox and the hill", " ".join(mit[:80] + strange), WORDS + " under the MIT rules")
+    got = licenses.scan(spark.createDataFrame(texts, SCHEMA)).collect()
+    found = {(r.doc_id, r.license): r for r in got}
+    assert {(1, "MIT-notice"), (2, "MIT-notice"), (3, "Apache-2.0-notice"), (4, "MIT"), (5, "ISC"), (6, "MIT-notice")} == set(found)
+    assert found[1, "MIT-notice"].coverage == 1.0 and (found[1, "MIT-notice"].first_word, found[1, "MIT-notice"].last_word) == (0, 7)
+    assert found[2, "MIT-notice"].coverage == 0.8 and found[3, "Apache-2.0-notice"].coverage == 1.0
+    assert found[4, "MIT"].coverage == 1.0 and len(found[4, "MIT"].spans) == 2
+    assert [(r.first_word, r.last_word) for r in sorted(got) if r.doc_id == 6] == [(0, 7), (8, 15), (16, 23)]
+
+
 # --------------------------------------------------------------------------- 6
 
 def test_quality_on_held_out_rows(spark):
