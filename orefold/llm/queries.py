@@ -19,7 +19,7 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.fingerprint_edits(_read(spark, sf_dir, "documents"))
+    return spotsigs.fingerprint_edits(_read(spark, sf_dir, "documents"), cover=True)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,13 +31,17 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def signatures(text: Column) -> Column:
+def signatures(text: Column, cover: bool = False) -> Column:
     """The sorted set of 32-bit spot signatures of a text.
 
     Words are runs of letters and digits in lower case; common words are anchors, the others content. Where content
     follows anchors, the last anchor and the next CHAIN content words make one signature (fewer at the end of the
     text). The start of a text is an anchor too, so a text with a content word has at least one signature. A text with
     no content word is one signature by itself; a null or empty text has none.
+
+    With ``cover``, content that goes on past a chain without an anchor has signatures too, so that texts of few or no
+    anchors (other languages, code, tables) are not judged by their starts: of each CHAIN successive such words (or what
+    is left of them at the end of the text) the one of the least hash and the CHAIN - 1 content words after it make one.
     """
     text = F.coalesce(text.cast("string"), F.lit(""))
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -49,7 +56,21 @@ def signatures(text: Column) -> Column:
             return F.when(F.contains(x, F.lit(" ")) & ~x.endswith(" "), F.hash(F.substring_index(x, " ", -2), *rest))
         return F.transform(all_spots, at)
 
-    found = _let(spots, chain)
+    def covered(all_spots: Column) -> Column:
+        end = F.lit(1 << 40)
+        past = lambda i: F.coalesce(*[F.when(F.contains(F.get(all_spots, i - k), F.lit(" ")), F.lit(False)) for k in range(1, CHAIN)], F.lit(True))
+        keys = F.transform(all_spots, lambda x, i: F.when(x == "", end).when(~F.contains(x, F.lit(" ")) & past(i), F.hash(x).cast("long")))
+
+        def more(at: Column) -> Column:
+            def chosen(x: Column, i: Column) -> Column:
+                own = F.get(at, i)
+                least = {k: F.coalesce(own <= F.get(at, i + k), F.lit(False)) for k in range(1 - CHAIN, CHAIN) if k}
+                windows = [reduce(and_, [least[k] for k in range(first, first + CHAIN) if k]) for first in range(1 - CHAIN, 1)]
+                return F.when((own < end) & reduce(or_, windows), F.hash(x, *[F.substring_index(F.get(all_spots, i + k), " ", -1) for k in range(1, CHAIN)]))
+            return F.transform(all_spots, chosen)
+        return F.concat(chain(all_spots), _let(F.concat(keys, F.array_repeat(end, CHAIN)), more))
+
+    found = _let(spots, covered if cover else chain)
     return _let(F.sort_array(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))),
                 lambda s: F.when((F.size(s) == 0) & (text != ""), F.array(F.hash(text))).otherwise(s))
 
@@ -92,30 +113,30 @@ def with_next(docs: DataFrame, id_col: str, values: list[str], rows_in_bucket: i
     return dealt.select("*", F.lead(F.struct(*values)).over(w).alias("_next")).where("not _ghost").select(*docs.columns, *[F.col(f"_next.{v}").alias(f"next_{v}") for v in values])
 
 
-def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, cover: bool = False) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row.
 
     The edited text is the text whose last floor(n / 2) code points are replaced by the first as many of the next text
     (or all of it), ids descending; see with_next. Null texts count as empty; equal texts have equal fingerprints.
-    Repeated rows give their rows; extra columns are not read.
+    Repeated rows give their rows; extra columns are not read. For ``cover`` see signatures.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    d = with_next(base.withColumn("sigs", signatures(F.col("text"))), "doc_id", ["text", "sigs"])
+    d = with_next(base.withColumn("sigs", signatures(F.col("text"), cover)), "doc_id", ["text", "sigs"])
     half = F.floor(F.length("text") / 2).cast("int")
     d = d.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half)))
-    d = d.select("doc_id", F.length("text").cast("long").alias("n_chars"), "sigs", "next_sigs", F.sha2(F.col("edited"), 256).alias("edited_sha256"), signatures(F.col("edited")).alias("edited_sigs"))
+    d = d.select("doc_id", F.length("text").cast("long").alias("n_chars"), "sigs", "next_sigs", F.sha2(F.col("edited"), 256).alias("edited_sha256"), signatures(F.col("edited"), cover).alias("edited_sigs"))
     return d.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
                     likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
 
 
-def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, *, cover: bool = False) -> DataFrame:
     """(a, b, near): pairs of classes of equal fingerprints with likeness >= threshold, a < b; see classes() for the members.
 
     Sets are partitioned by length so that a set's partners are in its own partition or the next one, and pruned twice:
     only sets that share one of their rarest signatures (as many as the threshold lets them miss, and one more) meet,
     and only when their lengths allow the threshold. Then the whole sets are compared. Texts without signatures have no pairs.
     """
-    c = classes(docs, id_col, text_col).where("size(sigs) > 0").groupBy("sigs").agg(F.min("doc_id").alias("id"))
+    c = classes(docs, id_col, text_col, cover=cover).where("size(sigs) > 0").groupBy("sigs").agg(F.min("doc_id").alias("id"))
     c = c.withColumn("n", F.size("sigs")).withColumn("part", F.floor(F.log("n") / -F.log(F.lit(threshold))).cast("int"))
     often = c.select(F.explode("sigs").alias("s")).groupBy("s").agg(F.count("*").alias("f"))
     rare = c.select("id", "n", "part", F.explode("sigs").alias("s")).join(often, "s")
@@ -129,6 +150,6 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return both.select("a", "b", likeness(F.col("x"), F.col("y")).alias("near")).where(F.col("near") >= threshold)
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, cover: bool = False) -> DataFrame:
     """(doc_id, sigs) of each row: rows of equal sets are one class, named by its smallest id."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), signatures(F.col(text_col)).alias("sigs"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), signatures(F.col(text_col), cover).alias("sigs"))

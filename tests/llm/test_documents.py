@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from orefold.llm import bpe, licenses, minhash, mixture, quality, spotsigs, token_shards
+from orefold.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, words int, cut string, s string, i int, rep long"
@@ -113,6 +114,19 @@ def test_fingerprints_of_odd_rows(odd, none):
     assert (5, 8) in pairs or jaccard(spots(WORDS), spots(WORDS + " tail")) < 0.8
 
 
+def test_fingerprints_cover_texts_without_anchors(spark, tmp_path):
+    long = [f"q{n}" for n in range(80)]
+    texts = [" ".join(long), " ".join(long[:40] + [f"z{n}" for n in range(40)]), "alpha beta gamma delta epsilon zeta", "alpha beta gamma eta theta iota", "the old fox " + " ".join(long), "alpha beta gamma delta", " ".join(["same"] * 50)]
+    spark.createDataFrame(rows(*texts), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: set(r.fingerprint.split()) for r in QUERIES["op2_spotsigs"](spark, str(tmp_path)).collect()}
+    assert 0.2 < jaccard(got[1], got[2]) < 0.5 and jaccard(got[3], got[4]) < 0.5 and jaccard(got[1], got[5]) > 0.8
+    words = [w.lower() for w in long]
+    assert len(got[1]) >= len(words) // spotsigs.CHAIN and len(got[6]) == 2 and len(got[7]) <= 4  # a spot in every CHAIN words, the last ones too
+    for n in range(0, 80, 7):  # each word counts
+        other = spark.range(1).select(spotsigs.fingerprint(spotsigs.signatures(F.lit(" ".join(long[:n] + ["changed"] + long[n + 1:])), True))).first()[0]
+        assert set(other.split()) != got[1] and jaccard(set(other.split()), got[1]) > 0.6
+
+
 # --------------------------------------------------------------------------- 3
 
 def sets_of(texts, width):
