@@ -15,8 +15,8 @@ from orefold.llm.common import Scratch, components, roots
 
 #: Vectors of the fitting sample (at most; chosen by hash), pivots per vector list, and the largest block of a list.
 SAMPLE, NEAREST, BLOCK = 4096, 8, 1024
-#: A pair is compared when it shares this many of its NEAREST pivots.
-SHARED = 4
+#: A pair is a link when it shares this many of its NEAREST pivots: one, since lists compare all their pairs in any case.
+SHARED = 1
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -91,7 +91,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id"
     """(vec_id, n_links, component_id, kept) for each row: links of cosine >= threshold within a group, in double precision.
 
     Equal vectors of a group form one class first. Each class is described by its NEAREST reference points in order and
-    enters their inverted lists; long lists are split in blocks and pairs of blocks. A pair that shares SHARED pivots is
+    enters their inverted lists; long lists are split in blocks and pairs of blocks. A pair that shares a pivot (SHARED) is
     verified in the list of its smallest shared pivot, so no link counts twice, and lists return sums and one edge for
     each vector instead of pairs.
 

@@ -45,6 +45,22 @@ def test_near_vectors_match_brute_force(spark):
     assert embed_dedup.near_vectors(spark, df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(("width", "common"), [(64, 0.0), (64, 0.9), (384, 0.9)])
+def test_near_vectors_find_planted_pairs(spark, width, common):
+    """Pairs at cosine 0.98 to 0.985 beside vectors without a common direction, and with one (mean cosine ``common``), as sentence embeddings have."""
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    v = unit(np.sqrt(common) * unit(rng.normal(size=width)) + np.sqrt(1 - common) * unit(rng.normal(size=(4000, width))))
+    a, noise, cosine = v[:300], rng.normal(size=(300, width)), rng.uniform(0.98, 0.985, size=(300, 1))
+    b = cosine * a + np.sqrt(1 - cosine ** 2) * unit(noise - (noise * a).sum(1, keepdims=True) * a)
+    e = np.r_[v, b]
+    table = spark.createDataFrame([(n, x.tolist(), n % 4000 % 2) for n, x in enumerate(e)], "vec_id long, embedding array<double>, label int")
+    near = (unit(e) @ unit(e).T >= 0.98) & (np.arange(len(e))[:, None] % 4000 % 2 == np.arange(len(e)) % 4000 % 2) & ~np.eye(len(e), dtype=bool)
+    found = np.array([r.n_links for r in embed_dedup.near_vectors(spark, table, pivots=1024).orderBy("vec_id").collect()])
+    print(f"width {width}, mean cosine {common}: {found.sum()} of {near.sum()} links")
+    assert near.sum() >= 590 and (found <= near.sum(1)).all() and found.sum() >= 0.95 * near.sum()
+
+
 @pytest.mark.parametrize("few", [0, 1000])
 def test_components(spark, monkeypatch, few):
     monkeypatch.setattr(common, "FEW_EDGES", few)
