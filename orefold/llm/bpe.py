@@ -132,6 +132,22 @@ def _digest(parts: Iterator[list[int]], enc: tiktoken.Encoding) -> tuple[int, st
     return n, of_ids.hexdigest(), of_text.hexdigest()
 
 
+def encode_ids(docs: DataFrame, path: str, text_col: str = "text", *, leaf: int = LEAF) -> DataFrame:
+    """(ids) for each row of ``docs``: the ids of encode_documents, without digests of short texts."""
+    src = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = load(path)
+        for whole in batches:
+            for batch in text_batches(whole, "text"):
+                found = [enc.encode_to_numpy(t, allowed_special="all") for t in batch.column(0).to_pylist()]
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))], names=["ids"])
+
+    longs = encode_documents(src.where(F.length("text") > leaf).select(F.lit(None).cast("long").alias("doc_id"), "text"), path, leaf=leaf, with_ids=True)
+    return src.where(F.length("text") <= leaf).mapInArrow(run, "ids array<int>").union(longs.select("ids"))
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, leaf: int = LEAF, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) for each row of ``docs``; null and empty texts have no tokens.
 

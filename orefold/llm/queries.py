@@ -15,7 +15,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_shards.training_shards(spark, _read(spark, sf_dir, "documents"))
+    return token_shards.tokenised_shards(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

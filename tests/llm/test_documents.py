@@ -74,6 +74,40 @@ def test_shards_hold_all_texts(spark, odd, none, tmp_path):
     assert token_shards.training_shards(spark, none).collect() == []
 
 
+@pytest.mark.parametrize("width", [2, 4])
+def test_shards_hold_token_ids(spark, odd, tmp_path, width):
+    at, folder = str(tmp_path / "ids"), f"file://{tmp_path}/shards"
+    bpe.encode_documents(odd, PATH, with_ids=True).write.parquet(at)
+    stored, end = spark.read.parquet(at), 50_300 if width == 2 else 1 << 31
+    form = {"length": 512, "width": width}
+    made = token_shards.materialise(spark, stored, folder, in_shard=64, ids_col="ids", end=end, pad=end + 1, **form)
+    ids = {seq: np.frombuffer(data, f"<u{width}") for m in made.collect() for seq, data in token_shards.read_shard(folder, m.path, **form)}
+    assert sorted(ids) == list(range(len(ids))) and all(len(ids[k]) == 512 for k in list(sorted(ids))[:-1])
+    run = np.concatenate([ids[k] for k in sorted(ids)])
+    lists = [tuple(x[:-1].tolist()) for x in np.split(run, np.flatnonzero(run == end) + 1)[:-1]]
+    assert collections.Counter(lists) == collections.Counter(tuple(r.ids) for r in stored.collect())
+    assert collections.Counter(TOKENIZER.decode(list(x), skip_special_tokens=False) for x in lists) == collections.Counter(r.text or "" for r in odd.collect())
+    back = token_shards.read_back(spark, made, folder, end=end, **form).collect()
+    assert sum(r.n_tokens for r in back) == len(run) and sum(r.n_ends for r in back) == odd.count()
+    assert stored.rdd.getNumPartitions() > 1  # all in one shard, too
+    assert [m.records for m in token_shards.materialise(spark, stored, f"{folder}-1", ids_col="ids", end=end, pad=end + 1, **form).collect()] == [len(ids)]
+    with pytest.raises(Exception, match="don't fit"):
+        token_shards.materialise(spark, spark.createDataFrame([([1, 1 << 16],)], "ids array<int>"), folder, ids_col="ids", width=2, end=end % (1 << 16), pad=0).collect()
+
+
+def test_ids_equal_the_tokenizer(spark, odd, none):
+    for table, leaf in ((odd, bpe.LEAF), (odd, 256), (spark.createDataFrame(rows(*HARD), SCHEMA), bpe.LEAF)):
+        want = collections.Counter(tuple(TOKENIZER.encode(r.text or "", add_special_tokens=False).ids) for r in table.collect())
+        assert collections.Counter(tuple(r.ids) for r in bpe.encode_ids(table, PATH, leaf=leaf).collect()) == want
+    assert bpe.encode_ids(none, PATH).collect() == []
+
+
+def test_query_writes_the_tokenizer_s_ids(spark, docs):
+    got = QUERIES["op1_token_shards"](spark, DATA).collect()
+    assert sum(r.n_tokens for r in got) == sum(expected(r.text)[0] + 1 for r in docs.collect()) and sum(r.n_ends for r in got) == docs.count()
+    assert {r.byte_offset % (token_shards.HEADER_BYTES + 2 * token_shards.LENGTH) for r in got} == {0}
+
+
 # --------------------------------------------------------------------------- 2
 
 def spots(text):
