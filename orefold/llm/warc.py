@@ -44,15 +44,17 @@ def revisits(recs: DataFrame, least: int = LEAST) -> DataFrame:
     return thin.join(often, "digest").where("id <> refers_to").select("id", "digest", "refers_to")
 
 
-def _urn(i: int | None, part: int, n: int) -> str:
-    return f"<urn:x-record:{i}>" if i is not None else f"<urn:x-record:none-{part}-{n}>"
+def _urn(i: int | None, digest: str, again: str = "") -> str:
+    """A record's name: its row's id and digest, and, for rows after the first of the same two and for rows without id, their archive and place."""
+    return f"<urn:x-record:{'none' if i is None else i}:{digest}{again}>"
 
 
 def write(recs: DataFrame, repeats: DataFrame, folder: str, archives: int, *, chunk: int = CHUNK) -> DataFrame:
     """Archives of gzip members, one for each record; returns (path, records, bytes) of each archive.
 
-    Payloads become chunk rows (record, number, bytes), which are shuffled once, to archives by id, so a writer holds one
-    chunk of an oversized payload at a time. A row of ``repeats`` (see ``revisits``) is dealt the same way and comes just before
+    Payloads become chunk rows (record, number, bytes), which are shuffled once, to archives by id, so a writer holds one Arrow batch of
+    chunks of an oversized payload at a time, compresses them one by one and carries the digest along; a payload whose chunks don't give its
+    digest stops the job. A row of ``repeats`` (see ``revisits``) is dealt the same way and comes just before
     the chunks of its id and digest, which then are written as revisits without payload. Each archive appears when
     complete, under a name that a repeated task uses again.
     """
@@ -64,40 +66,52 @@ def write(recs: DataFrame, repeats: DataFrame, folder: str, archives: int, *, ch
     rows = rows.unionAll(marks).withColumn("archive", F.pmod(F.xxhash64(F.coalesce("id", "uid")), F.lit(n)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, archive, count, gz, paths, mark = None, None, 0, None, [], (None, None, None)
+        out, archive, count, gz, paths, mark, last, digest = None, None, 0, None, [], (None, None, None), None, None
+
+        def end_record() -> None:
+            out.write(gz.compress(b"\r\n\r\n") + gz.flush())
+            if digest.hexdigest() != last[1]:
+                raise ValueError(f"the chunks of record {last} are not its payload")
+
+        def end_archive() -> None:
+            end_record()
+            out.commit()
+            paths.append((out.path, count, out.size))
+
         try:
             for batch in batches:
-                for r in batch.to_pylist():
+                data = batch.column("data")
+                for i, r in enumerate(batch.drop_columns("data").to_pylist()):
                     if r["chunk_no"] < 0:
                         mark = (r["id"], r["digest"], r["refers_to"])
                         continue
                     target = mark[2] if r["id"] is not None and mark[:2] == (r["id"], r["digest"]) else None
                     if r["archive"] != archive:
                         if out:
-                            out.write(gz.compress(b"\r\n\r\n") + gz.flush())
-                            out.commit()
-                            paths.append((out.path, count, out.size))
+                            end_archive()
                         archive, count, gz = r["archive"], 0, None
                         out = AtomicFile(folder, f"part-{archive:06d}.warc.gz")
                     if r["chunk_no"] == 0:
                         if gz:
-                            out.write(gz.compress(b"\r\n\r\n") + gz.flush())
-                        gz = zlib.compressobj(5, zlib.DEFLATED, 31)
+                            end_record()
+                        gz, digest = zlib.compressobj(5, zlib.DEFLATED, 31), hashlib.sha1()
                         kind = "response" if target is None else "revisit"
-                        head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(r['id'], archive, count)}", f"WARC-Date: {EPOCH}", f"WARC-Payload-Digest: sha1:{r['digest']}"]
+                        again = f":{archive}-{count}" if r["id"] is None or last == (r["id"], r["digest"]) else ""
+                        last = (r["id"], r["digest"])
+                        head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(*last, again)}", f"WARC-Date: {EPOCH}", f"WARC-Payload-Digest: sha1:{r['digest']}"]
                         if r["uri"]:
                             head.append("WARC-Target-URI: " + "".join(r["uri"].splitlines()))
                         if target is not None:
-                            head += [f"WARC-Refers-To: {_urn(target, 0, 0)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+                            head += [f"WARC-Refers-To: {_urn(target, r['digest'])}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
                         head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {r['bytes'] if target is None else 0}", "", ""]
                         out.write(gz.compress("\r\n".join(head).encode()))
                         count += 1
-                    if r["data"] and target is None:
-                        out.write(gz.compress(r["data"]))
+                    chunk_bytes = data[i].as_buffer() if r["bytes"] else b""
+                    digest.update(chunk_bytes)
+                    if target is None and r["bytes"]:
+                        out.write(gz.compress(chunk_bytes))
             if out:
-                out.write(gz.compress(b"\r\n\r\n") + gz.flush())
-                out.commit()
-                paths.append((out.path, count, out.size))
+                end_archive()
                 out = None
         finally:
             if out and not out.out.closed:
@@ -208,9 +222,10 @@ def read(spark: SparkSession, paths: DataFrame, folder: str, *, chunk: int = CHU
 def round_trip(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", *, least: int = LEAST, chunk: int = CHUNK) -> DataFrame:
     """Writes a record for each row, reads the archives back: (page_id, payload_bytes, payload_digest, record_type, refers_to).
 
-    Bytes and digest are those of the payload read back; a revisit's are those of the response it refers to. Null
-    payloads are empty responses; rows without id are responses with a null page_id; repeated rows with one id and
-    payload are each a response or revisit as their id is. Extra columns are not read.
+    Bytes and digest are those of the payload read back; a revisit's are those of the response it refers to, by its id and digest, so
+    rows of one id with other payloads are records of their own. Null payloads are empty responses; rows without id are
+    responses with a null page_id; repeated rows with one id and payload are each a response or revisit as their id is.
+    Extra columns are not read.
     """
     s = Scratch(spark, "warc")
     folder = f"{s.path}/archives"
@@ -220,12 +235,12 @@ def round_trip(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", p
     n = made.count()
     got = read(spark, made.repartition(max(1, n)) if n > 1 else made, folder, chunk=chunk, with_data=False)
     whole = got.where("last").select("record_id", "type", "refers_to", "payload_digest", (F.col("chunk_no") * chunk + F.col("size")).alias("bytes"), "sha1")
-    number = lambda c: F.when(F.col(c).contains(":none-"), F.lit(None)).otherwise(F.regexp_extract(c, r"(-?\d+)>$", 1)).cast("long")
-    whole = s.save(whole.select(number("record_id").alias("page_id"), "type", number("refers_to").alias("refers_to"), "bytes", "sha1", "payload_digest"), "read")
-    # A response that a third of all records refer to: the pairs of target and salt are few, and each record joins one of them.
+    number = lambda c: F.regexp_extract(c, r"record:(-?\d+):", 1).try_cast("long")
+    whole = s.save(whole.select(number("record_id").alias("page_id"), "type", number("refers_to").alias("refers_to"), "bytes", "sha1", F.substring_index("payload_digest", ":", -1).alias("digest")), "read")
+    # A response that a third of all records refer to: the triples of target, digest and salt are few, and each record joins one of them.
     again = whole.where("refers_to is not null").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
-    first = whole.where("type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to")).agg(F.min(F.struct("bytes", "sha1")).alias("f"))
-    salted = again.select("refers_to", "salt").distinct().join(first, "refers_to")
-    again = again.join(salted, ["refers_to", "salt"], "left").select("page_id", F.coalesce("f.bytes", "bytes").alias("bytes"), F.coalesce("f.sha1", "sha1").alias("sha1"), "type", "refers_to")
+    first = whole.where("type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to"), "digest").agg(F.min(F.struct("bytes", "sha1")).alias("f"))
+    salted = again.select("refers_to", "digest", "salt").distinct().join(first, ["refers_to", "digest"])
+    again = again.join(salted, ["refers_to", "digest", "salt"], "left").select("page_id", F.coalesce("f.bytes", "bytes").alias("bytes"), F.coalesce("f.sha1", "sha1").alias("sha1"), "type", "refers_to")
     out = whole.where("refers_to is null").select(again.columns).unionAll(again)
     return out.select("page_id", F.col("bytes").cast("long").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")

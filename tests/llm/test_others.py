@@ -120,6 +120,24 @@ def test_archives_round_trip(spark, chunk):
     assert warc.round_trip(spark, df.limit(0)).collect() == []
 
 
+def test_archives_keep_repeated_ids_apart(spark, tmp_path):
+    """Rows of one id with other payloads, and repeated rows, against a plain computation; record ids are unique."""
+    long, other = "L" * 1500, "M" * 2000
+    table = [(5, "tiny"), (5, long), (3, long), (3, "tiny"), (7, other), (7, other), (5, other), (2, other), (None, other), (None, "tiny"), (2, None), (7, "tiny")]
+    df = spark.createDataFrame(table, "page_id long, html string")
+    top = {h: max(i for i, x in table if x == h and i is not None) for h in (long, other)}
+    want = []
+    for i, h in table:
+        raw = (h or "").encode()
+        to = top[h] if h in top and i is not None and i != top[h] else None
+        want.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "response" if to is None else "revisit", to))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in warc.round_trip(spark, df).collect())
+    recs = warc.records(df)
+    made = warc.write(recs, warc.revisits(recs), f"file://{tmp_path}/archives", 2)
+    names = [r.record_id for r in warc.read(spark, made, f"file://{tmp_path}/archives").where("last").collect()]
+    assert len(names) == len(table) == len(set(names))
+
+
 # --------------------------------------------------------------------------- queries and pipeline
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
