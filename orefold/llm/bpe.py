@@ -5,8 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PRINTABLE = ((33, 126), (161, 172), (174, 255))
 
 _CLASSES = (regex.compile(r"\p{L}"), regex.compile(r"\p{N}"), regex.compile(r"\s"))
+_SHORTENED = regex.compile(r"'(?:s|t|re|ve|m|ll|d)")
+#: White space of so many characters is cut out as a pre-token by itself, before the pattern's look-ahead would step back through it.
+_LONG_SPACE = regex.compile(r"\s{4096,}")
 
 
 @lru_cache(maxsize=4)
@@ -39,6 +43,12 @@ def load(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=4)
+def _one_token(path: str) -> tiktoken.Encoding:
+    """The encoding of a pre-token, whatever is in it."""
+    return tiktoken.Encoding(f"{path}:pre-token", pat_str=r"(?s:.+)", mergeable_ranks=load(path)._mergeable_ranks, special_tokens={})
+
+
 def vocabulary(ranks: dict[bytes, int]) -> list[str]:
     """Rank-file lines (base64 and id) of a vocabulary, for tools that read that format."""
     return [f"{base64.b64encode(b).decode()} {i}" for b, i in sorted(ranks.items(), key=lambda x: x[1])]
@@ -51,22 +61,22 @@ def _kind(c: str) -> int:
 def cut_near(text: str, middle: int, specials: tuple[str, ...]) -> tuple[int, bool] | None:
     """Where to cut a text near its middle, and whether the parts encode independently there.
 
-    A cut after a letter or digit, or after punctuation but an apostrophe, where the next code point is of another class,
-    ends a pre-token for certain. Inside a run of letters or digits alone the parts belong to one pre-token and have to be joined
-    by windows. None: no cut of either kind (white space or punctuation throughout).
+    A cut after a letter or digit, or after punctuation (an apostrophe only before white space), where the next code point is of another class,
+    ends a pre-token for certain. Inside a run of one class the parts belong to one pre-token and have to be joined
+    by windows: a run of white space is cut before its last two code points, and other punctuation not where the right part
+    would begin like a shortened word. None: no cut of either kind.
     """
     margin = max((len(x) for x in specials), default=0)
     whole = lambda p: not any(x in text[max(0, p - len(x) + 1): p + len(x) - 1] for x in specials)
-    reach = max(1, len(text) // 4)
     inside = None
-    for d in range(reach):
+    for d in range(max(1, len(text) // 2)):
         for p in (middle - d, middle + d):
             if not margin < p < len(text) - margin:
                 continue
             a, b = _kind(text[p - 1]), _kind(text[p])
-            if a != b and a != 2 and text[p - 1] != "'" and whole(p):
+            if a != b and a != 2 and (text[p - 1] != "'" or b == 2) and whole(p):
                 return p, True
-            if inside is None and a == b and a < 2 and whole(p):
+            if inside is None and a == b and whole(p) and (a < 2 or (a == 2 and (p + 1 == len(text) or _kind(text[p + 1]) == 2)) or (a == 3 and not _SHORTENED.match(text, p))):
                 inside = p
         if inside is not None and d >= 4096:
             break
@@ -87,11 +97,20 @@ def leaves(text: str, specials: tuple[str, ...], limit: int = LEAF) -> list[tupl
 
 
 def encode(enc: tiktoken.Encoding, text: str) -> list[int]:
-    return enc.encode(text, allowed_special="all")
+    """The ids of a text. Long white space is encoded as the pre-token that it is: without its last code point where other text follows."""
+    if len(text) < 4096 or not _LONG_SPACE.search(text):
+        return enc.encode(text, allowed_special="all")
+    out, at = [], 0
+    for m in _LONG_SPACE.finditer(text):
+        closed = m.end() == len(text) or any(text.startswith(x, m.end()) for x in enc.special_tokens_set)
+        end = m.end() if closed else m.end() - 1
+        out += enc.encode(text[at: m.start()], allowed_special="all") + _one_token(enc.name).encode_ordinary(text[m.start(): end])
+        at = end
+    return out + enc.encode(text[at:], allowed_special="all")
 
 
 def join(enc: tiktoken.Encoding, left: list[int], right: list[int]) -> list[int]:
-    """The ids of the joined text, from the ids of two parts of one run of letters or digits.
+    """The ids of the joined text, from the ids of two parts of one run of letters, digits, white space or punctuation.
 
     The tokens around the join are decoded and encoded again, in a window that doubles until the new ids start with
     the window's first left id and end with its last right id; a side that the window covers whole needs no agreement.
@@ -113,13 +132,29 @@ def join(enc: tiktoken.Encoding, left: list[int], right: list[int]) -> list[int]
         size *= 2
 
 
+def join_all(enc: tiktoken.Encoding, level: list[list[int]]) -> list[int]:
+    """The ids of a run from those of its parts, in order, joined pairwise in a tree."""
+    while len(level) > 1:
+        level = [join(enc, x, y) for x, y in zip(level[::2], level[1::2])] + level[len(level) // 2 * 2:]
+    return level[0]
+
+
+def runs_of(enc: tiktoken.Encoding, parts: Iterator[tuple[list[int], bool]]) -> Iterator[list[int]]:
+    """The ids of successive runs that encode independently, from leaves (ids, it stands apart from the one before)."""
+    held: list[list[int]] = []
+    for ids, apart in parts:
+        if apart and held:
+            yield join_all(enc, held)
+            held = []
+        held.append(ids)
+    if held:
+        yield join_all(enc, held)
+
+
 def encode_tree(enc: tiktoken.Encoding, text: str, limit: int = LEAF) -> list[int]:
     """The ids of a whole text by its leaves, joined pairwise; the same as encoding it at once."""
     specials = tuple(enc.special_tokens_set)
-    level = [(encode(enc, part), apart) for part, apart in leaves(text, specials, limit)]
-    while len(level) > 1:
-        level = [((x[0] + y[0] if y[1] else join(enc, x[0], y[0])), x[1]) for x, y in zip(level[::2], level[1::2])] + level[len(level) // 2 * 2:]
-    return level[0][0]
+    return [i for run in runs_of(enc, ((encode(enc, part), apart) for part, apart in leaves(text, specials, limit))) for i in run]
 
 
 def _digest(parts: Iterator[list[int]], enc: tiktoken.Encoding) -> tuple[int, str, str]:
@@ -152,7 +187,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) for each row of ``docs``; null and empty texts have no tokens.
 
     Texts up to ``leaf`` code points are encoded where they are read, without a shuffle. Longer ones become leaf rows,
-    dealt to all tasks and encoded apart; the leaves of one text then meet again, in order, to be joined and digested.
+    dealt to all tasks and encoded apart; the leaves of one text then meet again, in order, to be joined pairwise and digested run by run.
     Repeated rows and repeated ids each give their row; a null id stays null. Extra columns are not read. ``path`` must be readable
     where tasks run, as the installed vocabulary package is.
     """
@@ -161,7 +196,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     is_long = F.length("text") > leaf
 
-    def row(out: dict[str, list], key: int | None, parts: list[list[int]], enc: tiktoken.Encoding) -> None:
+    def row(out: dict[str, list], key: int | None, parts: Iterable[list[int]], enc: tiktoken.Encoding) -> None:
+        parts = list(parts) if with_ids else parts  # digests need one run at a time
         for name, v in zip(names, (key, *_digest(iter(parts), enc), [i for p in parts for i in p] if with_ids else None)):
             out[name].append(v)
 
@@ -195,23 +231,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def whole_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = load(path)
-        key, uid, parts = None, None, []
-        for batch in batches:
-            for k, u, apart, raw in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4))):
-                ids = np.frombuffer(raw, dtype="<u4").tolist()
-                if u != uid:
-                    if uid is not None:
-                        out: dict[str, list] = {n: [] for n in names}
-                        row(out, key, parts, enc)
-                        yield batch_of(out)
-                    key, uid, parts = k, u, []
-                if apart or not parts:
-                    parts.append(ids)
-                else:
-                    parts[-1] = join(enc, parts[-1], ids)
-        if uid is not None:
-            out = {n: [] for n in names}
-            row(out, key, parts, enc)
+        found = ((k, u, apart, raw) for batch in batches for k, u, apart, raw in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4))))
+        for (key, _), mine in groupby(found, lambda r: (r[0], r[1])):
+            out: dict[str, list] = {n: [] for n in names}
+            row(out, key, runs_of(enc, ((np.frombuffer(raw, dtype="<u4").tolist(), apart) for _, _, apart, raw in mine)), enc)
             yield batch_of(out)
 
     longs = src.where(is_long).select("id", F.concat_ws("-", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.monotonically_increasing_id().cast("string")).alias("uid"), "text")

@@ -337,7 +337,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
 TOKENIZER.no_truncation()
 TOKENIZER.no_padding()
-HARD = ["", " ", "\n\n  \t", "a" * 3001, "ab" * 2000 + "1" * 999, "don't we'll I'd ''s", "🙂" * 300, "é" * 700, "日本語" * 400, "x<|endoftext|>y", "<|endoftext|>" * 50, "  a  b   c", "1234567890" * 100, "word " * 500, "!?" * 900, "　 \xa0a", "á" * 300, "\x00\x01"]
+HARD = ["", " ", "\n\n  \t", "a" * 3001, "ab" * 2000 + "1" * 999, "don't we'll I'd ''s", "🙂" * 300, "é" * 700, "日本語" * 400, "x<|endoftext|>y", "<|endoftext|>" * 50, "  a  b   c", "1234567890" * 100, "word " * 500, "!?" * 900, "'" * 700 + "s", "a" + " " * 500 + "b" + "\n" * 300 + "<|endoftext|>" + " " * 90, "'s" * 300, "' " * 300, "''t!" * 150, "''ll 'x" * 80, " \n" * 200 + "!", "''<|endoftext|>'s" * 20, "  's" * 90, "''  d" * 90, "''1'd" * 40, "''🙂're" * 60, "\t'm " * 90, "　 \xa0a", "á" * 300, "\x00\x01"]
 
 
 def expected(text):
@@ -352,6 +352,13 @@ def test_bpe_equals_the_tokenizer(docs, odd, none):
     assert bpe.encode_documents(none, PATH).collect() == []
 
 
+@pytest.mark.parametrize("text", ["word " * 20_000 + " " * 1_500_000 + "then words " * 20_000, " " * 2_000_000 + "a", "\n" * 2_000_000, "!" * 2_000_000, "'" * 400_001 + "s" + "'s" * 300_000, " \n\t" * 700_000 + "<|endoftext|>x", "a" * 1_200_001, "' " * 600_000],
+                         ids=["words and spaces", "spaces", "lines", "marks", "apostrophes", "mixed space", "letters", "alternating"])
+def test_bpe_of_very_long_runs(spark, text):
+    got = bpe.encode_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).collect()
+    assert [tuple(r) for r in got] == [(1, *expected(text))]
+
+
 @pytest.mark.parametrize("leaf", [16, 97, 256])
 def test_bpe_trees_equal_the_tokenizer(spark, leaf):
     enc = bpe.load(PATH)
