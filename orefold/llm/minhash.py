@@ -20,6 +20,8 @@ from orefold.llm.common import Scratch, components, roots, run_hashes, shingles,
 #: 2 * HALF = 8 rows cost 2 * COLLECTION * HALF = 128 minhashes instead of 2048.
 COLLECTION, HALF = 16, 4
 SEED = 20_261
+#: Parts into which what shares one text, key or set is dealt before it meets.
+SALTS = 64
 #: Shingles (and 200 a text) of a block of candidate texts that are compared in one task.
 BLOCK = 1 << 18
 
@@ -80,28 +82,32 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets have 100 * intersection >= threshold * union."""
+    """Pairs (a, b) whose full shingle sets have 100 * intersection >= threshold * union.
+
+    The pairs of one a are dealt to SALTS parts; each part gets the text of a once, before those of its partners.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
+        key, left = None, np.empty(0, np.uint64)
         for batch in batches:
             a, b, kept = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            right = np.empty(len(b), dtype=object)
-            for first, h, bounds in word_hashes(batch.column(3)):
+            for first, h, bounds in word_hashes(batch.column(2)):
                 for i in range(len(bounds) - 1):
-                    right[first + i] = shingles(h[bounds[i]: bounds[i + 1]], width)
-            for i, key in enumerate(a):
-                if key != last[0]:
-                    (_, h, _), = word_hashes(batch.column(2).slice(i, 1))
-                    last = key, shingles(h, width)
-                both = len(np.intersect1d(last[1], right[i], assume_unique=True))
-                if 100 * both >= threshold * (len(last[1]) + len(right[i]) - both) and both:
-                    kept.append(i)
+                    mine = shingles(h[bounds[i]: bounds[i + 1]], width)
+                    if b[first + i] is None:
+                        key, left = a[first + i], mine
+                        continue
+                    if a[first + i] != key:
+                        raise ValueError(f"pairs of {a[first + i]} without its text")
+                    both = len(np.intersect1d(left, mine, assume_unique=True))
+                    if both and 100 * both >= threshold * (len(left) + len(mine) - both):
+                        kept.append(first + i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64())], names=["a", "b"])
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    right = dealt.join(texts.select(F.col("id").alias("b"), "text"), "b").select("a", "b", "text", "part")
+    left = dealt.select("a", "part").distinct().join(texts.select(F.col("id").alias("a"), "text"), "a").select("a", F.lit(None).cast("long").alias("b"), "text", "part")
+    return right.unionAll(left).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).select("a", "b", "text").mapInArrow(run, "a long, b long")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -145,6 +151,13 @@ def _linked(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
     return pd.DataFrame({"a": node[near], "b": root[near]})
 
 
+def _by_key(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``keys`` (one row a key), as an inner join; each key meets its rows in SALTS parts, so a hot key is no hot task."""
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    met = dealt.groupBy("key", "part").agg(F.lit(1).alias("one")).join(keys, "key").drop("one")
+    return dealt.join(met, ["key", "part"]).drop("part")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 4, threshold: int = 80) -> DataFrame:
     """Groups of documents whose shingle sets are linked: (doc_id, n_shingles, component_id, kept), a row for each input row.
 
@@ -154,7 +167,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     still hold classes of several components go on: their classes form candidate groups, which are dealt to blocks of
     bounded size in order of set size, and the pairs of blocks that may hold links compare all their sets and return a spanning
     forest. So each pair of classes that share a table is linked, in one component, or refused; nothing is capped, and
-    no group meets in one task.
+    no group meets in one task. Shingles are compared as 64-bit hashes of their words.
 
     Null and empty texts have no set (n_shingles 0) and no links. A row without id has a null component and is kept.
     Ids should be unique; repeated rows with one id are one node, and each gets its row. Extra columns are not read.
@@ -162,9 +175,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     s = Scratch(spark, "minhash")
     rows = s.save(sketches(docs, id_col, text_col, width), "sketches")
     has = rows.where("set_id is not null and id is not null")
-    classes = has.groupBy("set_id").agg(F.min("id").alias("rep"))
-    nodes = has.join(classes, "set_id").where("id = rep").dropDuplicates(["set_id"]).select("rep", "n_shingles", "a", "b")
-    nodes = s.save(nodes, "nodes")
+    classes = s.save(has.groupBy("set_id").agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.min_by(F.struct("n_shingles", "a", "b"), "id").alias("r")), "classes")
+    nodes = classes.select("rep", "r.*")
 
     def shared(side: str) -> DataFrame:
         keys = nodes.select("rep", F.explode(side).alias("key"))
@@ -172,7 +184,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         return keys.join(often, "key").groupBy("rep").agg(F.collect_set("key").alias(side))
 
     tables = shared("a").join(shared("b"), "rep").select("rep", F.explode("a").alias("ka"), "b").select("rep", "ka", F.explode("b").alias("kb")).select("rep", F.xxhash64("ka", "kb").alias("key"))
-    first = s.save(tables.select("key", "rep", F.min("rep").over(Window.partitionBy("key")).alias("low"), F.count("*").over(Window.partitionBy("key")).alias("c")).where("c > 1").drop("c"), "tables")
+    tables = s.save(tables, "tables")
+    shared_keys = tables.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("c")).where("c > 1").select("key", "low")
+    first = s.save(_by_key(tables, shared_keys), "first")
     sizes = nodes.select("rep", F.col("n_shingles").alias("n"))
     some = first.select(F.col("rep").alias("id")).distinct()
     texts = s.save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(some, "id", "left_semi").dropDuplicates(["id"]), "texts")
@@ -182,13 +196,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     labels = s.save(components(edges, s, "stars"), "labels")
 
     named = first.join(labels, first.rep == labels.id, "left").select("key", "rep", "low", F.coalesce("component", "rep").alias("label"))
-    seen = Window.partitionBy("key")
-    unsettled = named.select("*", F.min("label").over(seen).alias("p"), F.max("label").over(seen).alias("q")).where("p <> q")
-    unsettled = s.save(unsettled.groupBy("rep", "low").agg(F.first("label").alias("label")), "unsettled")
+    open_keys = named.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("key")
+    unsettled = s.save(_by_key(named, open_keys).groupBy("rep", "low").agg(F.first("label").alias("label")), "unsettled")
     groups = components(unsettled.select(F.col("rep").alias("a"), F.col("low").alias("b")), s, "groups").select(F.col("id").alias("rep"), F.col("component").alias("g"))
     members = unsettled.select("rep", "label").distinct().join(groups, "rep").join(sizes, "rep")
-    fill = F.sum(F.col("n") + 200).over(Window.partitionBy("g").orderBy("n", "rep"))
-    members = s.save(members.withColumn("block", F.floor(fill / BLOCK)), "members")
+    # Places in a group, in order of set size: sums of (group, size, part) first, then places in these.
+    members = s.save(members.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(SALTS))).withColumn("w", F.col("n") + 200), "members")
+    parts = members.groupBy("g", "n", "part").agg(F.sum("w").alias("w"))
+    upto = F.coalesce(F.sum("w").over(Window.partitionBy("g").orderBy("n", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("w").over(Window.partitionBy("g", "n", "part").orderBy("rep"))
+    placed = members.join(parts.select("g", "n", "part", upto.alias("before")), ["g", "n", "part"]).select("rep", "label", "g", "n", F.floor((F.col("before") + inside) / BLOCK).alias("block"))
+    members = s.save(placed, "placed")
     blocks = members.groupBy("g", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("label").alias("l0"), F.max("label").alias("l1"))
     other = blocks.toDF("g", "y", "m0", "m1", "k0", "k1")
     meet = blocks.withColumnRenamed("block", "x").join(other, "g").where(f"x <= y and 100 * n1 >= {threshold} * m0 and not (l0 = l1 and k0 = k1 and l0 = k0)").select("g", "x", "y")
@@ -198,15 +216,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     met = full.join(dealt, ["g", "block"]).select("g", "x", "y", "block", "rep", "label", "set")
     late = s.save(met.groupBy("g", "x", "y").applyInPandas(lambda pdf: _linked(pdf, threshold), "a long, b long"), "late")
     labels = s.save(components(late.union(labels.select("id", "component")), s, "all"), "components")
-    s.drop("tables", "texts", "unsettled", "members")
-
-    thin = rows.select("id", "n_shingles", "set_id")
-    out = (thin.join(classes, "set_id", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-           .select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id")))
+    s.drop("tables", "first", "texts", "unsettled", "members", "meet")
+
+    # Copies of one text may be a third of all rows: their set meets its class once for each part of them.
+    named = classes.where("members > 1").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("c"))
+    part = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("part")
+    thin = rows.select("id", "n_shingles", "set_id", part)
+    copies = thin.where("set_id is not null and id is not null").groupBy("set_id", "part").agg(F.lit(1).alias("one")).join(named, "set_id").select("set_id", "part", "c")
+    out = (thin.join(copies, ["set_id", "part"], "left").join(labels, "id", "left")
+           .select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("c", "component", "id")).alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The documents with one row of each group of near duplicates; rows without id stay, repeated ids give one row."""
+    """The documents with one row of each group of near duplicates. Rows without id stay; repeated rows give one row, and rows of a kept id with other texts stay."""
     kept = near_duplicates(spark, docs, **options).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    text = options.get("text_col", "text")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", text]).select(docs.columns).unionByName(docs.where("doc_id is null"))
