@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 from operator import and_, or_
 
@@ -24,6 +25,8 @@ se ser si sin sobre son su sus también te tiene un una y ya yo
 
 #: Content words in a chain, after its anchor.
 CHAIN = 3
+#: Percentiles of ids that the driver gets, and buckets of neighbouring ids, at most.
+PERCENTILES, MOST_BUCKETS = 256, 1 << 20
 
 
 def _let(value: Column, body) -> Column:
@@ -86,21 +89,38 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def with_next(docs: DataFrame, id_col: str, values: list[str], rows_in_bucket: int = 500, most_buckets: int = 1024) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, values: list[str], rows_in_bucket: int = 500) -> DataFrame:
     """Each row with the next one's ``values`` as next_<value>, ids descending (nulls last; ties by a hash of the first value); after the last row, the first.
 
-    Rows are dealt to buckets of neighbouring ids, whose bounds are percentiles; the first row of a bucket is also put
-    at the end of the bucket above, so a window in each bucket sees every neighbour and no task sees the whole table.
+    Rows are dealt to buckets of neighbouring ids: between percentiles of the ids (at most PERCENTILES) by equal steps, and an id
+    that is itself several percentiles, like null, by the hash. The number of buckets follows the number of rows, up to MOST_BUCKETS.
+    The first row of a bucket is also put at the end of the bucket above, so a window in each bucket sees every neighbour
+    and no task sees the whole table. Only ids and hashes of the first rows, one a bucket, are broadcast (32 MB at most).
     """
     order = [F.col(id_col).desc_nulls_last(), F.col("_h")]
-    n = docs.count()
-    buckets = max(1, min(most_buckets, n // rows_in_bucket))
-    cuts = docs.select(F.percentile_approx(id_col, [i / buckets for i in range(1, buckets)] or [0.5], 10_000).alias("c")).first()["c"] if n and buckets > 1 else []
+    size = docs.agg(F.count("*").alias("n"), F.count(id_col).alias("ids"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).first()
+    some = max(1, min(PERCENTILES, size.ids // rows_in_bucket))
+    cuts = docs.select(F.percentile_approx(id_col, [i / some for i in range(1, some)], 10_000).alias("c")).first()["c"] if some > 1 else []
+    heavy = [c for c, n in Counter(cuts or []).items() if n > 1]
     cuts = sorted(set(cuts or []))
+    steps = max(1, min(MOST_BUCKETS, -(-size.ids // rows_in_bucket)) // (2 * (len(cuts) + 1)))
     held = docs.withColumn("_h", F.xxhash64(values[0]))
-    bucket = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<long>"), lambda c: c <= F.col(id_col))) if cuts else F.lit(0))
+    array = lambda x: F.array(*[F.lit(c) for c in x]).cast("array<long>")
+
+    def by_hash(k: int) -> Column:
+        """0 .. k - 1, ascending with the hash."""
+        return F.least(F.lit(k - 1), F.floor((F.col("_h").cast("double") / 2.0**64 + 0.5) * k)).cast("long")
+
+    def between(i: Column) -> Column:
+        """The bucket of an id in the i-th interval: a heavy lower end first, in falling order of the hash."""
+        lo, hi, v = F.get(array([size.lo or 0, *cuts]), i), F.get(array([*cuts, (size.hi or 0) + 1]), i), F.col(id_col)
+        step = F.least(F.lit(steps - 1), F.floor((v.cast("double") - lo) / F.greatest(hi.cast("double") - lo, F.lit(1.0)) * steps)).cast("long")
+        return i * (2 * steps) + (F.when(v.isin(heavy), steps - 1 - by_hash(steps)).otherwise(steps + F.greatest(F.lit(0), step)) if heavy else steps + F.greatest(F.lit(0), step))
+
+    place = _let(F.size(F.filter(array(cuts), lambda c: c <= F.col(id_col))), between) if cuts else between(F.lit(0))
+    bucket = F.when(F.col(id_col).isNull(), -1 - by_hash(max(1, min(MOST_BUCKETS, (size.n - size.ids) // rows_in_bucket)))).otherwise(place)
     dealt = held.withColumn("_b", bucket)
-    # at most most_buckets + 1 rows: the first of each bucket, and the bucket that goes before
+    # the first row of each bucket, and the bucket that goes before
     firsts = docs.select(id_col, F.xxhash64(values[0]).alias("_h")).withColumn("_b", bucket).groupBy("_b").agg(F.min(F.struct((-F.col(id_col)).alias("k"), "_h")).alias("f"))
     every = Window.orderBy(F.col("_b").desc())
     firsts = firsts.withColumn("_to", F.coalesce(F.lag("_b").over(every), F.min("_b").over(Window.partitionBy())))
@@ -134,10 +154,10 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Sets are partitioned by length so that a set's partners are in its own partition or the next one, and pruned twice:
     only sets that share one of their rarest signatures (as many as the threshold lets them miss, and one more) meet,
-    and only when their lengths allow the threshold. Then the whole sets are compared. Texts without signatures have no pairs.
+    and only when their lengths allow the threshold. Then the whole sets are compared. Texts without signatures and rows without id have no pairs.
     """
-    c = classes(docs, id_col, text_col, cover=cover).where("size(sigs) > 0").groupBy("sigs").agg(F.min("doc_id").alias("id"))
-    c = c.withColumn("n", F.size("sigs")).withColumn("part", F.floor(F.log("n") / -F.log(F.lit(threshold))).cast("int"))
+    c = _signed(docs, id_col, text_col, cover).where("size(sigs) > 0 and doc_id is not null").groupBy("sigs").agg(F.min("doc_id").alias("id"))
+    c = c.withColumn("n", F.size("sigs")).withColumn("part", F.floor(F.log("n") / -F.log(F.lit(threshold)) + 1e-9).cast("int"))
     often = c.select(F.explode("sigs").alias("s")).groupBy("s").agg(F.count("*").alias("f"))
     rare = c.select("id", "n", "part", F.explode("sigs").alias("s")).join(often, "s")
     rare = rare.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("f", "s"))).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
@@ -150,6 +170,16 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return both.select("a", "b", likeness(F.col("x"), F.col("y")).alias("near")).where(F.col("near") >= threshold)
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, cover: bool = False) -> DataFrame:
-    """(doc_id, sigs) of each row: rows of equal sets are one class, named by its smallest id."""
+def _signed(docs: DataFrame, id_col: str, text_col: str, cover: bool) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), signatures(F.col(text_col), cover).alias("sigs"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, cover: bool = False, parts: int = 64) -> DataFrame:
+    """(doc_id, class_id) of each row: rows of equal sets are one class, named by its smallest id (null: none of them has one).
+
+    A class is joined to its rows in ``parts`` parts, so copies of one text are no hot task.
+    """
+    rows = _signed(docs, id_col, text_col, cover).select("doc_id", F.sha1(fingerprint(F.col("sigs")).cast("binary")).alias("set"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"))
+    named = rows.groupBy("set").agg(F.min("doc_id").alias("class_id"))
+    met = rows.groupBy("set", "part").agg(F.lit(1).alias("one")).join(named, "set").select("set", "part", "class_id")
+    return rows.join(met, ["set", "part"]).select("doc_id", "class_id")

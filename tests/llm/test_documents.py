@@ -144,8 +144,41 @@ def test_fingerprints_of_odd_rows(odd, none):
     assert len(got) == odd.count() and spotsigs.fingerprint_edits(none).collect() == []
     assert {r.fingerprint for r in got if r.doc_id in (1, 2)} == {""}
     assert len({r.fingerprint for r in got if r.doc_id in (5, 6, None)}) == 1
-    pairs = {(r.a, r.b) for r in spotsigs.near_pairs(odd, threshold=0.8).collect()}
-    assert (5, 8) in pairs or jaccard(spots(WORDS), spots(WORDS + " tail")) < 0.8
+    by_class = collections.defaultdict(set)
+    for r in spotsigs.classes(odd).collect():
+        by_class[r.class_id].add(r.doc_id)
+    assert by_class[5] == {5, 6, 7, None} and by_class[11] == set(range(11, 41)) and by_class[1] == {1, 2}  # 3 is white space: its own signature
+
+
+@pytest.mark.parametrize("rows_in_bucket", [1, 3, 500])
+def test_next_rows_in_small_buckets(spark, rows_in_bucket):
+    """Rows by id descending, with a third of one id and a third of no id, which are dealt by the hash."""
+    rng = np.random.default_rng(rows_in_bucket)
+    ids = [int(x) for x in rng.integers(-50, 10**12, 120)] + [77] * 120 + [None] * 120 + list(range(100))
+    got = spotsigs.with_next(spark.createDataFrame([(i, f"t{n}") for n, i in enumerate(ids)], "id long, v string"), "id", ["v"], rows_in_bucket).selectExpr("id", "v", "next_v", "xxhash64(v) h").collect()
+    order = sorted(got, key=lambda r: (r.id is None, -(r.id or 0), r.h))
+    assert len(got) == len(ids) and [r.next_v for r in order] == [r.v for r in order[1:] + order[:1]]
+
+
+def test_near_pairs_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    base = [[str(x) for x in rng.choice([f"w{n}" for n in range(300)] + ["the", "of", "and", "in"] * 30, 60)] for _ in range(12)]
+    texts = {}
+    for n in range(240):
+        words = list(base[n % 12])[: rng.integers(20, 61)] if n % 3 else list(base[n % 12])
+        for _ in range(rng.integers(0, 4)):
+            words[rng.integers(0, len(words))] = f"w{rng.integers(0, 300)}"
+        texts[n + 1] = " ".join(words)
+    got = {(r.a, r.b): r.near for r in spotsigs.near_pairs(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    low, want = {}, {}
+    for i, t in sorted(texts.items()):
+        low.setdefault(frozenset(spots(t)), i)
+    ids = sorted((i, s) for s, i in low.items())
+    for n, (a, x) in enumerate(ids):
+        for b, y in ids[n + 1:]:
+            if jaccard(x, y) >= 0.8:
+                want[a, b] = jaccard(x, y)
+    assert len(want) > 20 and set(got) == set(want) and all(got[k] == pytest.approx(v) for k, v in want.items())
 
 
 def test_fingerprints_cover_texts_without_anchors(spark, tmp_path):
