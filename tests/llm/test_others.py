@@ -21,7 +21,7 @@ def test_near_vectors_match_brute_force(spark):
     centres = rng.normal(size=(12, 24))
     v = [centres[n % 12] + rng.normal(size=24) * (0.01, 0.13, 0.16)[n % 3] for n in range(300)]
     table = [(n, [float(np.float32(x)) for x in v[n]], n % 4) for n in range(300)]
-    table += [(400 + n, x, 1) for n, x in enumerate((None, [], [0.0] * 24, [float("nan")] * 24, [float("inf")] + [0.0] * 23, [None] * 24, table[1][1], table[1][1], [1.0, 2.0], [1.0, 2.0]))]
+    table += [(400 + n, x, 1) for n, x in enumerate((None, [], [0.0] * 24, [float("nan")] * 24, [float("inf")] + [0.0] * 23, [None] * 24, table[1][1], table[1][1], [1.0, 2.0], [1.0, 2.001]))]
     table += [(500, table[1][1], None), (None, table[1][1], 1), table[5]]
     df = spark.createDataFrame([(*r, 1, "x") for r in table], "vec_id long, embedding array<float>, label int, vec int, pivots string")
     got = embed_dedup.near_vectors(spark, df).collect()
@@ -61,6 +61,23 @@ def test_near_vectors_find_planted_pairs(spark, width, common):
     assert near.sum() >= 590 and (found <= near.sum(1)).all() and found.sum() >= 0.95 * near.sum()
 
 
+@pytest.mark.parametrize("common", [0.0, 0.8])
+def test_near_vectors_of_a_larger_table(spark, common):
+    """Recall of pairs planted at cosine 0.98 to 0.99 in 20000 vectors of few labels, one with half of all, with the pivots that the table gets."""
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    v = unit(np.sqrt(common) * unit(rng.normal(size=64)) + np.sqrt(1 - common) * unit(rng.normal(size=(19_000, 64))))
+    a, noise, cosine = v[:1000], rng.normal(size=(1000, 64)), rng.uniform(0.98, 0.99, size=(1000, 1))
+    b = cosine * a + np.sqrt(1 - cosine ** 2) * unit(noise - (noise * a).sum(1, keepdims=True) * a)
+    e, label = np.r_[v, b], [min(n % 19_000 % 8, 4) for n in range(20_000)]
+    table = spark.createDataFrame([(n, x.tolist(), label[n]) for n, x in enumerate(e)], "vec_id long, embedding array<double>, label int")
+    want = {n for n in range(1000) if e[n] @ e[19_000 + n] >= 0.98}
+    got = {r.vec_id: r for r in embed_dedup.near_vectors(spark, table).where("n_links > 0").collect()}
+    hit = {n for n in want if n in got and got[n].component_id == n and got.get(19_000 + n, got[n]).component_id == n and 19_000 + n in got}
+    print(f"mean cosine {common}: {len(hit)} of {len(want)} planted links")
+    assert len(want) > 900 and len(hit) >= 0.95 * len(want) and sum(r.n_links for r in got.values()) <= 2 * len(want) + 4
+
+
 @pytest.mark.parametrize("few", [0, 1000])
 def test_components(spark, monkeypatch, few):
     monkeypatch.setattr(common, "FEW_EDGES", few)
