@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,7 +28,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 WALLS = {"table", "ul", "ol", "dl", "select"}
 
 FEATURES = 1 << 14
-SEED, PAGES, STEPS = 5, 600, 90
+SEED, PAGES, STEPS = 5, 900, 90
 
 
 @dataclass
@@ -37,7 +38,10 @@ class Block:
     linked: int  # code points inside links
 
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?>[^>"'=]+|=\s*(?:"[^"]*"|'[^']*')|[="'])*+)>)""", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_ATTRIBUTES = re.compile(r"""(?>[^>"'=]+|=\s*(?:"[^"]*"|'[^']*')|[="'])*+""")
+#: Outermost and innermost ancestors that describe a block, of a path deeper than both.
+OUTER = 64
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS, _HUMP = re.compile(r"[a-z]+"), re.compile(r"([a-z])([A-Z])")
 
@@ -48,12 +52,37 @@ def _named(attributes: str) -> tuple[str, ...]:
     return tuple(_WORDS.findall(_HUMP.sub(r"\1 \2", " ".join(a or b or c for a, b, c in _NAMES.findall(attributes))).lower()))
 
 
+class Tags:
+    """The tags of a page, in order, each found from where the last one ended, in time linear in the page.
+
+    A tag ends at the first ">" outside quoted values. Where quotes leave a tag open to the end of the page, this and all
+    later tags end at the first ">" of any kind; without one the rest of the page is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+
+    def after(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """(start, end, it is an end tag, name, attributes) of the first tag from ``at`` on; comments and declarations have no name."""
+        m = _OPEN.search(self.page, at)
+        if m is None:
+            return None
+        if m[2] is None:
+            mark = "-->" if m[0] == "<!--" else ">"
+            end = self.page.find(mark, m.end())
+            return m.start(), len(self.page) if end < 0 else end + len(mark), False, None, ""
+        end = _ATTRIBUTES.match(self.page, m.end()).end() if self.quotes else len(self.page)
+        if end == len(self.page):
+            self.quotes, end = False, self.page.find(">", m.end())
+        return None if end < 0 else (m.start(), end + 1, bool(m[1]), m[2].lower(), self.page[m.end(): end])
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page, in order: runs of text between the tags of block elements.
 
     Tags may be missing or crossed: a paragraph ends where the next block begins, list items and cells where the next
     one does, an end tag closes what is open inside its element, and stray ones are ignored. Elements of raw content run
-    to their own end tag, or to the end of the page.
+    to their own end tag, or to the end of the page. Of a path deeper than 2 * OUTER the middle is left out.
     """
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -66,7 +95,8 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append(Block(text, tuple(stack), linked))
+                path = stack if len(stack) <= 2 * OUTER else stack[:OUTER] + stack[-OUTER:]
+                found.append(Block(text, tuple(path), linked))
             parts = []
         links = linked = 0
 
@@ -77,51 +107,60 @@ def blocks(page: str) -> list[Block]:
             parts.append(data)
             linked += len(data) if links else 0
 
-    while m := _TAG.search(page, at):
-        say(page[at: m.start()])
-        at = m.end()
-        if m[2] is None:
+    tags, opened = Tags(page), Counter()
+
+    def cut_stack(i: int) -> None:
+        opened.subtract(t for t, _ in stack[i:])
+        del stack[i:]
+
+    def push(tag: str, attributes: str) -> None:
+        stack.append((tag, _named(attributes) if attributes else ()))
+        opened[tag] += 1
+
+    while found_tag := tags.after(at):
+        start, end, closing, tag, attributes = found_tag
+        say(page[at: start])
+        at = end
+        if tag is None:
             continue
-        tag = m[2].lower()
-        if tag in RAW and not m[1]:
-            end = re.compile(rf"</{tag}\s*/?>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+        if tag in RAW and not closing:
+            until = re.compile(rf"</{tag}\s*/?>", re.I).search(page, at)
+            at = until.end() if until else len(page)
             if not hidden:
                 parts.append(" ")
-        elif tag == "body" and not m[1]:
+        elif tag == "body" and not closing:
             hidden = []  # a head that was never ended ends here
             flush()
-            stack.append((tag, _named(m[3])))
+            push(tag, attributes)
         elif hidden:
             if tag == hidden[-1]:
-                hidden.pop() if m[1] else hidden.append(tag)
+                hidden.pop() if closing else hidden.append(tag)
         elif tag == "a":
-            links = max(0, links - 1) if m[1] else links + 1
+            links = max(0, links - 1) if closing else links + 1
         elif tag == "hr":
             flush()
         elif tag in VOID:
             if tag in ("br", "img", "input"):
                 parts.append(" ")
         elif tag in HIDDEN:
-            if not m[1] and not m[3].endswith("/"):
+            if not closing and not attributes.endswith("/"):
                 hidden.append(tag)
         elif tag in BLOCKS:
             flush()
-            if m[1]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+            if closing:
+                if opened[tag]:
+                    cut_stack(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             else:
                 if stack and stack[-1][0] == "p":
-                    stack.pop()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in CLOSES.get(tag, ()):
-                        del stack[i:]
-                        break
-                    if stack[i][0] in WALLS:
-                        break
-                stack.append((tag, _named(m[3]) if m[3] else ()))
+                    cut_stack(len(stack) - 1)
+                if any(opened[t] for t in CLOSES.get(tag, ())):
+                    for i in range(len(stack) - 1, -1, -1):
+                        if stack[i][0] in CLOSES[tag]:
+                            cut_stack(i)
+                            break
+                        if stack[i][0] in WALLS:
+                            break
+                push(tag, attributes)
     say(page[at:])
     flush()
     return found
@@ -175,7 +214,7 @@ def labelled_pages(count: int, seed: int = SEED) -> list[tuple[str, list[str]]]:
     phrase = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
 
     def sentences(k: int) -> str:
-        return " ".join(phrase(3, 16).capitalize() + rng.choice([".", ".", ".", "!", "?", "%%%", ""]) for _ in range(k))
+        return " ".join(phrase(3, 16).capitalize() + rng.choice([".", ".", ".", "!", "?", "".join(rng.choices("%#*~@$^|", k=3)), ""]) for _ in range(k))
 
     pick = lambda *x: rng.choice(x)
     named = lambda *x: pick(f' class="{pick(*x)}"', f' id="{pick(*x)}"', f' class="{pick(*x)} {word()}"')
@@ -189,6 +228,8 @@ def labelled_pages(count: int, seed: int = SEED) -> list[tuple[str, list[str]]]:
             "sidebar": lambda: pick(f"<aside><h3>{phrase(1, 3)}</h3><p>{sentences(rng.randint(1, 4))}</p></aside>", f"<div{named('sidebar', 'widget', 'related', 'side', 'recommended', 'popular', 'trending', 'more')}><h3>{phrase(1, 4)}</h3><ul>{links(4)}</ul><p>{sentences(2)}</p></div>", f"<aside><ul>{links(5)}</ul></aside>"),
             "notice": lambda: pick(f"<div{named('cookie', 'cookies', 'cookie-banner', 'notice', 'consent', 'gdpr', 'alert', 'popup', 'modal', 'overlay', 'paywall', 'message')}><p>{pick('We use cookies. ', '', 'Your privacy matters. ')}{sentences(rng.randint(1, 3))}</p><button>{word()}</button></div>", f"<dialog{pick('', ' open')}><p>{sentences(2)}</p></dialog>", f'<div role="alert">{sentences(1)}</div>', f"<section{named('notice', 'cookie', 'consent', 'disclaimer')}>{sentences(2)}</section>"),
             "form": lambda: f"<form{pick('', named('search', 'newsletter', 'subscribe', 'signup', 'login'))}><label>{phrase(1, 4)}</label><input name=q>{pick('', f'<p>{sentences(1)}</p>')}<select><option>{word()}</option><option>{word()}<option>{word()}</select><button>{word()}</button></form>",
+            "letter": lambda: pick(f"<div{named('newsletter', 'newsletter-box', 'subscribe', 'subscribe-box', 'signup', 'signup-form', 'cta', 'call-to-action')}>{pick('', f'<h3>{phrase(1, 4)}</h3>')}<p>{pick('Subscribe to our newsletter. ', 'Sign up. ', '')}{sentences(1)}</p></div>", f"<section{named('newsletter', 'subscribe', 'cta')}><p>{sentences(1)}</p></section>"),
+            "crumbs": lambda: pick(f"<p{named('breadcrumb', 'breadcrumbs', 'crumbs', 'path')}><a href=/>{word()}</a> &gt; <a href=/x>{word()}</a></p>", f"<div>{' | '.join(f'<a href=/{word()}>{word()}</a>' for _ in range(rng.randint(3, 7)))}</div>", f"<table><tr>{''.join(f'<td><a href=/{word()}>{word()}</a></td>' for _ in range(rng.randint(2, 6)))}</tr></table>"),
             "share": lambda: f"<div{named('share', 'social', 'tags', 'toolbar', 'pagination', 'pager', 'author-links')}>{''.join(f'<a href=#>{word()}</a> ' for _ in range(4))}</div>",
             "script": lambda: pick(f'<script>var a = "<p>{word()}</p>"; if (a < 3) track("{word()}");</script>', f"<style>p {{ color: {word()} }}</style>", f"<!-- {sentences(1)} <p>{word()}</p> -->", f"<noscript><p>{phrase(2, 5)}</p></noscript>"),
             "comments": lambda: pick(f"<section{named('comments', 'comment-list', 'discussion', 'responses', 'replies', 'disqus', 'user-comments')}><h2>{pick('Comments', phrase(1, 2))}</h2>" + "".join(pick(f"<div{named('comment', 'reply', 'comment-body')}><b>{word()}</b><p>{sentences(rng.randint(1, 5))}</p></div>", f"<article{named('comment')}><p>{sentences(2)}</p></article>", f"<p>{sentences(2)}</p>") for _ in range(rng.randint(1, 4))) + "</section>", f"<div{named('comments', 'comment-thread', 'reader-comments', 'responses')}><ol>" + "".join(f"<li{named('comment', 'reply')}><p>{sentences(rng.randint(1, 6))}</p></li>" for _ in range(3)) + "</ol></div>"),
@@ -228,17 +269,25 @@ def labelled_pages(count: int, seed: int = SEED) -> list[tuple[str, list[str]]]:
                 parts.append("</tr></table>")
             if rng.random() < 0.12:
                 make = aside_parts()
-                parts.append(make[pick("ad", "share", "script", "form", "sidebar", "notice")]())
+                parts.append(make[pick("ad", "share", "script", "form", "sidebar", "notice", "letter", "letter")]())
         if rng.random() < 0.2:
             parts.append(aside_parts()["comments"]())
+        whole = rng.random()
+        if whole < 0.3 and len(parts) > 1:  # parts in sections or plain boxes of their own
+            tag, cuts = pick("section", "section", "div"), sorted(rng.sample(range(1, len(parts)), min(len(parts) - 1, rng.randint(1, 3))))
+            inner = pick("", named("section", "part", "chapter", "text-block", "block", "row", "col", "inner", "group"))
+            return "".join(f"<{tag}{inner}>{''.join(parts[a:b])}</{tag}>" for a, b in zip([0, *cuts], [*cuts, len(parts)])), kept
         return "".join(parts), kept
 
     out = []
     for _ in range(count):
         make, (body, kept) = aside_parts(), article()
         wrap = pick(("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), (f"<div{named('content', 'article', 'post', 'entry', 'main', 'story', 'post-body', 'article-body', 'text')}>", "</div>"), ('<div id="main"><div class="post">', "</div></div>"))
-        before = [make[k]() for k in ("header", "notice", "nav", "script", "ad", "form", "sidebar") if rng.random() < 0.45]
-        after = [make[k]() for k in ("share", "comments", "sidebar", "form", "ad", "script") if rng.random() < 0.4]
+        if rng.random() < 0.35:
+            wrap = pick(("<main><section>", "</section></main>"), ("<main>", "</main>"), (f"<section{named('content', 'post', 'article', 'story', 'body', 'page')}>", "</section>"), ("<section>", "</section>"), ("<div>", "</div>"), ('<div class="container"><div class="row"><div class="col">', "</div></div></div>"), ("", ""),
+                        (f"<table><tr><td>{''.join(f'<a href=/{word()}>{word()}</a><br>' for _ in range(4))}</td><td>", "</td></tr></table>"), (f"<table><tr><td{named('content', 'main', 'body')}>", "</td></tr></table>"), (f"<div{named('page', 'wrapper', 'container')}><main{named('content', 'main')}><section><div>", "</div></section></main></div>"))
+        before = [make[k]() for k in ("header", "notice", "nav", "script", "ad", "form", "sidebar", "crumbs", "letter") if rng.random() < 0.4]
+        after = [make[k]() for k in ("share", "comments", "sidebar", "form", "ad", "script", "letter") if rng.random() < 0.36]
         if rng.random() < 0.85:
             after.append(make["footer"]())
         rng.shuffle(before)
