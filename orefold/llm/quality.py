@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _CLASS[48:58] = 2
 _UPPER = np.zeros(256, dtype=np.int64)
 _UPPER[65:91] = 1
-PART_SLOTS = 1 << 12  # slots whose sums travel as one row
+PART_SLOTS = 1 << 11  # slots whose sums travel as one row
 _PART = 1 << 18  # bytes of a long text that are turned into slots at once
 
 
@@ -96,20 +98,50 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s = slots[a:b][order]
                 first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
                 total[s[first]] += np.add.reduceat(around[order], first, axis=0)
+    task = TaskContext.get().partitionId()
     for k in range(0, SLOTS, PART_SLOTS):
         part = slice(k, k + PART_SLOTS)
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([seen[part].tobytes()], pa.binary()), pa.array([total[part].tobytes()], pa.binary())], names=["first", "seen", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task], pa.int32()), *_packed(seen[part], total[part])], names=["first", "task", "seen", "sums"])
+
+
+def _packed(*sums: np.ndarray) -> list[pa.Array]:
+    return [pa.array([zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)], pa.binary()) for x in sums]
+
+
+def _added(parts: pa.Table, name: str) -> np.ndarray:
+    total = 0
+    for v in parts.column(name):
+        total = total + np.frombuffer(zstandard.decompress(v.as_py()), dtype=np.int64)
+    return total
+
+
+def _some(parts: pa.Table) -> pa.Table:
+    """The sums of several tasks over PART_SLOTS slots as one row."""
+    return pa.table([parts.column("first")[:1], *_packed(_added(parts, "seen"), _added(parts, "sums"))], names=["first", "seen", "sums"])
 
 
 def _vectors(parts: pa.Table) -> pa.Table:
-    """Unit word vectors of PART_SLOTS slots, from all tasks' sums; a word counts as its own neighbour, too."""
+    """Unit word vectors of PART_SLOTS slots, from all sums; a word counts as its own neighbour, too."""
     k = parts.column("first")[0].as_py()
-    add = lambda name: sum(np.frombuffer(v.as_py(), dtype=np.int64) for v in parts.column(name))
-    words = add("sums").reshape(-1, DIM) + index_vectors()[k: k + PART_SLOTS] * add("seen")[:, None]
+    words = _added(parts, "sums").reshape(-1, DIM) + index_vectors()[k: k + PART_SLOTS] * _added(parts, "seen")[:, None]
     length = np.sqrt((words.astype(np.float64) ** 2).sum(1, keepdims=True))
     return pa.table({"first": pa.array([k], pa.int32()), "words": pa.array([(words / np.where(length > 0, length, 1)).astype(np.float32).tobytes()], pa.binary())})
 
 
+def word_vectors(texts: DataFrame) -> np.ndarray:
+    """Random-indexing vectors of all slots, from the contexts in all ``texts`` (column text).
+
+    At most twice as many tasks as the cluster has cores sum their texts' contexts; the sums are added in two rounds, as many
+    at once as the root of their number, and SLOTS * DIM floats come to the driver. Sums are of integers, so any order gives the same.
+    """
+    tasks = 2 * texts.sparkSession.sparkContext.defaultParallelism
+    sums = texts.select(F.col("text").cast("string").alias("text")).coalesce(tasks).mapInArrow(_contexts, "first int, task int, seen binary, sums binary")
+    sums = sums.groupBy("first", (F.col("task") % max(1, int(tasks ** 0.5))).alias("some")).applyInArrow(_some, "first int, seen binary, sums binary")
+    parts = sums.groupBy("first").applyInArrow(_vectors, "first int, words binary").orderBy("first").toArrow()
+    found = {k: np.frombuffer(v, dtype=np.float32) for k, v in zip(parts.column("first").to_pylist(), parts.column("words").to_pylist())}
+    return np.concatenate([found.get(k, np.zeros(PART_SLOTS * DIM, np.float32)) for k in range(0, SLOTS, PART_SLOTS)]).reshape(SLOTS, DIM)
+
+
 def features(words: np.ndarray, slots: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Mean word vector of each text, with its share of unseen words, log length and share of distinct word pairs."""
     n = np.diff(bounds)
@@ -176,8 +208,8 @@ def held_out(id_col: str) -> Column:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model | None:
     """The model of at most ``sample`` labelled rows outside the held-out fold; None if labels hold one class or none.
 
-    The sample is the first rows by a hash of their ids. Index vectors are integers, so the sums over the sample's
-    contexts are the same in any order of rows. Null texts count as empty; labels other than 0 and 1, null ids and
+    Word vectors come from the contexts in all documents, which need no labels; the network is fitted on the sample, the
+    first rows by a hash of their ids. Null texts count as empty; labels other than 0 and 1, null ids and
     labels of absent documents are not used.
     """
     s = Scratch(spark, "quality")
@@ -187,9 +219,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample: int
     got = rows.groupBy("y").count().count()
     if got < 2:
         return None
-    sums = rows.select("text").coalesce(4).mapInArrow(_contexts, "first int, seen binary, sums binary")
-    parts = sums.groupBy("first").applyInArrow(_vectors, "first int, words binary").orderBy("first").toArrow()  # SLOTS * DIM floats
-    words = np.concatenate([np.frombuffer(v.as_py(), dtype=np.float32) for v in parts.column("words")]).reshape(SLOTS, DIM)
+    words = word_vectors(docs)
     sent = spark.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
