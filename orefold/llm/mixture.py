@@ -48,16 +48,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     in words. A hot source is no hot key: rows are summed by (source, bucket of the MD5), then the buckets' sums.
 
     Null and empty texts have size 0 and are taken 0 times; a null source is a source. Rows with one id and source are
-    ordered by size. An all-empty source has target 0. Extra columns are not read.
+    ordered by size, then, where texts are carried, by a hash of these. An all-empty source has target 0. Extra columns are not read.
     """
     thin = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
     thin = thin.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+    thin = thin.withColumn("ties", F.xxhash64(f"_carry_{text_col}") if text_col in carry else F.lit(0).cast("long"))
     thin = thin.withColumn("bucket", F.substring("key", 1, DIGITS)).withColumn("source", F.struct(F.col("source").alias("s")))
     sums = thin.groupBy("source", "bucket").agg(F.sum("size").alias("b"))
     sources = sums.groupBy("source").agg(F.sum("b").alias("source_size")).select(F.col("source.s").alias("source"), "source_size")
     goals = targets(sources, weights, share, most).select(F.struct(F.col("source").alias("s")).alias("source"), "source_size", "target")
     starts = sums.select("source", "bucket", F.coalesce(F.sum("b").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at")).join(goals, "source")
-    w = Window.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("source", "bucket").orderBy("key", "size", "ties").rowsBetween(Window.unboundedPreceding, -1)
     placed = thin.withColumn("within", F.coalesce(F.sum("size").over(w), F.lit(0))).join(starts, ["source", "bucket"])
     words = F.round("target").cast("long")
     start = F.col("at") + F.col("within")
@@ -104,15 +105,15 @@ def training_order(docs: DataFrame, *args, slopes: Sequence[float] = SLOPES, **o
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, slopes: Sequence[float] = SLOPES, **options) -> DataFrame:
-    """The documents that the mix takes, with the columns of ``docs``: a row for each pass, its text cut after the words it takes.
+    """The documents that the mix takes, with the columns of ``docs``: a row for each pass, its text cut after the words it takes, range-sorted by training position.
 
-    Rows that the mix leaves out go. The texts travel with their rows through the mix's one shuffle. n_chars, where
-    there is such a column, follows the text.
+    Rows that the mix leaves out go. The texts travel with their rows through the mix's shuffle and that of the order, so a table
+    written from the result holds them in the order in which they are read. n_chars, where there is such a column, follows the text.
     """
     m = _passes(mix(docs, id_col, text_col, source_col, carry=docs.columns, **options), slopes)
     text = F.col(f"_carry_{text_col}")
     cut = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")).otherwise(text)
-    m = m.withColumn("_cut", cut)
+    m = m.withColumn("_cut", cut).drop(f"_carry_{text_col}").repartitionByRange("position", "key", "epoch").sortWithinPartitions("position", "key", "epoch")
     return m.select(*[F.col("_cut").alias(c) if c == text_col else F.length("_cut").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_carry_{c}").alias(c) for c in docs.columns])
 
 

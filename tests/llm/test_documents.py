@@ -295,6 +295,8 @@ def test_mixed_documents(spark, odd, none):
     for r in got.collect():
         assert by_id[r.doc_id].startswith(r.text.rstrip()) and r.n_chars == len(r.text) and (r.doc_id in (None, 99) or (r.cut, r.s, r.i) == ("c", "s", 1))
         taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+    order = [r.doc_id for r in mixture.training_order(odd).collect()]
+    assert [r.doc_id for r in got.collect()] == order
     report = collections.Counter()
     for r in mixture.mix(odd).collect():
         report[r.source] += r.taken
