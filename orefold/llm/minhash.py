@@ -23,7 +23,7 @@ SEED = 20_261
 #: Parts into which what shares one text, key or set is dealt before it meets.
 SALTS = 64
 #: Shingles (and 200 a text) of a block of candidate texts that are compared in one task.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 
 
 def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
