@@ -27,8 +27,15 @@ class AtomicFile:
         self.size += len(data)
 
     def commit(self) -> None:
+        """Renames the file. Where a repeated task finds the file of an earlier try and the store's rename doesn't overwrite, the old one goes first."""
         self.out.close()
-        self.store.move(self.temporary, self.path)
+        try:
+            self.store.move(self.temporary, self.path)
+        except OSError:
+            if self.store.get_file_info(self.path).type == fs.FileType.NotFound:
+                raise
+            self.store.delete_file(self.path)
+            self.store.move(self.temporary, self.path)
 
     def abort(self) -> None:
         self.out.close()

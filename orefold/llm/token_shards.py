@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,7 +97,7 @@ def materialise(spark: SparkSession, docs: DataFrame, folder: str, text_col: str
     The corpus is one run of ids of ``width`` bytes (texts in scan order, each ended by ``end``), cut in sequences of ``length``. Where a
     partition's ids start follows from the partitions' sums, so no text is shuffled to number it; then each sequence
     goes once, to the shard of its slot. ``docs`` must give the same partitions on every read, as a scan of stored
-    files does; a partition that changes stops the job instead of writing wrong places. Only the last sequence is padded,
+    files does; a partition that changes stops the job instead of writing wrong places. Pieces travel compressed. Only the last sequence is padded,
     with ``pad``. Texts are byte-level ids; for lists, ``end`` and ``pad`` should be no ids of theirs. Ids that do not fit ``width`` bytes stop the job.
 
     Null and empty texts and lists are an end alone; an empty table gives no shard. Repeated rows are repeated. Shards appear when
@@ -120,6 +121,7 @@ def materialise(spark: SparkSession, docs: DataFrame, folder: str, text_col: str
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, done = TaskContext.get().partitionId(), 0
         rows: list[tuple[int, int, bytes]] = []
+        squeeze = zstandard.ZstdCompressor(level=1).compress
 
         def batch() -> pa.RecordBatch:
             seq, at, data = zip(*rows)
@@ -127,7 +129,7 @@ def materialise(spark: SparkSession, docs: DataFrame, folder: str, text_col: str
             return pa.RecordBatch.from_arrays([pa.array(slot // in_shard, pa.int32()), pa.array(slot), pa.array(seq, pa.int64()), pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=["shard", "slot", "seq", "at", "ids"])
 
         for r in _packed(batches, bases.get(p, 0) * width, length * width, end_bytes, width):
-            rows.append(r)
+            rows.append((*r[:2], squeeze(r[2])))
             done += len(r[2]) // width
             if len(rows) >= 1024:
                 yield batch()
@@ -139,6 +141,7 @@ def materialise(spark: SparkSession, docs: DataFrame, folder: str, text_col: str
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, shard, slot, seq, held, size, made, digest, n = None, None, None, None, [], 0, [], None, 0
+        whole = zstandard.ZstdDecompressor().decompress
 
         def record() -> None:
             nonlocal n
@@ -163,8 +166,8 @@ def materialise(spark: SparkSession, docs: DataFrame, folder: str, text_col: str
                     if out is None:
                         out, shard, digest, n = AtomicFile(folder, f"shard-{s:06d}.ids"), s, hashlib.sha256(), 0
                     slot, seq, held, size = sl, q, [], 0
-                held.append(data)
-                size += len(data)
+                held.append(whole(data))
+                size += len(held[-1])
         if out:
             close()
         cols = list(zip(*made)) if made else [[]] * 6
