@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -223,15 +224,15 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                     yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([uid], pa.string()), pa.array([i], pa.int32()), pa.array([apart]), pa.array([part])], names=["id", "uid", "leaf", "apart", "text"])
 
     def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = load(path)
+        enc, squeeze = load(path), zstandard.ZstdCompressor(level=3).compress
         for whole in batches:
             for batch in text_batches(whole, "text", 1 << 20):
-                ids = [np.asarray(encode(enc, t), dtype="<u4").tobytes() for t in batch.column(4).to_pylist()]
+                ids = [squeeze(np.asarray(encode(enc, t), dtype="<u4").tobytes()) for t in batch.column(4).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.binary())], names=["id", "uid", "leaf", "apart", "ids"])
 
     def whole_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = load(path)
-        found = ((k, u, apart, raw) for batch in batches for k, u, apart, raw in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4))))
+        enc, unpack = load(path), zstandard.ZstdDecompressor().decompress
+        found = ((k, u, apart, unpack(raw)) for batch in batches for k, u, apart, raw in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4))))
         for (key, _), mine in groupby(found, lambda r: (r[0], r[1])):
             out: dict[str, list] = {n: [] for n in names}
             row(out, key, runs_of(enc, ((np.frombuffer(raw, dtype="<u4").tolist(), apart) for _, _, apart, raw in mine)), enc)
