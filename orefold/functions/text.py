@@ -27,9 +27,22 @@ def terms(text: Column, stop: Sequence[str] = (), least: int = 3) -> Column:
     return F.array_distinct(found)
 
 
+# Fixed values (B25): where an objective is cut, in turn; the last is "and" before one of these verbs.
+CUTS = (
+    r"\s*;\s*|\s*\.\s+(?=[A-Z0-9])|\s*,\s*",
+    r"(?i)\s+(?:then|while|but|so that)\s+",
+    r"(?i)\s+and\s+(?=(?:the\s+)?(?:add|allow|apply|bind|call|clear|create|display|emit|execute|persist|prevent|prompt|record|render|reset|return|roll|route|run|select|show|spend|update|use|validate)\b)",
+)
+
+
 def clauses(text: Column) -> Column:
-    """The clauses of an objective: cut at semicolons, sentence ends, commas and linking words."""
-    return F.filter(F.transform(F.split(text, r"(?i)\s*;\s*|\.\s+(?=[A-Z0-9])|\s*,\s*|\s+(?:then|while|but|so that)\s+"), F.trim), lambda c: c != "")
+    """The clauses of an objective, without a leading "and" and empty ones; the whole text where none is left. White space is collapsed first."""
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    parts = F.array(flat)
+    for cut in CUTS:
+        parts = F.flatten(F.transform(parts, lambda p: F.split(p, cut)))  # noqa: B023
+    kept = F.filter(F.transform(parts, lambda p: F.regexp_replace(F.trim(p), r"(?i)^and\s+", "")), lambda c: c != "")
+    return F.when(F.size(kept) > 0, kept).otherwise(F.filter(F.array(flat), lambda c: c != ""))
 
 
 def family(name: Column) -> Column:
@@ -81,9 +94,9 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, 100).otherwise(F.floor(100 * part / whole + 0.5)).cast("int")
 
 
-def pressure(lines: Column) -> Column:
-    """B60"""
-    return F.when(lines >= 1200, "critical").when(lines >= 800, "high").when(lines >= 500, "moderate").otherwise("low")
+def pressure(lines: Column, ideal: int = 500, moderate: int = 800, high: int = 1200) -> Column:
+    """How hard a file's size presses."""
+    return F.when(lines <= ideal, "minimal").when(lines <= moderate, "moderate").when(lines <= high, "high").otherwise("very-high")
 
 
 def stable_id(prefix: str, *parts: Column, size: int = 20) -> Column:

@@ -127,7 +127,7 @@ def best_native(records: DataFrame, natives: DataFrame) -> DataFrame:
 
 def deepest_region(files: DataFrame, regions: DataFrame) -> DataFrame:
     """(path, region): a file's deepest region, by its prefixes; equally deep ones can't differ."""
-    up = files.select("path", F.posexplode(paths.prefixes(F.col("path"), 64)).alias("depth", "region"))
+    up = files.select("path", F.posexplode(paths.prefixes(F.col("path"), None)).alias("depth", "region"))
     return up.join(regions.select("region").distinct(), "region", "left_semi").groupBy("path").agg(F.max_by("region", "depth").alias("region"))
 
 
@@ -144,7 +144,7 @@ def remap(files: DataFrame, moves: DataFrame) -> DataFrame:
 
     Moves are found by the path's own prefixes, so one equi-join does for exact and prefix moves.
     """
-    keys = F.array_append(paths.prefixes(F.col("path"), 64), F.col("path"))
+    keys = F.array_append(paths.prefixes(F.col("path"), None), F.col("path"))
     hit = files.select("path", F.explode(keys).alias("source")).join(moves, "source").groupBy("path").agg(F.min_by(F.struct("source", "target"), "pos").alias("m"))
     moved = F.concat("m.target", F.substr("path", F.length("m.source") + 1))
     return files.select("path").join(hit, "path", "left").select("path", moved.alias("new_path"))

@@ -68,7 +68,7 @@ def state_contracts(states: DataFrame) -> DataFrame:
 
 def directory_rollup(files: DataFrame, counters: list[str]) -> DataFrame:
     """Each counter summed to every directory above a file, by its prefixes."""
-    up = files.withColumn("directory", F.explode(paths.prefixes(F.col("path"), 64)))
+    up = files.withColumn("directory", F.explode(paths.prefixes(F.col("path"), None)))
     return up.groupBy("directory").agg(F.count("*").alias("files"), *[F.sum(c).alias(c) for c in counters])
 
 

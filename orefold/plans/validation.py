@@ -28,7 +28,7 @@ def edit_violations(edits: DataFrame, files: DataFrame, granted: DataFrame) -> D
     ``edits`` (path, expected_sha), ``files`` (path, sha), ``granted`` (prefix). Grants meet a path's own prefixes in an
     equi-join, so many grants are no loop over all paths.
     """
-    keys = F.array_append(paths.prefixes(F.col("path"), 64), F.col("path"))
+    keys = F.array_append(paths.prefixes(F.col("path"), None), F.col("path"))
     e = edits.select("path", "expected_sha").distinct()
     ok = e.select("path", F.explode(keys).alias("prefix")).join(granted.distinct(), "prefix", "left_semi").select("path").distinct().withColumn("ok", F.lit(True))
     j = e.join(ok, "path", "left").join(files.select("path", "sha"), "path", "left")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefold.functions import paths, text
-from orefold.operators import graph, joins, ranking, rollups
+from orefold.functions import paths, source, text
+from orefold.operators import facts, graph, joins, ranking, rollups
 from orefold.plans import impact
 from orefold.sources import testdata as T
 from orefold.streaming import runs
@@ -31,7 +31,6 @@ STA = """sta AS (SELECT strftime(ts, '%d') AS namespace, json_extract_string(pro
 FIL = "fil AS (SELECT source || '/' || lang || '/doc-' || doc_id || '.md' AS path, n_chars AS size, text FROM documents)"
 SYM = "sym AS (SELECT p_name AS name, p_brand AS file, p_type AS kind, p_size > 25 AS exported, p_partkey AS line FROM part)"
 FAMILY = r"regexp_replace(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1-\2', 'g'), '[_\s]+', '-', 'g')), '-(feature|service|adapter|controller|manager)$', '')"
-REFS = """refs AS (SELECT page_id, unnest(list_transform(regexp_extract_all(html, '(?:src|href)="[^"]*"'), lambda m: regexp_extract(m, '"([^"]*)"', 1))) AS spec FROM pages)"""
 
 
 def query(name: str, sql: str | None = None):
@@ -167,9 +166,16 @@ def _(s, d):
     return T.table(s, d, "benchmark").select("item_id", F.explode(text.terms(F.col("text"), ("the", "and"))).alias("term"))
 
 
-@query("clauses_b25", r"""SELECT conv_id, turn, unnest(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\.\s+([A-Z0-9])', chr(1) || '\1', 'g'), '(?i)\s*;\s*|\s*,\s*|\s+(?:then|while|but|so that)\s+', chr(1), 'g'), chr(1)), lambda c: trim(c)), lambda c: c <> '')) AS clause FROM conversations""")
+AND = "(the )?(add|allow|apply|bind|call|clear|create|display|emit|execute|persist|prevent|prompt|record|render|reset|return|roll|route|run|select|show|spend|update|use|validate)"
+
+
+@query("clauses_b25", rf"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(text || ' e.g. foo. Bar; then x and update y, and z', '\s+', ' ', 'g')) AS text FROM conversations),
+a AS (SELECT conv_id, turn, unnest(string_split(regexp_replace(regexp_replace(regexp_replace(text, '\s*;\s*|\s*,\s*', chr(1), 'g'), '\s*\.\s+([A-Z0-9])', chr(1) || '\1', 'g'), '(?i)\s+(then|while|but|so that)\s+', chr(1), 'g'), chr(1))) AS p FROM t),
+b AS (SELECT conv_id, turn, unnest(string_split(regexp_replace(p, '(?i)\s+and\s+{AND}\b', chr(1) || '\1\2', 'g'), chr(1))) AS p FROM a)
+SELECT conv_id, turn, clause, count(*) AS n FROM (SELECT conv_id, turn, regexp_replace(trim(p), '(?i)^and\s+', '') AS clause FROM b) WHERE clause <> '' GROUP BY ALL""")
 def _(s, d):
-    return T.table(s, d, "conversations").select("conv_id", "turn", F.explode(text.clauses(F.col("text"))).alias("clause"))
+    text_ = F.concat("text", F.lit(" e.g. foo. Bar; then x and update y, and z"))
+    return T.table(s, d, "conversations").select("conv_id", "turn", F.explode(text.clauses(text_)).alias("clause")).groupBy("conv_id", "turn", "clause").agg(F.count("*").alias("n"))
 
 
 @query("family_token_b26", f"SELECT DISTINCT name, {FAMILY} AS family FROM (SELECT p_name AS name FROM part)")
@@ -192,17 +198,17 @@ def _(s, d):
     return T.symbols(s, d).select("line", text.stable_id("symbol", F.col("file"), F.col("name"), F.col("line").cast("string")).alias("id"))
 
 
-@query("pressure_b60", "SELECT doc_id, CASE WHEN n >= 1200 THEN 'critical' WHEN n >= 800 THEN 'high' WHEN n >= 500 THEN 'moderate' ELSE 'low' END AS pressure FROM (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents)")
+@query("pressure_b60", "SELECT doc_id, CASE WHEN n <= 500 THEN 'minimal' WHEN n <= 800 THEN 'moderate' WHEN n <= 1200 THEN 'high' ELSE 'very-high' END AS pressure FROM (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents)")
 def _(s, d):
     return T.table(s, d, "documents").select("doc_id", text.pressure(F.size(F.split("text", " "))).alias("pressure"))
 
 
 # --------------------------------------------------------------------------- extraction and joins (C, D, H)
 
-@query("template_refs_c3", f"WITH {REFS} SELECT page_id, spec AS specifier, count(*) AS n FROM refs GROUP BY ALL")
+@query("template_refs_c3", r"""WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)(?:src|href)\s*=\s*["'']([^"'']+)["'']', 1)) AS specifier FROM pages) SELECT page_id, specifier, count(*) AS n FROM r GROUP BY ALL""")
 def _(s, d):
-    refs = T.table(s, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"""(?:src|href)="([^"]*)\""""), F.lit(1))).alias("specifier"))
-    return refs.groupBy("page_id", "specifier").agg(F.count("*").alias("n"))
+    files = T.table(s, d, "pages").select("page_id", F.explode(source.matches(F.col("html"), *facts.TEMPLATE_REFERENCE)).alias("m"))
+    return files.groupBy("page_id", F.col("m.a").alias("specifier")).agg(F.count("*").alias("n"))
 
 
 @query("resolve_import_d1", r"""WITH f AS (SELECT DISTINCT replace(p_brand, '#', '') || '.' || suffix AS path FROM part, (VALUES ('js'), ('ts'), ('json')) v(suffix) WHERE (p_size % 3 = 0 AND suffix = 'js') OR (p_size % 3 = 1 AND suffix = 'ts') OR (p_size % 3 = 2 AND suffix = 'json')),
@@ -398,4 +404,4 @@ def _(s, d):
     return runs.windowed_counts(T.table(s, d, "events"), "ts", "event_type")
 
 
-from orefold import linkage_queries  # noqa: E402, F401  - adds its queries to QUERIES and ORACLES
+from orefold import linkage_queries, source_queries  # noqa: E402, F401  - add their queries to QUERIES and ORACLES

@@ -60,3 +60,38 @@ def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name, file, kind, exported, line): parts as symbols of their brand's file."""
     return table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.col("p_type").alias("kind"), (F.col("p_size") > 25).alias("exported"), F.col("p_partkey").alias("line"))
+
+
+def _program(k, z):
+    """The text of the program of part k of size z; the queries' SQL states the facts that it holds."""
+    t = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    return F.concat_ws("\n",
+        t('import { a } from "../m', (k + 1) % 40, "/p", k + 1, '.js";'),
+        F.lit("// import b from './hidden.js'; fetch('y')"),
+        F.when(z % 2 == 0, t('import "./side', z, '.css";')).otherwise('/* export * from "x" */ export { q } from "lodash";'),
+        t('const KEY = "k', z % 5, '";'), F.lit(""),
+        t("export async function f", k, "(a, b) {"),
+        t('  Hooks.on("ready", a); const t = await import("./p', k, '.js");'),
+        F.lit('  if (a == null) return; game.settings.set("ns", KEY, 1);'),
+        F.lit("  token.update({x: 1}); return g(a);"), F.lit("}"),
+        t("class C", z, " extends B {}"),
+        F.lit('var v = localStorage.getItem("s" + a); fetch("/x");'),
+        t("globalThis.app = 1; x = data.flags.mod", z % 3, '.path; item.unsetFlag("ns", "q"); // done'))
+
+
+def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text, k, z): a program for each part, and styles, templates and manifests for some."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z"))
+    k, z = F.col("k"), F.col("z")
+    t = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    kinds = [
+        ("true", t("src/m", k % 40, "/p", k, ".js"), _program(k, z)),
+        ("k % 10 = 0", t("src/m", k % 40, "/s", k, ".css"), t('@import url("a', z, """.css"); @use 'b';\n@FORWARD "c";""")),
+        ("k % 10 = 1", t("pages/", k, ".html"), t("<IMG SRC = 'x", z, """.png'>\n<a href="y.html">y</a>""")),
+        ("k % 10 = 2", t("mods/", k, "/module.json"), t('{"scripts": ["a', k, '.js", 3], "styles": ["s.css"], "esmodules": "no"}')),
+        ("k % 10 = 3", t("mods/", k, "/system.json"), t('{"scripts": ["a', k, '.js"'))]
+    out = None
+    for where, path, text in kinds:
+        f = part.where(where).select(path.alias("path"), text.alias("text"), "k", "z")
+        out = f if out is None else out.unionAll(f)
+    return out

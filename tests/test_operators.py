@@ -23,7 +23,7 @@ def test_paths(spark):
 
 def test_text(spark):
     assert one(spark, "BraceService", text.family) == "brace"
-    assert one(spark, "Fix a; then b. New c, and d", text.clauses) == ["Fix a", "then b", "New c", "and d"]
+    assert one(spark, "Fix a; then b. New c, and d", text.clauses) == ["Fix a", "then b", "New c", "d"]
     assert one(spark, "", text.slug) == "probe"
     assert one(spark, "a", text.fnv1a) == "e40c292c"
     assert one(spark, "a\nb\nc", lambda v: text.line_number(v, F.lit(4))) == 3
