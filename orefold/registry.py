@@ -126,9 +126,9 @@ def _(s, d):
     return ranking.top_k(T.states(s, d).groupBy("namespace", "file").agg(F.min("line").alias("line")), ["namespace"], ["line"], 12)
 
 
-@query("strongest_b54", """SELECT l_orderkey, CASE max(CASE l_returnflag WHEN 'A' THEN 5 WHEN 'N' THEN 3 ELSE 1 END) WHEN 5 THEN 'cross-map-confirmed' WHEN 3 THEN 'repository-only' ELSE 'unresolved' END AS reconciliation FROM lineitem GROUP BY 1""")
+@query("strongest_b54", """SELECT l_orderkey, CASE max(CASE l_returnflag WHEN 'A' THEN 5 WHEN 'N' THEN 3 ELSE 1 END) WHEN 5 THEN 'native-confirmed' WHEN 3 THEN 'cross-map-confirmed' ELSE 'unresolved' END AS reconciliation FROM lineitem GROUP BY 1""")
 def _(s, d):
-    label = F.when(F.col("l_returnflag") == "A", "cross-map-confirmed").when(F.col("l_returnflag") == "N", "repository-only").otherwise("unresolved")
+    label = F.when(F.col("l_returnflag") == "A", "native-confirmed").when(F.col("l_returnflag") == "N", "cross-map-confirmed").otherwise("unresolved")
     return T.table(s, d, "lineitem").groupBy("l_orderkey").agg(text.strongest(label).alias("reconciliation"))
 
 
@@ -161,7 +161,7 @@ def _(s, d):
 
 
 @query("terms_b23", r"""SELECT item_id, w.term FROM benchmark, LATERAL (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(
-  lower(regexp_replace(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[_.\\/:-]+', ' ', 'g')), '[^a-z0-9]+'), lambda x: len(x) >= 3 AND x NOT IN ('the', 'and'))) AS term) w""")
+  lower(regexp_replace(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[_.\\/:-]+', ' ', 'g')), '[^a-z0-9$]+'), lambda x: len(x) >= 3 AND x NOT IN ('the', 'and'))) AS term) w""")
 def _(s, d):
     return T.table(s, d, "benchmark").select("item_id", F.explode(text.terms(F.col("text"), ("the", "and"))).alias("term"))
 
@@ -404,4 +404,4 @@ def _(s, d):
     return runs.windowed_counts(T.table(s, d, "events"), "ts", "event_type")
 
 
-from orefold import linkage_queries, source_queries  # noqa: E402, F401  - add their queries to QUERIES and ORACLES
+from orefold import case_queries, linkage_queries, source_queries  # noqa: E402, F401  - add their queries to QUERIES and ORACLES
