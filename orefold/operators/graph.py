@@ -1,6 +1,7 @@
 """Iterative graph queries over edge tables (from, to).
 
-Each round is written to the shared folder and read back, which cuts the lineage; only counts come to the driver.
+Each round is written to the shared folder and read back, which cuts the lineage; what later rounds don't need is
+removed. Only counts come to the driver.
 """
 
 from __future__ import annotations
@@ -8,71 +9,110 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="orefold-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    at = f"{root.rstrip('/')}/orefold/graph-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+class Rounds:
+    """Tables of the rounds of one query, in the folder that driver and executors share; a temporary one only where none is set."""
+
+    def __init__(self, spark: SparkSession):
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            root = "file://" + tempfile.mkdtemp(prefix="orefold-")
+            spark.conf.set("spark.checkpoint.dir", root)
+        self.spark, self.root, self.at = spark, f"{root.rstrip('/')}/orefold/graph-{uuid.uuid4().hex}", {}
+
+    def save(self, df: DataFrame, *old: DataFrame) -> DataFrame:
+        """The table as read back; the tables that it takes the place of are removed."""
+        at = f"{self.root}/{len(self.at)}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(at)
+        out = self.spark.read.schema(df.schema).parquet(at)
+        self.at[id(out)] = (at, out)
+        self.drop(*old)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            at, _ = self.at.pop(id(t), (None, None))
+            if at:
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def reach(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """(node, hops): what the roots (column node) reach, by the fewest hops; frontiers grow by one join a round."""
-    edges = materialise(edges.select("from", "to").distinct())
-    seen = materialise(roots.select("node").distinct().withColumn("hops", F.lit(0)))
+    r = Rounds(edges.sparkSession)
+    edges = r.save(edges.select("from", "to").distinct())
+    seen = r.save(roots.select("node").distinct().withColumn("hops", F.lit(0)))
     front, hop = seen, 0
     while most is None or hop < most:
         hop += 1
-        front = materialise(edges.join(front.withColumnRenamed("node", "from"), "from").select(F.col("to").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
-        if front.isEmpty():
+        step = edges.join(front.select(F.col("node").alias("from")), "from").select(F.col("to").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(hop))
+        new = r.save(step)
+        if new.isEmpty():
             break
-        seen = materialise(seen.union(front))
+        seen, front = r.save(seen.union(new), seen, *([front] if front is not seen else [])), new
+    r.drop(edges)
     return seen
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node of each undirected component, by neighbours' labels and jumps along them."""
-    both = materialise(edges.select("from", "to").union(edges.select("to", "from")).distinct())
-    label = materialise(both.groupBy(F.col("from").alias("node")).agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("label")))
+    r = Rounds(edges.sparkSession)
+    both = r.save(edges.select("from", "to").union(edges.select("to", "from")).distinct())
+    label = r.save(both.groupBy(F.col("from").alias("node")).agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         near = both.join(label.withColumnRenamed("node", "to"), "to").groupBy(F.col("from").alias("node")).agg(F.min("label").alias("m"))
         step = label.join(near, "node").select("node", F.least("label", "m").alias("label"))
         jump = step.toDF("label", "far")
-        new = materialise(step.join(jump, "label").select("node", F.least("label", "far").alias("label")))
+        new = r.save(step.join(jump, "label").select("node", F.least("label", "far").alias("label")))
         if new.join(label, ["node", "label"], "left_anti").isEmpty():
+            r.drop(both, label)
             return new.withColumnRenamed("label", "component")
+        r.drop(label)
         label = new
 
 
+def trim(edges: DataFrame, rounds: Rounds) -> DataFrame:
+    """The edges that may lie on a cycle: those whose ends keep both an edge in and an edge out, until none goes."""
+    n = edges.count()
+    while n:
+        # one row a node: whether it has edges in and out; both joins read the same table
+        ends = edges.select(F.col("from").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("to", F.lit(0), F.lit(1)))
+        inner = rounds.save(ends.groupBy("node").agg(F.max("o").alias("o"), F.max("i").alias("i")).where("o = 1 and i = 1").select("node"))
+        new = rounds.save(edges.join(inner.withColumnRenamed("node", "from"), "from", "left_semi").join(inner.withColumnRenamed("node", "to"), "to", "left_semi").select("from", "to"), edges, inner)
+        was, n, edges = n, new.count(), new
+        if was == n:
+            break
+    return edges
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """G1: (node, component): the greatest node of each strongly connected component of two nodes or more.
+    """(node, component): the greatest node of each strongly connected component of two nodes or more.
 
-    Colours: every node takes the greatest node that reaches it; the nodes of a colour that reach its namesake backwards
-    are its component. What is left goes round again.
+    What lies on no cycle is trimmed first and after each component. Then colours: every node takes the greatest node
+    that reaches it; the nodes of a colour that reach its namesake backwards are its component. What is left goes round again.
     """
-    live = materialise(edges.select("from", "to").where("from <> to").distinct())
+    r = Rounds(edges.sparkSession)
+    live = trim(r.save(edges.select("from", "to").where("from <> to").distinct()), r)
     found: list[DataFrame] = []
     while not live.isEmpty():
         nodes = live.select(F.col("from").alias("node")).union(live.select("to")).distinct()
-        colour = materialise(nodes.withColumn("colour", F.col("node")))
+        colour = r.save(nodes.withColumn("colour", F.col("node")))
         while True:
             up = live.join(colour.withColumnRenamed("node", "from"), "from").groupBy(F.col("to").alias("node")).agg(F.max("colour").alias("m"))
-            new = materialise(colour.join(up, "node", "left").select("node", F.greatest("colour", F.coalesce("m", "colour")).alias("colour")))
+            new = r.save(colour.join(up, "node", "left").select("node", F.greatest("colour", F.coalesce("m", "colour")).alias("colour")))
             if new.join(colour, ["node", "colour"], "left_anti").isEmpty():
                 break
+            r.drop(colour)
             colour = new
         inner = live.join(colour.toDF("from", "c1"), "from").join(colour.toDF("to", "c2"), "to").where("c1 = c2")
         back = inner.select(F.struct("c1", "to").alias("from"), F.struct(F.col("c1"), F.col("from").alias("to")).alias("to"))
         own = reach(back, colour.where("node = colour").select(F.struct(F.col("colour").alias("c1"), F.col("node").alias("to")).alias("node"))).select(F.col("node.to").alias("node"), F.col("node.c1").alias("component"))
         found.append(own)
-        live = materialise(live.join(own.select(F.col("node").alias("from")), "from", "left_anti").join(own.select(F.col("node").alias("to")), "to", "left_anti"))
+        rest = live.join(own.select(F.col("node").alias("from")), "from", "left_anti").join(own.select(F.col("node").alias("to")), "to", "left_anti")
+        live = trim(r.save(rest.select("from", "to"), live, new), r)
     if not found:
         return edges.select(F.col("from").alias("node"), F.col("from").alias("component")).limit(0)
     out = found[0]
@@ -83,25 +123,41 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 
 def levels(edges: DataFrame) -> DataFrame:
-    """(node, level): the longest way down from a node of an acyclic graph; nodes that depend on nothing have 0."""
-    e = materialise(edges.select("from", "to").distinct())
-    level = materialise(e.select(F.col("from").alias("node")).union(e.select("to")).distinct().withColumn("level", F.lit(0)))
-    front = level
-    while True:
-        up = e.join(front.withColumnRenamed("node", "to"), "to").groupBy(F.col("from").alias("node")).agg((F.max("level") + 1).alias("m"))
-        front = materialise(level.join(up, "node").where("m > level").select("node", F.col("m").alias("level")))
-        if front.isEmpty():
-            return level
-        level = materialise(level.join(front.withColumnRenamed("level", "m"), "node", "left").select("node", F.coalesce("m", "level").alias("level")))
+    """(node, level): the longest way down from a node, each cycle counted as one node; nodes that depend on nothing have 0.
+
+    Strongly connected components are condensed. Then nodes without an edge out go, with the edges to them, round by
+    round, so each edge is handled once and the number of rounds is that of levels.
+    """
+    r = Rounds(edges.sparkSession)
+    plain = edges.select("from", "to").distinct()
+    named = r.save(strong_components(plain))
+    of = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
+    live = r.save(plain.join(of("from"), "from", "left").join(of("to"), "to", "left").select(F.coalesce("from_c", "from").alias("from"), F.coalesce("to_c", "to").alias("to")).where("from <> to").distinct())
+    nodes = r.save(plain.select(F.col("from").alias("node")).union(plain.select("to")).distinct().join(named, "node", "left").select("node", F.coalesce("component", "node").alias("c")))
+    done, level = [], 0
+    left = r.save(nodes.select("c").distinct())
+    while not left.isEmpty():
+        waiting = live.select(F.col("from").alias("c")).distinct()
+        now = r.save(left.join(waiting, "c", "left_anti").withColumn("level", F.lit(level)))
+        done.append(now)
+        left = r.save(left.join(now, "c", "left_anti"), left)
+        live = r.save(live.join(now.select(F.col("c").alias("to")), "to", "left_anti").select("from", "to"), live)
+        level += 1
+    out = done[0] if done else nodes.select("c", F.lit(0).alias("level")).limit(0)
+    for d in done[1:]:
+        out = out.union(d)
+    return nodes.join(out, "c").select("node", "level")
 
 
 def shortest_paths(edges: DataFrame, start: str) -> DataFrame:
     """(node, path): the shortest undirected way from ``start``, the least in code-point order among equals."""
-    both = materialise(edges.select("from", "to").union(edges.select("to", "from")).distinct())
-    seen = materialise(both.where(F.col("from") == start).select(F.col("from").alias("node")).distinct().withColumn("path", F.array("node")))
+    r = Rounds(edges.sparkSession)
+    both = r.save(edges.select("from", "to").union(edges.select("to", "from")).distinct())
+    seen = r.save(both.where(F.col("from") == start).select(F.col("from").alias("node")).distinct().withColumn("path", F.array("node")))
     front = seen
     while not front.isEmpty():
         step = both.join(front.withColumnRenamed("node", "from"), "from").join(seen.select(F.col("node").alias("to")), "to", "left_anti")
-        front = materialise(step.groupBy(F.col("to").alias("node")).agg(F.min(F.concat("path", F.array("to"))).alias("path")))
-        seen = materialise(seen.union(front))
+        new = r.save(step.groupBy(F.col("to").alias("node")).agg(F.min(F.concat("path", F.array("to"))).alias("path")))
+        seen, front = r.save(seen.union(new), seen, *([front] if front is not seen else [])), new
+    r.drop(both)
     return seen

@@ -1,5 +1,7 @@
 """Operators on small fixtures."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from orefold.functions import paths, text
@@ -70,3 +72,45 @@ def test_structural_findings(spark):
     rows = [("a.json", None, "{"), ("/abs", "x", "x"), ("ok.md", "a", "b\0"), ("ok2.md", "a", None), ("a\\b", "a", "=======\n"), ("c", "a", ">>>>>>> x")]
     got = {(r.path, r.code) for r in validation.structural_findings(spark.createDataFrame(rows, "path string, before string, after string"), 100).collect()}
     assert got == {("a.json", "INVALID_JSON"), ("/abs", "INVALID_PATH"), ("/abs", "NOOP_CHANGE"), ("ok.md", "NULL_BYTE"), ("a\\b", "INVALID_PATH"), ("c", "CONFLICT_MARKER")}
+
+
+def test_levels_of_cyclic_graphs_match_a_plain_computation(spark):
+    rng = random.Random(4)
+    for size, n in ((12, 18), (30, 34), (25, 60)):
+        pairs = {(f"n{rng.randrange(size):02}", f"n{rng.randrange(size):02}") for _ in range(n)}
+        edges = spark.createDataFrame(sorted(pairs), "from string, to string")
+        nodes = sorted({x for p in pairs for x in p})
+        reach = {a: {a} for a in nodes}
+        for _ in nodes:
+            for a, b in pairs:
+                reach[a] |= reach[b]
+        comp = {a: max(b for b in nodes if b in reach[a] and a in reach[b]) for a in nodes}
+        up = {(comp[a], comp[b]) for a, b in pairs if comp[a] != comp[b]}
+        level = {}
+
+        def depth(c):
+            if c not in level:
+                level[c] = 1 + max((depth(b) for a, b in up if a == c), default=-1)
+            return level[c]
+        assert {r.node: r.level for r in graph.levels(edges).collect()} == {a: depth(comp[a]) for a in nodes}
+        several = {a: c for a, c in comp.items() if sum(x == c for x in comp.values()) > 1}
+        assert {r.node: r.component for r in graph.strong_components(edges).collect()} == several
+
+
+def test_shortest_paths_match_breadth_first_search(spark):
+    rng = random.Random(7)
+    pairs = {(f"n{rng.randrange(20):02}", f"n{rng.randrange(20):02}") for _ in range(30)}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    start, paths_, queue = min(near), {}, [[min(near)]]
+    paths_[start] = [start]
+    while queue:
+        way = queue.pop(0)
+        for b in sorted(near[way[-1]]):
+            if b not in paths_:
+                paths_[b] = [*way, b]
+                queue.append(paths_[b])
+    got = graph.shortest_paths(spark.createDataFrame(sorted(pairs), "from string, to string"), start)
+    assert {r.node: r.path for r in got.collect()} == paths_
