@@ -388,12 +388,6 @@ def _(s, d):
     return impact.propagation(T.dependencies(s, d), _changed(s, d))
 
 
-@query("transitions_l7", """WITH s AS (SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
-SELECT event_id, user_id, before, event_type FROM s WHERE before IS NOT NULL AND NOT ((before = 'view' AND event_type IN ('click', 'view', 'purchase')) OR (before = 'click' AND event_type IN ('view', 'purchase', 'click')) OR (before = 'signup' AND event_type = 'view') OR (before = 'purchase' AND event_type = 'view') OR (before = 'error' AND event_type IN ('view', 'error')))""")
-def _(s, d):
-    return runs.violations(T.table(s, d, "events"), "user_id", "event_type", ["ts", "event_id"], runs.ALLOWED).select("event_id", "user_id", "before", "event_type")
-
-
 @query("event_seq_l9", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events")
 def _(s, d):
     return runs.sequence(T.table(s, d, "events").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"]).drop("ts")
@@ -404,4 +398,4 @@ def _(s, d):
     return runs.windowed_counts(T.table(s, d, "events"), "ts", "event_type")
 
 
-from orefold import case_queries, linkage_queries, source_queries  # noqa: E402, F401  - add their queries to QUERIES and ORACLES
+from orefold import case_queries, linkage_queries, policy_queries, source_queries  # noqa: E402, F401  - add their queries to QUERIES and ORACLES

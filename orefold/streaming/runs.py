@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: The states that may follow each state of a run.
-ALLOWED = {"view": ("click", "view", "purchase"), "click": ("view", "purchase", "click"), "signup": ("view",), "purchase": ("view",), "error": ("view", "error")}
-
+from orefold.plans import policy
 
 def sequence(events: DataFrame, run: str, order: list[str]) -> DataFrame:
     """Each event's number in its run."""
@@ -24,6 +22,14 @@ def violations(events: DataFrame, run: str, state: str, order: list[str], allowe
     return steps.where(F.col("before").isNotNull() & ~ok)
 
 
+def summary(numbered: DataFrame, run: str, state: str, number: str) -> DataFrame:
+    """Each run's number of events, its last state, whether it is terminal, and how often it succeeded and failed."""
+    last = F.max_by(state, number)
+    ends = [s for s, f in policy.FOLLOWING.items() if not f]
+    g = numbered.groupBy(run).agg(F.count("*").alias("events"), last.alias("state"), F.count_if(F.col(state) == "SUCCEEDED").alias("successes"), F.count_if(F.col(state).isin("FAILED", "BLOCKED_IDENTICAL_FAILURE")).alias("failures"))
+    return g.withColumn("terminal", F.col("state").isin(*ends))
+
+
 def windowed_counts(events: DataFrame, at: str, state: str, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Counts of states in time windows; on a stream, windows close once events are ``late`` behind the newest."""
     if events.isStreaming:
