@@ -35,25 +35,6 @@ def _(s, d):
     return _calls(s, d)[1]
 
 
-@query("call_contracts_e12", f"WITH {CALLS} SELECT how, provider, line, count(*) AS calls, count(DISTINCT file) AS consumers FROM res GROUP BY ALL")
-def _(s, d):
-    call, resolved = _calls(s, d)
-    return linking.call_contracts(resolved, call)
-
-
-@query("contract_coverage_e14", f"WITH {CALLS} SELECT count(*) AS calls, count(*) FILTER (how = 'local') AS local, count(*) FILTER (how = 'import') AS imported, count(*) FILTER (how = 'external') AS external, count(*) FILTER (how = 'unresolved') AS unresolved FROM res")
-def _(s, d):
-    return linking.contract_coverage(_calls(s, d)[1])
-
-
-@query("event_contracts_e11", """WITH x AS (SELECT json_extract_string(props, '$.k') AS event, user_id AS file, CASE WHEN event_type IN ('purchase', 'signup') THEN 'producer' ELSE 'consumer' END AS role FROM events),
-g AS (SELECT event, count(DISTINCT file) FILTER (role = 'producer') AS p, min(file) FILTER (role = 'producer') AS f, count(DISTINCT file) FILTER (role = 'consumer') AS consumers FROM x GROUP BY event)
-SELECT event, CASE WHEN p = 1 THEN f END AS provider, consumers, CASE WHEN p = 0 THEN 'missing-producer' WHEN p > 1 THEN 'multiple-producers' END AS failure FROM g""")
-def _(s, d):
-    role = F.when(F.col("event_type").isin("purchase", "signup"), "producer").otherwise("consumer")
-    return linking.event_contracts(T.table(s, d, "events").select(F.get_json_object("props", "$.k").alias("event"), F.col("user_id").alias("file"), role.alias("role")))
-
-
 @query("either_join_d10", "SELECT DISTINCT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND (c_custkey % 50 = s_suppkey % 50 OR floor(c_acctbal / 500) = floor(s_acctbal / 500))")
 def _(s, d):
     side = lambda t, p, k: T.table(s, d, t).select(k, F.col(f"{p}_nationkey").alias("file"), (F.col(k) % 50).alias("symbol"), F.floor(F.col(f"{p}_acctbal") / 500).alias("line"))

@@ -30,26 +30,6 @@ def resolve_calls(calls: DataFrame, declarations: DataFrame, imports: DataFrame)
     return j.withColumn("how", how).select("call_id", F.when(F.col("how") == "local", F.col("file")).when(F.col("how") == "import", F.col("target")).alias("provider"), F.coalesce("own", "far").alias("line"), "how")
 
 
-def call_contracts(resolved: DataFrame, calls: DataFrame) -> DataFrame:
-    """Calls and calling files of each provider; those without one by how they failed."""
-    j = resolved.join(calls.select("call_id", "file"), "call_id")
-    return j.groupBy("how", "provider", "line").agg(F.count("*").alias("calls"), F.countDistinct("file").alias("consumers"))
-
-
-def contract_coverage(resolved: DataFrame) -> DataFrame:
-    """One row of counters."""
-    n = lambda how: F.count_if(F.col("how") == how)
-    return resolved.agg(F.count("*").alias("calls"), n("local").alias("local"), n("import").alias("imported"), n("external").alias("external"), n("unresolved").alias("unresolved"))
-
-
-def event_contracts(sites: DataFrame) -> DataFrame:
-    """An event's provider is its one producing file. ``sites`` (event, file, role: producer or consumer)."""
-    of = lambda role: F.when(F.col("role") == role, F.col("file"))
-    g = sites.groupBy("event").agg(F.countDistinct(of("producer")).alias("producers"), F.min(of("producer")).alias("p"), F.countDistinct(of("consumer")).alias("consumers"))
-    failure = F.when(F.col("producers") == 0, "missing-producer").when(F.col("producers") > 1, "multiple-producers")
-    return g.select("event", F.when(F.col("producers") == 1, F.col("p")).alias("provider"), "consumers", failure.alias("failure"))
-
-
 def either(left: DataFrame, right: DataFrame, on: Sequence[str], ways: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Pairs equal in ``on`` and in at least one column of ``ways``, once: an equi-join a way, not a loop over all pairs."""
     out = None

@@ -47,25 +47,6 @@ def families(symbols: DataFrame) -> DataFrame:
     return g.where("members > 1").withColumn("kind", kind)
 
 
-def effect_families(effects: DataFrame, most_files: int = 3) -> DataFrame:
-    """E7"""
-    return effects.groupBy("kind").agg(F.count("*").alias("effects"), F.countDistinct("file").alias("files")).withColumn("spread", F.col("files") > most_files)
-
-
-def state_surfaces(states: DataFrame) -> DataFrame:
-    """Readers, writers and deleters of each state, and whether several files write it."""
-    of = lambda access: F.countDistinct(F.when(F.col("access") == access, F.col("file")))
-    g = states.groupBy("namespace", "key").agg(of("read").alias("readers"), of("write").alias("writers"), of("delete").alias("deleters"), F.max((F.col("access") == "unknown").cast("int")).alias("unresolved"))
-    return g.withColumn("multi_writer", F.col("writers") > 1)
-
-
-def state_contracts(states: DataFrame) -> DataFrame:
-    """The provider of a state is its one writer."""
-    writer = F.when(F.col("access") == "write", F.col("file"))
-    g = states.groupBy("namespace", "key").agg(F.countDistinct(writer).alias("writers"), F.min(writer).alias("w"), F.countDistinct(F.when(F.col("access") == "read", F.col("file"))).alias("consumers"))
-    return g.select("namespace", "key", F.when(F.col("writers") == 1, F.col("w")).alias("provider"), "consumers", F.when(F.col("writers") == 0, "missing-writer").when(F.col("writers") > 1, "multiple-writers").alias("failure"))
-
-
 def directory_rollup(files: DataFrame, counters: list[str]) -> DataFrame:
     """Each counter summed to every directory above a file, by its prefixes."""
     up = files.withColumn("directory", F.explode(paths.prefixes(F.col("path"), None)))

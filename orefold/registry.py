@@ -54,11 +54,6 @@ def _(s, d):
     return rollups.fan_in(T.dependencies(s, d))
 
 
-@query("dep_summary_e3", f"WITH {DEP} SELECT kind, count(*) AS edges, count(DISTINCT f) AS sources, count(DISTINCT t) AS targets FROM dep GROUP BY kind")
-def _(s, d):
-    return T.dependencies(s, d).groupBy("kind").agg(F.count("*").alias("edges"), F.countDistinct("from").alias("sources"), F.countDistinct("to").alias("targets"))
-
-
 @query("watershed_e4", f"""WITH {DEP}, e AS (SELECT DISTINCT f, t FROM dep), d AS (
   SELECT file, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM (SELECT t AS file, 1 AS i, 0 AS o FROM e UNION ALL SELECT f, 0, 1 FROM e) GROUP BY file),
 n AS (SELECT 'order/' || l_orderkey AS file, count(*) AS effects FROM lineitem GROUP BY 1)
@@ -81,23 +76,6 @@ def _(s, d):
     return rollups.families(T.symbols(s, d))
 
 
-@query("effect_families_e7", "SELECT l_returnflag || '-' || l_linestatus AS kind, count(*) AS effects, count(DISTINCT l_orderkey) AS files, count(DISTINCT l_orderkey) > 3 AS spread FROM lineitem GROUP BY 1")
-def _(s, d):
-    return rollups.effect_families(T.effects(s, d))
-
-
-@query("state_surfaces_e9", f"""WITH {STA} SELECT namespace, key, count(DISTINCT file) FILTER (access = 'read') AS readers, count(DISTINCT file) FILTER (access = 'write') AS writers,
-  count(DISTINCT file) FILTER (access = 'delete') AS deleters, max((access = 'unknown')::INT) AS unresolved, count(DISTINCT file) FILTER (access = 'write') > 1 AS multi_writer FROM sta GROUP BY ALL""")
-def _(s, d):
-    return rollups.state_surfaces(T.states(s, d))
-
-
-@query("state_contracts_e10", f"""WITH {STA}, g AS (SELECT namespace, key, count(DISTINCT file) FILTER (access = 'write') AS w, min(file) FILTER (access = 'write') AS p, count(DISTINCT file) FILTER (access = 'read') AS consumers FROM sta GROUP BY ALL)
-SELECT namespace, key, CASE WHEN w = 1 THEN p END AS provider, consumers, CASE WHEN w = 0 THEN 'missing-writer' WHEN w > 1 THEN 'multiple-writers' END AS failure FROM g""")
-def _(s, d):
-    return rollups.state_contracts(T.states(s, d))
-
-
 @query("atlas_rollup_e21", f"""WITH {FIL}, up AS (SELECT size, unnest(list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS directory FROM fil)
 SELECT directory, count(*) AS files, sum(size)::BIGINT AS size FROM up GROUP BY directory""")
 def _(s, d):
@@ -383,11 +361,6 @@ def _(s, d):
     return impact.relevance(T.files(s, d), ["src1", "license"], {"path": 6, "text": 1}).select("path", F.col("score").cast("int").alias("score"))
 
 
-@query("propagation_i8", f"WITH RECURSIVE {DEP}, c AS ({CHANGED}), r AS (SELECT file, 0 AS hops FROM c UNION SELECT dep.f, r.hops + 1 FROM r JOIN dep ON dep.t = r.file) SELECT file, min(hops) AS hops FROM r GROUP BY file HAVING min(hops) > 0")
-def _(s, d):
-    return impact.propagation(T.dependencies(s, d), _changed(s, d))
-
-
 @query("event_seq_l9", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events")
 def _(s, d):
     return runs.sequence(T.table(s, d, "events").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"]).drop("ts")
@@ -398,4 +371,4 @@ def _(s, d):
     return runs.windowed_counts(T.table(s, d, "events"), "ts", "event_type")
 
 
-from orefold import case_queries, linkage_queries, policy_queries, source_queries  # noqa: E402, F401  - add their queries to QUERIES and ORACLES
+from orefold import case_queries, contract_queries, diagnostic_queries, linkage_queries, policy_queries, source_queries  # noqa: E402, F401  - add their queries to QUERIES and ORACLES

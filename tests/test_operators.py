@@ -5,8 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from orefold.functions import paths, text
-from orefold.operators import graph, joins, rollups
-from orefold.plans import validation
+from orefold.operators import facts, graph, joins, rollups
+from orefold.plans import validation, walks
 from orefold.sources import snapshot
 
 
@@ -114,3 +114,43 @@ def test_shortest_paths_match_breadth_first_search(spark):
                 queue.append(paths_[b])
     got = graph.shortest_paths(spark.createDataFrame(sorted(pairs), "from string, to string"), start)
     assert {r.node: r.path for r in got.collect()} == paths_
+
+
+def test_slices_and_their_limits(spark):
+    nodes = spark.createDataFrame([("a", "f1", "s", "literal-source", "repository-confirmed"), ("b", "f1", "s", "assignment", "repository-confirmed"), ("c", "f2", "s", "effect-sink", "repository-confirmed"), ("d", "f3", "s", "identifier", "unresolved"), ("e", "f3", "s", "effect-sink", "repository-confirmed")], "id string, file string, symbol string, kind string, reconciliation string")
+    edges = spark.createDataFrame([("1", "a", "b", "assigns"), ("2", "b", "c", "passes"), ("3", "b", "d", "reads"), ("4", "d", "e", "control-dependency"), ("5", "c", "a", "returns")], "id string, from string, to string, kind string")
+    asked = spark.createDataFrame([("r", "a")], "request string, node string")
+
+    def run(**options):
+        rows = walks.slices(asked, nodes, edges, **options).collect()
+        pick = lambda kind: sorted(r.id if kind != "frontier" else f"{r.id}:{r.detail}" for r in rows if r.row == kind)
+        return pick("node"), pick("edge"), pick("frontier"), pick("status")[0]
+    assert run() == (["a", "b", "c", "d"], ["1", "2", "3", "5"], ["d:unresolved"], "PARTIAL")
+    assert run(allowed=F.col("file") != "f3") == (["a", "b", "c"], ["1", "2", "5"], [], "CERTIFIED")
+    assert run(control=True)[0] == ["a", "b", "c", "d", "e"]
+    assert run(direction="backward") == (["a", "b", "c"], ["1", "2", "5"], [], "CERTIFIED")
+    assert run(limits=walks.Limits(nodes=2)) == (["a", "b"], ["1"], ["c:node-limit", "d:node-limit"], "LIMITS_EXCEEDED")
+    assert run(limits=walks.Limits(hops=1))[2:] == (["b:hop-limit"], "LIMITS_EXCEEDED")
+    assert run(limits=walks.Limits(files=1))[2:] == (["c:file-limit", "d:file-limit"], "LIMITS_EXCEEDED")
+    assert run(limits=walks.Limits(edges=2))[2:] == (["b:edge-limit", "c:edge-limit"], "LIMITS_EXCEEDED")
+    assert run(target=F.col("id") == "e")[3] == "UNABLE_TO_CERTIFY"
+    assert walks.criterion(nodes.withColumn("line_start", F.lit(1)), F.col("symbol") == "s").collect() == [("a",)]
+
+
+def test_traces_stop_where_they_should(spark):
+    files = spark.createDataFrame([("a.js", "function go() {\n  next();\n}\nfunction next() {\n  if (event.x) return;\n}\n"), ("b.js", "function send() { }\nfunction use() { read(msg.id) }\n")], "path string, text string")
+    symbols = facts.symbols(files)
+    effects = spark.createDataFrame([("b.js", "network-request", "send", "integration-boundary")], "file string, kind string, symbol string, node_kind string")
+    nodes = walks.trace_nodes(symbols, files, effects.where("false"))
+    edges = spark.createDataFrame([("go@a.js", "next@a.js", "calls"), ("go@a.js", "send@b.js", "dependency"), ("send@b.js", "use@b.js", "calls")], "from string, to string, kind string")
+
+    def run(start, target=None, nodes=nodes, **options):
+        rows = walks.traces(spark.createDataFrame([("r", start, target)], "request string, node string, target_effect string"), nodes, edges, **options).collect()
+        s = next(r for r in rows if r.row == "status")
+        return [r.id for r in sorted((r for r in rows if r.row == "hop"), key=lambda r: r.place)], s.id, s.detail
+    assert run("go@a.js") == (["go@a.js", "next@a.js"], "BLOCKED", "if (event.x) return")
+    assert run("send@b.js")[1:] == ("BLOCKED", "possible-missing-field: message.id on use@b.js")
+    found = walks.trace_nodes(symbols, files, effects)
+    assert run("send@b.js", "network-request", found) == (["send@b.js"], "CERTIFIED", "network-request")
+    assert run("use@b.js", "network-request", found) == (["use@b.js"], "UNABLE_TO_CERTIFY", "")
+    assert run("go@a.js", None, nodes.withColumns({"guard": F.lit(None).cast("string"), "suspects": F.lit("")}), most_visits=1)[1] == "LIMITS_EXCEEDED"
