@@ -147,22 +147,22 @@ def _(s, d):
 
 # --------------------------------------------------------------------------- edits, findings, runs (K, L)
 
-EDITED = "ed AS (SELECT path, CASE WHEN size % 5 = 0 THEN NULL ELSE size % 11 END AS want, size % 13 AS have FROM fil WHERE size % 2 = 0)"
+EDITED = "ed AS (SELECT path, CASE WHEN size % 5 = 0 THEN NULL ELSE size % 11 END AS want, size % 13 AS have FROM fil)"
 
 
 @query("edit_violations_k3", f"""WITH {FIL}, {EDITED}, v AS (SELECT DISTINCT path, want, have, starts_with(path, 'src1/') OR starts_with(path, 'src2/en/') AS ok FROM ed)
 SELECT path, code FROM (SELECT path, unnest([CASE WHEN NOT ok THEN 'OUT_OF_SCOPE' END, CASE WHEN have = 3 THEN 'MISSING_FILE' END, CASE WHEN have <> 3 AND have <> want THEN 'STALE_CONTENT' END]) AS code FROM v) WHERE code IS NOT NULL""")
 def _(s, d):
-    f = T.files(s, d).where("size % 2 = 0")
+    f = T.files(s, d)
     edits = f.select("path", F.when(F.col("size") % 5 != 0, F.col("size") % 11).alias("expected_sha"))
     granted = s.createDataFrame([("src1",), ("src2/en",)], "prefix string")
     return validation.edit_violations(edits, f.where("size % 13 <> 3").select("path", (F.col("size") % 13).alias("sha")), granted)
 
 
-@query("added_bytes_e30", "SELECT coalesce(sum(greatest(0, strlen(replace(text, ' the ', ' a longer ')) - strlen(text))), 0)::BIGINT AS added, max(strlen(replace(text, ' the ', ' a longer ')))::INT AS largest, false AS within FROM documents")
+@query("added_bytes_e30", "SELECT coalesce(sum(greatest(0, strlen(replace(text, ' the ', ' a longer ')) - strlen(text))), 0)::BIGINT AS added, max(strlen(replace(text, ' the ', ' a longer ')))::INT AS largest, coalesce(sum(greatest(0, strlen(replace(text, ' the ', ' a longer ')) - strlen(text))), 0) <= 100000 AND max(strlen(replace(text, ' the ', ' a longer '))) <= 50000000 AS within FROM documents")
 def _(s, d):
     docs = T.table(s, d, "documents").select(F.col("text").alias("before"), F.replace("text", F.lit(" the "), F.lit(" a longer ")).alias("after"))
-    return validation.added_bytes(docs, 1, 1)
+    return validation.added_bytes(docs, 50_000_000, 100_000)
 
 
 FOUND = r"""ch AS (SELECT CASE WHEN doc_id % 9 = 0 THEN '../' ELSE '' END || source || '/' || doc_id % 50 || CASE WHEN doc_id % 4 = 0 THEN '.json' ELSE '.md' END AS path, doc_id, text AS before, CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN '{"a": ' || doc_id || '}' ELSE '<<<<<<< ours' END AS after FROM documents),
@@ -203,10 +203,11 @@ def _(s, d):
     return T.table(s, d, "pages").select("page_id", validation.failure_class(F.col("url")).alias("failure"))
 
 
-@query("admitted_l11", "SELECT event_id, props FROM events WHERE props NOT IN (SELECT props FROM events WHERE event_type = 'error' AND event_id % 100 = 0 AND props IS NOT NULL) AND event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY props ORDER BY event_id) = 1")
+@query("admitted_l11", """WITH e AS (SELECT event_id, event_type, sha256(user_id || ':' || props) AS fingerprint FROM events WHERE props IS NOT NULL)
+SELECT event_id, fingerprint FROM e WHERE fingerprint NOT IN (SELECT fingerprint FROM e WHERE event_type = 'error') AND event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY event_id) = 1""")
 def _(s, d):
-    e = T.table(s, d, "events").where("props is not null")
-    return validation.admitted(e.where("event_type <> 'error'").select("event_id", "props"), e.where("event_type = 'error' and event_id % 100 = 0"), "props", "event_id")
+    e = T.table(s, d, "events").where("props is not null").select("event_id", "event_type", F.sha2(F.concat_ws(":", F.col("user_id").cast("string"), "props"), 256).alias("fingerprint"))
+    return validation.admitted(e.where("event_type <> 'error'").select("event_id", "fingerprint"), e.where("event_type = 'error'"), "fingerprint", "event_id")
 
 
 @query("tiered_seed_f8", f"""WITH {STA}, t AS (SELECT file, CASE access WHEN 'write' THEN 0 WHEN 'read' THEN 1 ELSE 2 END AS tier, count(*) AS score FROM sta GROUP BY ALL) SELECT file, tier, score FROM t QUALIFY row_number() OVER (PARTITION BY file ORDER BY tier, score DESC) = 1""")

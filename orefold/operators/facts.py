@@ -6,6 +6,8 @@ their uses inside a row and no join by file is needed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,9 +71,12 @@ def _none() -> Column:
 
 
 def _coded(files: DataFrame) -> DataFrame:
-    """Files with their ending and, for programs, their text without comments."""
+    """Files with their ending and, for programs, their text without comments.
+
+    The generator keeps the optimizer from writing the comment stripper out once for each use of its result.
+    """
     f = files.where("text is not null").select("path", "text", paths.extension(F.col("path")).alias("ending"))
-    return f.withColumn("code", F.when(_is(F.col("ending"), PROGRAMS), source.blank_comments(F.col("text"))))
+    return f.select("*", F.explode(F.array(F.when(_is(F.col("ending"), PROGRAMS), source.blank_comments(F.col("text"))))).alias("code"))
 
 
 def dependencies(files: DataFrame) -> DataFrame:
@@ -176,10 +181,14 @@ def resolve(refs: DataFrame, files: DataFrame) -> DataFrame:
     return refs.join(hits, ["file", "specifier"], "left").withColumn("external", F.col("to").isNull() & ~spec.startswith(".") & (spec != ""))
 
 
-def model(files: DataFrame, compat_lines: bool = False) -> dict[str, DataFrame]:
-    """All fact tables of the files that have a text, by name; lazy, so only what a query asks for is computed."""
-    refs = resolve(dependencies(files), files)
-    found = effects(files, compat_lines)
+def model(files: DataFrame, compat_lines: bool = False, keep: Callable[[DataFrame], DataFrame] = lambda table: table) -> dict[str, DataFrame]:
+    """All fact tables of the files that have a text, by name.
+
+    Lazy, so only what a query asks for is computed; where several of its parts use the facts, ``keep`` (as graph.Rounds.save) stores
+    references, symbols, effects and states once.
+    """
+    refs = keep(resolve(dependencies(files), files))
+    found = keep(effects(files, compat_lines))
     nodes, edges = runtime_graph(found)
     return {"files": files, "references": refs, "dependencies": refs.where("to is not null").withColumnRenamed("file", "from"), "unresolved": refs.where("to is null").drop("to"),
-            "symbols": symbols(files, compat_lines), "effects": found, "runtime_nodes": nodes, "runtime_edges": edges, "states": states(files)}
+            "symbols": keep(symbols(files, compat_lines)), "effects": found, "runtime_nodes": nodes, "runtime_edges": edges, "states": keep(states(files))}

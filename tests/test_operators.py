@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from orefold.functions import paths, text
@@ -74,9 +75,11 @@ def test_structural_findings(spark):
     assert got == {("a.json", "INVALID_JSON"), ("/abs", "INVALID_PATH"), ("/abs", "NOOP_CHANGE"), ("ok.md", "NULL_BYTE"), ("a\\b", "INVALID_PATH"), ("c", "CONFLICT_MARKER")}
 
 
-def test_levels_of_cyclic_graphs_match_a_plain_computation(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_levels_of_cyclic_graphs_match_a_plain_computation(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
     rng = random.Random(4)
-    for size, n in ((12, 18), (30, 34), (25, 60)):
+    for size, n in ((12, 18), (30, 34), (25, 60))[: 3 if few else 1]:
         pairs = {(f"n{rng.randrange(size):02}", f"n{rng.randrange(size):02}") for _ in range(n)}
         edges = spark.createDataFrame(sorted(pairs), "from string, to string")
         nodes = sorted({x for p in pairs for x in p})
@@ -97,6 +100,11 @@ def test_levels_of_cyclic_graphs_match_a_plain_computation(spark):
         assert {r.node: r.component for r in graph.strong_components(edges).collect()} == several
 
 
+def test_levels_of_a_long_chain(spark):
+    edges = spark.range(10_000).selectExpr("cast(id as string) as `from`", "cast(id + 1 as string) as `to`")
+    assert {int(r.node): r.level for r in graph.levels(edges).collect()} == {i: 10_000 - i for i in range(10_001)}
+
+
 def test_shortest_paths_match_breadth_first_search(spark):
     rng = random.Random(7)
     pairs = {(f"n{rng.randrange(20):02}", f"n{rng.randrange(20):02}") for _ in range(30)}
