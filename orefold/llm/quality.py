@@ -28,6 +28,7 @@ _CLASS[48:58] = 2
 _UPPER = np.zeros(256, dtype=np.int64)
 _UPPER[65:91] = 1
 PART_SLOTS = 1 << 11  # slots whose sums travel as one row
+LANES = 65535 // (4 * REACH)
 _PART = 1 << 18  # bytes of a long text that are turned into slots at once
 
 
@@ -80,24 +81,33 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = end
 
 
+def contexts(blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each slot of the blocks of texts (slots, bounds): how often it occurs, and the sum of its neighbours' index vectors."""
+    # Four components (plus 1, so that none is below 0) share a word of 64 bits: sums of LANES rows of 2 * REACH neighbours fit 16 bits each.
+    index = (np.concatenate([index_vectors(), np.zeros((1, DIM), np.int32)]) + 1).astype("<u2").view("<u8")  # the last one stands between texts
+    total, seen = np.zeros((SLOTS + 1, DIM), dtype=np.int64), np.zeros(SLOTS, dtype=np.int64)
+    for slots, bounds in blocks:
+        seen += np.bincount(slots, minlength=SLOTS)
+        n = len(bounds) - 1
+        padded = np.full(len(slots) + REACH * (n + 1), SLOTS, dtype=np.int32)
+        padded[np.arange(len(slots)) + REACH * (np.repeat(np.arange(n), np.diff(bounds)) + 1)] = slots
+        for a in range(0, len(padded) - 2 * REACH, 1 << 16):
+            part = padded[a: a + (1 << 16) + 2 * REACH]
+            vectors, m = index.take(part, axis=0), len(part) - 2 * REACH
+            around = sum(vectors[d: d + m] for d in range(2 * REACH + 1) if d != REACH)
+            order = np.argsort(part[REACH: REACH + m].astype(np.uint16), kind="stable")
+            s = part[REACH: REACH + m][order]
+            cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]] | (np.arange(m) % LANES == 0))
+            sums = np.add.reduceat(around.take(order, axis=0), cuts, axis=0).view("<u2").astype(np.int64) - 2 * REACH * np.diff(np.r_[cuts, m])[:, None]
+            s = s[cuts]
+            first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            total[s[first]] += np.add.reduceat(sums, first, axis=0) if len(first) < len(s) else sums
+    return seen, total[:SLOTS]
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each slot of the texts: how often it occurs, and the sum of its neighbours' index vectors."""
-    index, total, seen = index_vectors(), np.zeros((SLOTS, DIM), dtype=np.int64), np.zeros(SLOTS, dtype=np.int64)
-    for batch in batches:
-        for _, slots, bounds in _texts(batch.column(0)):
-            seen += np.bincount(slots, minlength=SLOTS)
-            text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            for a in range(0, len(slots), 1 << 16):
-                b = min(a + (1 << 16), len(slots))
-                around = np.zeros((b - a, DIM), dtype=np.int32)
-                for d in (*range(-REACH, 0), *range(1, REACH + 1)):
-                    i = np.arange(max(a, -d), min(b, len(slots) - d))
-                    i = i[text[i] == text[i + d]]
-                    around[i - a] += index[slots[i + d]]
-                order = np.argsort(slots[a:b], kind="stable")
-                s = slots[a:b][order]
-                first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-                total[s[first]] += np.add.reduceat(around[order], first, axis=0)
+    """The contexts of a task's texts, PART_SLOTS slots a row."""
+    seen, total = contexts((slots, bounds) for batch in batches for _, slots, bounds in _texts(batch.column(0)))
     task = TaskContext.get().partitionId()
     for k in range(0, SLOTS, PART_SLOTS):
         part = slice(k, k + PART_SLOTS)

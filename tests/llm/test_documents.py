@@ -356,6 +356,19 @@ def test_quality_on_held_out_rows(spark):
     assert all(r.predicted == (r.score >= 0.7) for r in got)
 
 
+def test_contexts_match_brute_force():
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 50, n) for n in (0, 1, 2, 3, 40, 0, 70_000)]
+    index, want = quality.index_vectors(), np.zeros((quality.SLOTS, quality.DIM), np.int64)
+    for t in texts:
+        for d in (1, 2):
+            if len(t) > d:
+                np.add.at(want, t[d:], index[t[:-d]])
+                np.add.at(want, t[:-d], index[t[d:]])
+    seen, total = quality.contexts([(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))])
+    assert (total == want).all() and seen.sum() == sum(map(len, texts))
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(n, n % 2, 0) for n in range(1, 41)] + [(None, 1, 0), (5, None, 0), (5, 3, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(spark, odd, labels)
