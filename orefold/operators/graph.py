@@ -230,13 +230,16 @@ def levels(edges: DataFrame) -> DataFrame:
     return nodes.join(out, "c").select("node", "level")
 
 
-def shortest_paths(edges: DataFrame, start: str) -> DataFrame:
-    """(node, path): the shortest undirected way from ``start``, the least in code-point order among equals."""
+def shortest_paths(edges: DataFrame, start: str, targets: DataFrame | None = None) -> DataFrame:
+    """(node, path): the shortest undirected way from ``start``, the least in code-point order among equals.
+
+    With ``targets`` (node) the search ends once all of them are found, so it takes as many rounds as the farthest is away.
+    """
     r = Rounds(edges.sparkSession)
     both = r.save(edges.select("from", "to").union(edges.select("to", "from")).distinct())
     seen = r.save(both.where(F.col("from") == start).select(F.col("from").alias("node")).distinct().withColumn("path", F.array("node")))
     front = seen
-    while not front.isEmpty():
+    while not front.isEmpty() and (targets is None or not targets.join(seen, "node", "left_anti").isEmpty()):
         step = both.join(front.withColumnRenamed("node", "from"), "from").join(seen.select(F.col("node").alias("to")), "to", "left_anti")
         new = r.save(step.groupBy(F.col("to").alias("node")).agg(F.min(F.concat("path", F.array("to"))).alias("path")))
         seen, front = r.save(seen.union(new), seen, *([front] if front is not seen else [])), new

@@ -113,7 +113,7 @@ def plan(spark: SparkSession, objective: str, m: Mapping[str, DataFrame], *, sto
     anchor = clauses.where("owner is not null").orderBy(F.length("clause"), "clause").select("owner").first()
     mine = clauses.where("owner is not null").select(F.col("owner").alias("path")).distinct()
     if anchor is not None:
-        ways = graph.shortest_paths(m["dependencies"], anchor.owner).join(mine.withColumnRenamed("path", "node"), "node").select(F.explode("path").alias("path"))
+        ways = graph.shortest_paths(m["dependencies"], anchor.owner, r.save(mine.withColumnRenamed("path", "node"))).join(mine.withColumnRenamed("path", "node"), "node").select(F.explode("path").alias("path"))
         mine = mine.union(ways).distinct()
     every = list(dict.fromkeys(t for _, _, terms in parts for t in terms))
     scored = scores(stacks, every, where_found=[boost(runtime, every, 12)]).join(mine, "path", "left_semi")
