@@ -134,3 +134,30 @@ def _(s, d):
     t = C("text")
     docs = T.table(s, d, "documents").where("text is not null").select("doc_id", F.concat(t, F.lit("\n"), F.replace(t, F.lit(" "), F.lit("\n"))).alias("text"))
     return docs.select("doc_id", F.posexplode(chunks.chunks(C("text")))).select("doc_id", (C("pos") + 1).alias("seq"), F.length("col.source").alias("chars"), "col.line_start", "col.line_end", "col.continued")
+
+
+@query("best_packet_f10", """SELECT doc_id AS id, CASE WHEN lang = 'en' THEN 1 ELSE 2 END + CASE WHEN contains(lower(source), 'src1') THEN 8 ELSE 0 END + CASE WHEN contains(lower(lang), 'e') THEN 6 ELSE 0 END
+  + CASE WHEN contains(lower(text), 'src1') THEN 3 ELSE 0 END + CASE WHEN contains(lower(text), 'e') THEN 3 ELSE 0 END + CASE WHEN contains(lower(source), 'e') THEN 8 ELSE 0 END + CASE WHEN contains(lower(lang), 'src1') THEN 6 ELSE 0 END AS score
+FROM documents ORDER BY score DESC, lang = 'en', doc_id LIMIT 1""")
+def _(s, d):
+    p = T.table(s, d, "documents").select(C("doc_id").alias("id"), F.when(C("lang") == "en", "repository").otherwise("directory").alias("kind"), C("source").alias("names"), C("lang").alias("symbols"), C("text").alias("evidence"))
+    return atlas.best_packet(p, ["src1", "e"])
+
+
+_STATUS = "CASE WHEN {0} < 30 THEN 'synthesized' WHEN {0} < 60 THEN 'partial' ELSE 'deterministic' END"
+
+
+@query("coverage_e27", f"""WITH r AS (SELECT c_custkey AS id, {_STATUS.format('c_custkey')} AS status FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, {_STATUS.format('o_custkey - 20')} FROM orders)
+SELECT *, CASE WHEN unmapped = 0 THEN 'COMPLETE' WHEN wanted > 0 AND found = wanted THEN 'OBJECTIVE_SUFFICIENT' ELSE 'PARTIAL' END AS status FROM (SELECT count(*) AS regions, count(*) FILTER (status = 'synthesized') AS synthesized, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'deterministic') AS deterministic,
+  (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT id FROM r)) AS unmapped, (SELECT count(*) FROM supplier) AS wanted, (SELECT count(*) FROM supplier WHERE s_suppkey IN (SELECT id FROM r)) AS found FROM r)""")
+def _(s, d):
+    old = T.table(s, d, "customer").select(C("c_custkey").alias("id"), F.expr(_STATUS.format("c_custkey")).alias("status"))
+    new = T.table(s, d, "orders").select(C("o_custkey").alias("id"), F.expr(_STATUS.format("o_custkey - 20")).alias("status")).distinct()
+    return atlas.coverage(atlas.merge_regions(old, new), T.table(s, d, "part").select(C("p_partkey").alias("id")), T.table(s, d, "supplier").select(C("s_suppkey").alias("id")))
+
+
+@query("probes_f18", """WITH p AS (SELECT user_id AS clause, event_type || '-' || strftime(ts, '%d') AS id, max(event_id) AS sequence FROM events GROUP BY 1, 2)
+SELECT clause, id, sequence, row_number() OVER (PARTITION BY clause ORDER BY id) AS place FROM p QUALIFY place <= 8""")
+def _(s, d):
+    e = T.table(s, d, "events").select(C("user_id").alias("clause"), F.concat("event_type", F.lit("-"), F.date_format("ts", "dd")).alias("id"), C("event_id").alias("sequence"))
+    return atlas.probes(e)

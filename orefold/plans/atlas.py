@@ -122,3 +122,42 @@ def frontier(path: Column, targets: Column) -> Column:
     """The last three steps of a path and the first three targets."""
     n = F.size(path)
     return F.concat(F.slice(path, F.greatest(n - 2, F.lit(1)), F.lit(3)), F.slice(targets, 1, 3))
+
+
+def best_packet(packets: DataFrame, terms: list[str]) -> DataFrame:
+    """(id, score): the one packet (id, kind, names, symbols, evidence) that matches best; equal ones: the repository last, then by id.
+
+    A term counts 8 in paths and names, 6 in symbols, 3 in evidence; a repository starts with 1, others with 2. A null text matches nothing.
+    """
+    base = F.when(C("kind") == "repository", 1).otherwise(2)
+    hits = [F.when(F.contains(F.lower(c), F.lit(t)), w).otherwise(0) for t in terms for c, w in (("names", 8), ("symbols", 6), ("evidence", 3))]
+    scored = packets.select("id", "kind", sum(hits, base).alias("score"))
+    return scored.orderBy(F.desc("score"), F.coalesce(C("kind") == "repository", F.lit(False)), "id").limit(1).select("id", "score")
+
+
+def merge_regions(existing: DataFrame, expansion: DataFrame) -> DataFrame:
+    """I16: regions (id, status) of both; a region of the expansion replaces that of the same id."""
+    both = existing.select("id", "status", F.lit(0).alias("new")).unionAll(expansion.select("id", "status", F.lit(1)))
+    return both.groupBy("id").agg(F.max_by("status", F.struct("new", "status")).alias("status"))
+
+
+def coverage(regions: DataFrame, packets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row of counts of merged regions (id, status) against packets (id) and the wanted ones among them (id)."""
+    seen = (regions.select("id", "status", F.lit(0).alias("p"), F.lit(0).alias("w")).unionAll(packets.select("id", F.lit(None).cast("string"), F.lit(1), F.lit(0)))
+            .unionAll(wanted.select("id", F.lit(None).cast("string"), F.lit(0), F.lit(1)))
+            .groupBy("id").agg(F.max("status").alias("status"), F.max("p").alias("p"), F.max("w").alias("w")))
+    n = lambda condition: F.count_if(condition)
+    mapped = C("status").isNotNull()
+    sums = seen.agg(n(mapped).alias("regions"), *[n(C("status") == x).alias(x) for x in ("synthesized", "partial", "deterministic")],
+                    n((C("p") == 1) & ~mapped).alias("unmapped"), n(C("w") == 1).alias("wanted"), n((C("w") == 1) & mapped).alias("found"))
+    status = F.when(C("unmapped") == 0, "COMPLETE").when((C("wanted") > 0) & (C("found") == C("wanted")), "OBJECTIVE_SUFFICIENT").otherwise("PARTIAL")
+    return sums.withColumn("status", status)
+
+
+def probes(found: DataFrame, n: int = 8) -> DataFrame:
+    """of probes (clause, id, sequence, ...) the last of each id, and of each clause the ``n`` first by id.
+
+    Spark cuts each task's groups to ``n`` rows before the shuffle, so a hot clause sends few.
+    """
+    last = newest(found, ["clause", "id"], ["sequence"])
+    return last.withColumn("place", F.row_number().over(Window.partitionBy("clause").orderBy("id"))).where(C("place") <= n)

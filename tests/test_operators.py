@@ -162,3 +162,23 @@ def test_traces_stop_where_they_should(spark):
     assert run("send@b.js", "network-request", found) == (["send@b.js"], "CERTIFIED", "network-request")
     assert run("use@b.js", "network-request", found) == (["use@b.js"], "UNABLE_TO_CERTIFY", "")
     assert run("go@a.js", None, nodes.withColumns({"guard": F.lit(None).cast("string"), "suspects": F.lit("")}), most_visits=1)[1] == "LIMITS_EXCEEDED"
+
+
+def test_path_trees(spark):
+    from orefold.plans import atlas
+    files = spark.createDataFrame([("a/b/c/x.js", "source", True), ("a/b/d/y.json", "manifest", False), ("z.bin", "asset", False), ("q/r/only.js", "source", True)], "path string, kind string, modeled boolean")
+    tree = atlas.nodes(files)
+    assert {r.path: (r.files, r.modeled) for r in tree.where("node = 'directory'").collect()} == {"a/b": (2, 1), "a/b/c": (1, 1), "a/b/d": (1, 0), "q/r": (1, 1)}
+    assert {r.directory: r.total for r in atlas.node_counts(tree).collect()} == {"a/b": 5, "a/b/c": 2, "a/b/d": 2, "q/r": 2}
+    assert [r.path for r in atlas.breadth_first(tree, 6).orderBy("place").collect()] == ["a/b", "q/r", "z.bin", "a/b/c", "a/b/d", "q/r/only.js"]
+    assert {r.directory: r.omitted for r in atlas.projection(tree, 4).collect()} == {"a/b": 3, "a/b/c": 1, "q/r": 1}
+    assert atlas.nodes(files.limit(0)).count() == atlas.projection(atlas.nodes(files.limit(0))).count() == 0
+    odd = spark.createDataFrame([("a",), ("a/b",), ("a/b",)], "path string")
+    assert {tuple(r) for r in atlas.collisions(odd).collect()} == {("a", "collision"), ("a/b", "duplicate")}
+
+
+def test_chunks():
+    from orefold.functions.chunks import _cut
+    assert _cut("") == [("", 1, 1, False)]
+    assert [(len(p), a, b, c) for p, a, b, c in _cut("x" * 9000)] == [(4000, 1, 1, False), (4000, 1, 1, True), (1000, 1, 1, True)]
+    assert [(len(p), a, b, c) for p, a, b, c in _cut("\n" * 250)] == [(120, 1, 120, False), (120, 121, 240, False), (10, 241, 250, False)]
