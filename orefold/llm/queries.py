@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orefold.llm import bpe, embed_dedup, html_text, licenses, minhash, mixture, quality, spotsigs, token_shards, warc
+from orefold.llm import bpe, decontaminate, embed_dedup, html_text, lexical, licenses, minhash, mixture, quality, spotsigs, token_shards, vector_codes, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,9 +55,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, _read(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_shards, op2_spotsigs, op3_minhash, op4_mixture, op5_licenses, op6_quality, op7_near_vectors, op8_main_text, op9_bpe, op10_warc)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark, _read(spark, sf_dir, "embeddings"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_shards, op2_spotsigs, op3_minhash, op4_mixture, op5_licenses, op6_quality, op7_near_vectors, op8_main_text, op9_bpe, op10_warc, op11_vector_codes, op12_decontaminate, op13_lexical)}
 
 ORACLES: dict[str, str] = {
+    "op11_vector_codes": vector_codes.oracle(),
+    "op12_decontaminate": decontaminate.ORACLE,
+    "op13_lexical": lexical.ORACLE,
     "op3_minhash": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
