@@ -83,7 +83,7 @@ class Indexer:
     """
 
     def __init__(self, weights: Weights):
-        self.weights = weights
+        self.weights, self.most_docs, self.most_postings = weights, BLOCK_DOCS, BLOCK_POSTINGS
 
     def block(self, name: str, docs: list[pa.Array], n: list[int], terms: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         held = [len(t) for t in terms]
@@ -107,11 +107,12 @@ class Indexer:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, k = TaskContext.get().partitionId(), 0
         docs, n, terms, counts, held = [], [], [], [], 0
+        step = min(1024, self.most_docs)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                rows = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, step):
+                rows = batch.slice(at, step)
                 new = sum(len(t) for t in rows.column(2))
-                if n and (len(n) + rows.num_rows > BLOCK_DOCS or held + new > BLOCK_POSTINGS):
+                if n and (len(n) + rows.num_rows > self.most_docs or held + new > self.most_postings):
                     yield from self.block(f"{task}-{k}", docs, n, terms, counts)
                     docs, n, terms, counts, held, k = [], [], [], [], 0, k + 1
                 docs.append(rows.column(0))
@@ -180,17 +181,17 @@ class Searcher:
     """Ranks the documents of one block of the index for all queries of a pass."""
 
     def __init__(self, items: pa.Array, uses: dict[int, list[tuple[int, int]]], depth: int, k: int):
-        self.items, self.uses, self.depth, self.k = items, uses, depth, k
+        self.items, self.uses, self.depth, self.k, self.at_once = items, uses, depth, k, QUERIES_AT_ONCE
 
     def best(self, table: pa.Table) -> pa.Table:
         terms = table["term"].to_numpy()
         ids = table["docs"].combine_chunks().filter(pa.array(terms == -1)).flatten()
         order = np.argsort(np.argsort(pc.fill_null(ids, np.iinfo(np.int64).max).to_numpy(), kind="stable"), kind="stable") if pa.types.is_integer(ids.type) else np.argsort(pc.sort_indices(ids).to_numpy())
         query, place, score = [], [], []
-        for first in range(0, len(self.items), QUERIES_AT_ONCE):
-            sums = Sums(min(QUERIES_AT_ONCE, len(self.items) - first), len(ids), self.depth)
+        for first in range(0, len(self.items), self.at_once):
+            sums = Sums(min(self.at_once, len(self.items) - first), len(ids), self.depth)
             for term, row_places, row_slices in zip(terms.tolist(), table["places"], table["slices"]):
-                uses = [(q - first, times) for q, times in self.uses.get(term, ()) if first <= q < first + QUERIES_AT_ONCE]
+                uses = [(q - first, times) for q, times in self.uses.get(term, ()) if first <= q < first + self.at_once]
                 if not uses:
                     continue
                 places = np.frombuffer(row_places.as_py(), "<u2").astype(np.int64)

@@ -18,10 +18,12 @@ from orefold.llm.common import Scratch
 #: Integers (8 bytes each) of vectors that a task holds at once.
 AT_ONCE = 1 << 21
 
+MISFIT = "squared distances would not fit 64 bits"
 
-def _matrices(batch: pa.RecordBatch, at: int, scale: int, width: int, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+
+def _matrices(batch: pa.RecordBatch, at: int, scale: int, width: int, most: int, at_once: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """The usable rows of a batch, some at a time, with their integers (row, place); short vectors are filled up with zeros."""
-    step = max(1, AT_ONCE // max(1, width))
+    step = max(1, at_once // max(1, width))
     for start in range(0, batch.num_rows, step):
         rows = batch.slice(start, step)
         lists = rows.column(at)
@@ -37,7 +39,7 @@ def _matrices(batch: pa.RecordBatch, at: int, scale: int, width: int, most: int)
         use = good[owner]
         scaled = np.floor(values[use] * scale)
         if len(scaled) and np.abs(scaled).max() > most:
-            raise ValueError(f"a component times {scale} is beyond {most}: squared distances would not fit 64 bits")
+            raise ValueError(f"a component times {scale} is beyond {most}: {MISFIT}")
         x = np.zeros((int(good.sum()), width), np.int64)
         x[(np.cumsum(good) - 1)[owner[use]], place[use]] = scaled.astype(np.int64)
         yield rows.filter(pa.array(good)), x
@@ -61,10 +63,10 @@ class Codebooks:
         self.entries, self.scale = entries, scale
         self.parts, self.size, self.part_width = entries.shape
         self.width = self.parts * self.part_width
-        self.most = math.isqrt((1 << 62) // max(1, self.part_width)) // 2
+        self.most, self.at_once = math.isqrt((1 << 62) // max(1, self.part_width)) // 2, AT_ONCE
 
     def matrices(self, batch: pa.RecordBatch, at: int):
-        for rows, x in _matrices(batch, at, self.scale, self.width, self.most):
+        for rows, x in _matrices(batch, at, self.scale, self.width, self.most, self.at_once):
             yield rows, [x[:, p * self.part_width: (p + 1) * self.part_width] for p in range(self.parts)]
 
     def sha256(self) -> str:
@@ -125,6 +127,8 @@ def fit(vectors: DataFrame, parts: int = 8, size: int = 16, rounds: int = 6, sca
     first = usable.orderBy(F.col("id").asc_nulls_last(), "vector").limit(size).select("vector").collect()
     start = np.zeros((len(first), parts * width), np.int64)
     for row, r in zip(start, first):
+        if any(abs(x) * scale >= 1 << 32 for x in r.vector):
+            raise ValueError(f"a component times {scale} is beyond 2^32: {MISFIT}")
         row[: len(r.vector)] = [math.floor(scale * x) for x in r.vector]
     books = Codebooks(np.ascontiguousarray(start.reshape(len(first), parts, width).transpose(1, 0, 2)), scale)
     for _ in range(rounds):
