@@ -17,11 +17,17 @@ from pyspark.sql import functions as F
 
 
 class Rounds:
-    """Tables of the rounds of one query, in the folder that driver and executors share; a temporary one only where none is set."""
+    """Tables of the rounds of one query, in the folder that driver and executors share.
+
+    That is ``spark.checkpoint.dir``. Where it is unset, a session on one machine gets a temporary folder; on a cluster
+    that is an error, because executors would not see each other's files.
+    """
 
     def __init__(self, spark: SparkSession):
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="orefold-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark, self.root, self.at = spark, f"{root.rstrip('/')}/orefold/graph-{uuid.uuid4().hex}", {}
@@ -42,6 +48,11 @@ class Rounds:
                 p = self.spark._jvm.org.apache.hadoop.fs.Path(at)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """The result as a stored table; all others are removed."""
+        old = [t for _, t in self.at.values()]
+        return self.save(df, *old)
+
 
 #: Edges of a graph (some tens of bytes each) that one task handles by itself: a long chain then costs no round for each
 #: of its nodes. Larger graphs take rounds over all tasks, with the same results.

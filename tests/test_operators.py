@@ -1,6 +1,7 @@
 """Operators on small fixtures."""
 
 import random
+from collections import namedtuple
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,23 +146,102 @@ def test_slices_and_their_limits(spark):
     assert walks.criterion(nodes.withColumn("line_start", F.lit(1)), F.col("symbol") == "s").collect() == [("a",)]
 
 
+def _traces(spark, nodes, edges, *asked, **options):
+    """(path, status, detail) of each (start, target), in one plan."""
+    rows = walks.traces(spark.createDataFrame([(str(i), *a) for i, a in enumerate(asked)], "request string, node string, target_effect string"), nodes, edges, **options).collect()
+    out = []
+    for i in range(len(asked)):
+        s = next(r for r in rows if (r.request, r.row) == (str(i), "status"))
+        out.append(([r.id for r in sorted((r for r in rows if (r.request, r.row) == (str(i), "hop")), key=lambda r: r.place)], s.id, s.detail))
+    return out
+
+
 def test_traces_stop_where_they_should(spark):
     files = spark.createDataFrame([("a.js", "function go() {\n  next();\n}\nfunction next() {\n  if (event.x) return;\n}\n"), ("b.js", "function send() { }\nfunction use() { read(msg.id) }\n")], "path string, text string")
     symbols = facts.symbols(files)
     effects = spark.createDataFrame([("b.js", "network-request", "send", "integration-boundary")], "file string, kind string, symbol string, node_kind string")
     nodes = walks.trace_nodes(symbols, files, effects.where("false"))
     edges = spark.createDataFrame([("go@a.js", "next@a.js", "calls"), ("go@a.js", "send@b.js", "dependency"), ("send@b.js", "use@b.js", "calls")], "from string, to string, kind string")
-
-    def run(start, target=None, nodes=nodes, **options):
-        rows = walks.traces(spark.createDataFrame([("r", start, target)], "request string, node string, target_effect string"), nodes, edges, **options).collect()
-        s = next(r for r in rows if r.row == "status")
-        return [r.id for r in sorted((r for r in rows if r.row == "hop"), key=lambda r: r.place)], s.id, s.detail
-    assert run("go@a.js") == (["go@a.js", "next@a.js"], "BLOCKED", "if (event.x) return")
-    assert run("send@b.js")[1:] == ("BLOCKED", "possible-missing-field: message.id on use@b.js")
+    assert _traces(spark, nodes, edges, ("go@a.js", None), ("send@b.js", None), ("nowhere@a.js", None)) == [
+        (["go@a.js", "next@a.js"], "BLOCKED", "if (event.x) return"), (["send@b.js", "use@b.js"], "BLOCKED", "possible-missing-field: message.id on use@b.js"), ([], "UNABLE_TO_CERTIFY", "")]
     found = walks.trace_nodes(symbols, files, effects)
-    assert run("send@b.js", "network-request", found) == (["send@b.js"], "CERTIFIED", "network-request")
-    assert run("use@b.js", "network-request", found) == (["use@b.js"], "UNABLE_TO_CERTIFY", "")
-    assert run("go@a.js", None, nodes.withColumns({"guard": F.lit(None).cast("string"), "suspects": F.lit("")}), most_visits=1)[1] == "LIMITS_EXCEEDED"
+    assert _traces(spark, found, edges, ("send@b.js", "network-request"), ("send@b.js", "send"), ("use@b.js", "network-request")) == [(["send@b.js"], "CERTIFIED", "network-request")] * 2 + [(["use@b.js"], "UNABLE_TO_CERTIFY", "")]
+    assert _traces(spark, nodes.withColumns({"guard": F.lit(None).cast("string"), "suspects": F.lit("")}), edges, ("go@a.js", None), most_visits=1)[0][1] == "LIMITS_EXCEEDED"
+
+
+def test_traces_find_any_effect_of_a_symbol_or_its_module(spark):
+    """The wanted effect may be any of several, or one of the module's own."""
+    files = spark.createDataFrame([("a.js", "function go() {\n  game.settings.set('a', 'b', 1); actor.update({});\n}\n"), ("m.js", "fetch('y');\nfunction quiet() {\n  1;\n}\n")], "path string, text string")
+    symbols, effects = facts.symbols(files), facts.effects(files)
+    none = spark.createDataFrame([], "from string, to string, kind string")
+    first = sorted((r.line, r.kind) for r in effects.collect() if r.symbol == "go" and r.node_kind in ("effect-sink", "integration-boundary"))[0][1]
+    asked = [("go@a.js", "settings"), ("go@a.js", "foundry-document"), ("go@a.js", "go"), ("go@a.js", None), ("quiet@m.js", "network-request"), ("quiet@m.js", "dialog"), ("quiet@m.js", None)]
+    got = _traces(spark, walks.trace_nodes(symbols, files, effects), none, *asked)
+    assert [g[1:] for g in got] == [("CERTIFIED", "settings"), ("CERTIFIED", "foundry-document"), ("CERTIFIED", first), ("CERTIFIED", first), ("CERTIFIED", "network-request"), ("UNABLE_TO_CERTIFY", ""), ("CERTIFIED", "")]
+    unsure = walks.trace_nodes(symbols, files, effects.withColumn("reconciliation", F.lit("native-conflict")))
+    assert _traces(spark, unsure, none, ("go@a.js", None)) == [(["go@a.js"], "CERTIFIED", "")]
+
+
+def test_suspected_fields_that_something_mentions(spark):
+    """G8d: a detail anywhere that holds the field, a path node named like an effect's symbol in any file, an effect in a path file."""
+    files = spark.createDataFrame([("b.js", "function send() { }\nfunction use() { read(msg.id) }\n"), ("c.js", "")], "path string, text string")
+    symbols = facts.symbols(files)
+    edges = spark.createDataFrame([("send@b.js", "use@b.js", "calls")], "from string, to string, kind string")
+    shape = "file string, kind string, symbol string, node_kind string, detail string, line int"
+    told = lambda *rows: tuple(next(r for r in walks.trace_nodes(symbols, files, spark.createDataFrame(list(rows), shape)).collect() if r.node == "use@b.js")[c] for c in ("suspects", "told", "mentioned"))
+    assert told() == told(("c.js", "hooks", "other", "entry-point", "x", 1)) == ("message.id", False, False)
+    assert told(("c.js", "hooks", "other", "entry-point", "the MESSAGE.ID of", 1)) == ("message.id", True, False)
+    assert told(("c.js", "hooks", "use", "entry-point", None, 1)) == told(("b.js", "hooks", "other", "entry-point", "x", 1)) == ("message.id", False, True)
+    nodes = walks.trace_nodes(symbols, files, spark.createDataFrame([("c.js", "hooks", "send", "entry-point", "x", 1)], shape))
+    assert _traces(spark, nodes, edges, ("send@b.js", None)) == [(["send@b.js", "use@b.js"], "CERTIFIED", "")]
+
+
+def test_calls_begin_at_the_first_symbol(spark):
+    files = spark.createDataFrame([("a.js", "run ();\nfunction one() {}\nfunction two() { run\n\n  (1); $run(2) }\n"), ("b.js", "function run() {}"), ("c.js", "run(); runner(); re_run()"), ("d.js", None)], "path string, text string")
+    got = walks.call_edges(files, facts.symbols(files)).collect()
+    assert {(r["from"], r["to"]) for r in got} == {("<module>@a.js", "run@b.js"), ("one@a.js", "run@b.js"), ("one@a.js", "one@a.js"), ("one@a.js", "two@a.js"), ("run@b.js", "run@b.js"), ("<module>@c.js", "run@b.js")}
+
+
+@pytest.mark.parametrize("files", [None, 3])
+def test_walks_gather_no_more_than_their_limits(spark, files):
+    """On a dense graph each request gathers the edges of its walk, not the graph; slices equal those of all edges."""
+    rng = random.Random(5)
+    nodes = spark.createDataFrame([(f"n{i:02}", f"f{i % 9}", "s", rng.choice(("identifier", "effect-sink")), "repository-confirmed") for i in range(40)], "id string, file string, symbol string, kind string, reconciliation string")
+    pairs = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(1500)})
+    rows = [(f"e{rng.random():.9f}", f"n{a:02}", f"n{b:02}", "passes", "repository-confirmed") for a, b in pairs]
+    edges = spark.createDataFrame(rows, "id string, from string, to string, kind string, reconciliation string")
+    asked = spark.createDataFrame([(f"r{i}", f"n{i:02}") for i in range(40)], "request string, node string")
+    limits = walks.Limits(nodes=9, edges=30, hops=4, files=files or 16)
+    ways = edges.select("from", "to", edges.id.alias("edge"), edges.id.alias("rank"))
+    got = walks.near(ways, nodes.select(nodes.id.alias("node"), "file"), asked, graph.Rounds(spark), rounds=5, most_nodes=9, most_edges=30, most_of_node=61, most_files=files)
+    assert got.count() <= 40 * (30 + 9)
+    ahead = [("", a, b, e, None, None, "repository-confirmed", None, None, None) for e, a, b, _, _ in rows]
+    ways_of = {"forward": ahead, "both": ahead + [(*r[:1], r[2], r[1], *r[3:]) for r in ahead]}
+    ends = {a for _, a, _, _, _ in rows}
+    row = namedtuple("row", "request source end edge file kind reconciliation allowed target gap start needs_target")
+    attributes = [("", None, r.id, None, r.file, r.kind, r.reconciliation, True, r.kind == "effect-sink" or r.id not in ends, False) for r in nodes.collect()]
+    for direction in ("forward", "both"):
+        out = {}
+        for r in walks.slices(asked, nodes, edges, direction=direction, limits=limits).collect():
+            out.setdefault(r.request, set()).add((r.row, r.id, r.detail))
+        for i in range(40):
+            whole = [row(f"r{i}", *r[1:], f"n{i:02}", False) for r in ways_of[direction] + attributes]
+            assert {r[1:] for r in walks._slice(whole, limits)} == out[f"r{i}"]
+
+
+def test_open_ends_leave_slices_partial(spark):
+    nodes = spark.createDataFrame([("a", "f1", "s", "parameter", "x"), ("b", "f2", "s", "identifier", "x"), ("c", "f3", "s", "identifier", "x")], "id string, file string, symbol string, kind string, reconciliation string")
+    edges = spark.createDataFrame([("1", "a", "b", "passes", "x"), ("2", "b", "c", "passes", "unresolved"), ("2", "b", "c", "passes", "unresolved")], "id string, from string, to string, kind string, reconciliation string")
+    asked = spark.createDataFrame([("r", "a"), ("r", "a"), ("q", "c"), ("n", None), ("x", "gone")], "request string, node string")
+
+    def run(edges=edges, **options):
+        return {(r.request, r.row, r.id) for r in walks.slices(asked, nodes, edges, **options).collect() if r.row in ("status", "target")}
+    assert run() == {("r", "status", "PARTIAL"), ("r", "target", "c"), ("q", "status", "CERTIFIED"), ("q", "target", "c"), ("x", "status", "UNABLE_TO_CERTIFY")}
+    whole = edges.drop("reconciliation")
+    assert ("r", "status", "CERTIFIED") in run(whole) and ("r", "status", "PARTIAL") in run(whole, gaps=spark.createDataFrame([("f3",)], "file string"))
+    assert ("q", "status", "CERTIFIED") in run(whole, gaps=spark.createDataFrame([("f2",), (None,)], "file string"))
+    assert run(edges.limit(0)) >= {("r", "status", "CERTIFIED"), ("r", "target", "a")}
+    assert walks.slices(asked.limit(0), nodes, edges).collect() == walks.traces(asked.limit(0).withColumn("target_effect", F.lit("")), walks.trace_nodes(nodes.selectExpr("file", "symbol as name", "1 as line").limit(0), nodes.selectExpr("file as path", "'' as text").limit(0), nodes.selectExpr("file", "kind", "symbol", "kind as node_kind").limit(0)), edges).collect() == []
 
 
 def test_path_trees(spark):
