@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 # Fixed values (B54): how strongly a fact is reconciled, from weakest.
 LATTICE = ("unresolved", "repository-confirmed", "cross-map-confirmed", "native-supplemented", "native-confirmed", "native-conflict")
-# Fixed values (B23, B27): words that are no search terms, in traces, regions and decompositions.
+# Fixed values (B23, B27): words that are no search terms, in plans, contract maps, traces, regions and decompositions.
+PLAN_STOP = ("the", "and", "for", "from", "into", "with", "that", "this", "make", "change", "implement", "ensure", "using", "through", "only", "existing", "current", "behavior")
 TRACE_STOP = tuple("the and for from into with that this when where why does doesnt isnt not work working figure trace find locate runtime path event flow problem issue bug".split())
 REGION_STOP = tuple("the and for from with this that into repo repository look take".split())
 DOMAIN_STOP = tuple("the and for from with into feature handler service state create update resolve build apply current value".split())

@@ -50,8 +50,12 @@ class Rounds:
 
     def finish(self, df: DataFrame) -> DataFrame:
         """The result as a stored table; all others are removed."""
-        old = [t for _, t in self.at.values()]
-        return self.save(df, *old)
+        return self.finish_all(df)[0]
+
+    def finish_all(self, df: DataFrame, *kept: DataFrame) -> tuple[DataFrame, ...]:
+        """The result and stored tables that stay."""
+        old = [t for _, t in self.at.values() if all(t is not k for k in kept)]
+        return self.save(df, *old), *kept
 
 
 #: Edges of a graph (some tens of bytes each) that one task handles by itself: a long chain then costs no round for each

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefold.functions import text
-from orefold.operators import graph, ranking
+from orefold.operators import graph, ranking, substrings
 
 #: Weights of what may hold a term (I1): a file's path, symbols, effects, states, references, and the first TEXT characters of its text.
 WEIGHTS = {"path": 6, "symbols": 5, "effects": 4, "states": 4, "references": 2, "text": 1}
 TEXT = 24_000
 
 
-def clauses_of(spark: SparkSession, objective: str, stop: Sequence[str] = ()) -> list[tuple[str, str, list[str]]]:
+def clauses_of(spark: SparkSession, objective: str, stop: Sequence[str] = text.PLAN_STOP) -> list[tuple[str, str, list[str]]]:
     """(id, clause, terms) of an objective; what comes to the driver is as long as the objective."""
     c = F.posexplode(text.clauses(F.lit(objective))).alias("n", "c")
     rows = spark.range(1).select(c).select("n", "c", text.terms(F.col("c"), stop).alias("t")).orderBy("n").collect()
@@ -32,7 +33,7 @@ def haystacks(m: Mapping[str, DataFrame]) -> DataFrame:
     e = m["dependencies"]
     for name, end in (("incoming", "to"), ("outgoing", "from")):
         out = out.join(e.groupBy(F.col(end).alias("path")).agg(F.count("*").alias(name)), "path", "left")
-    return out.fillna("").fillna(0)
+    return out.fillna("").fillna(0, ["incoming", "outgoing"])
 
 
 def hits(column: Column, terms: Sequence[str], weight: int | Column) -> Column:
@@ -70,6 +71,82 @@ def scores(stacks: DataFrame, terms: Sequence[str], always: Sequence[DataFrame]
     return s.select("path", total.cast("int").alias("score"))
 
 
+def terms_of(texts: DataFrame, stop: Sequence[str] = text.PLAN_STOP) -> DataFrame:
+    """(clause, term) of rows (clause, said)."""
+    return texts.select("clause", F.explode(text.terms(F.col("said"), stop)).alias("term"))
+
+
+class Evidence(NamedTuple):
+    """What else speaks for files (I2-I5): a certified trace, contracts, runtime nodes, a certified slice; None where there is none.
+
+    ``hops`` (place, file, symbol), ``blocker`` and ``terminal`` (file, said), ``contracts`` (id, name, said, verification, reconciliation) with ``endpoints`` (id,
+    path, role), ``runtime`` (file, effect_kind, symbol, detail, kind), ``flow`` (file, symbol, kind, end: whether a source or sink).
+    """
+
+    hops: DataFrame | None = None
+    blocker: DataFrame | None = None
+    terminal: DataFrame | None = None
+    contracts: DataFrame | None = None
+    endpoints: DataFrame | None = None
+    runtime: DataFrame | None = None
+    flow: DataFrame | None = None
+
+
+def _gains(rows: DataFrame, clauses: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(clause, path, gain): the weights of evidence rows (path, said, weight) for each of the clause's terms that they hold."""
+    rows = keep(rows.select("path", text.normalize(F.col("said")).alias("text"), "weight").withColumn("id", F.xxhash64("path", "text", "weight")).groupBy("id", "path", "text", "weight").agg(F.count("*").alias("n")))
+    found = substrings.containing(rows, clauses, ["id"]).join(clauses, "term")
+    return found.join(rows.select("id", "path", F.col("weight") * F.col("n")).toDF("id", "path", "w"), "id").groupBy("clause", "path").agg(F.sum("w").alias("gain"))
+
+
+def clause_scores(stacks: DataFrame, clauses: DataFrame, evidence: Evidence = Evidence(), keep: Callable[[DataFrame], DataFrame] = lambda t: t, spare: int = 4) -> DataFrame:
+    """I1-I5 for many clauses (clause, term) in one plan: (clause, path, score) of the files that something speaks for, and of the ``spare`` ones of the highest degrees.
+
+    A file that nothing speaks for scores its degrees alone, so no other one can be among a clause's ``spare`` best. Terms and texts
+    meet through an index of their grams, not file by file. I3: a slice's files gain 3 if a source or sink lies in them, else 1, and 4 for each term, at
+    most 12. I4: at most 12. Both count only with a hit in the file's own texts.
+    """
+    c = keep(clauses.where("clause is not null and term <> ''").select("clause", "term").distinct())
+    fields = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.lit(w).alias("weight"), F.col(f"h_{n}").alias("text")) for n, w in WEIGHTS.items()])).alias("f")
+    texts = keep(stacks.select("path", fields).select("path", "f.*").where("text <> ''"))
+    found = substrings.containing(texts, c, ["path", "field"]).join(c, "term")
+    weight = F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair])[F.col("field")]
+    out = found.groupBy("clause", "path").agg(F.sum(weight + (F.length("term") >= 7).cast("int")).alias("hits")).select("clause", "path", "hits", F.lit(0).alias("always"), F.lit(0).alias("runtime"), F.lit(0).alias("flow"))
+    gained = []
+    if evidence.hops is not None:
+        hops = evidence.hops.groupBy("file").agg(F.concat_ws(" ", F.collect_list("symbol")).alias("said"))
+        rows = hops.select(F.col("file").alias("path"), "said", F.lit(6).alias("weight")).unionByName(hops.select(F.col("file").alias("path"), F.col("file").alias("said"), F.lit(3).alias("weight")))
+        on_path = hops.select(F.col("file").alias("path"))
+        for end in (evidence.blocker, evidence.terminal):
+            if end is not None:
+                rows = rows.unionByName(end.select(F.col("file").alias("path"), "said", F.lit(4).alias("weight")).join(on_path, "path", "left_semi"))
+        gained.append(("always", rows, None))
+    if evidence.runtime is not None:
+        gained.append(("runtime", runtime_evidence(evidence.runtime), 12))
+    if evidence.flow is not None:
+        flow = evidence.flow.groupBy("file").agg(F.concat_ws(" ", F.collect_list(F.concat_ws(" ", "symbol", "kind"))).alias("said"), F.max(F.when(F.col("end"), 3).otherwise(1)).alias("base"))
+        gained.append(("flow", flow.select(F.col("file").alias("path"), F.concat_ws(" ", "file", "said").alias("said"), F.lit(4).alias("weight")), 12))
+    for name, rows, most in gained:
+        g = _gains(rows, c, keep).withColumn("gain", F.least(F.lit(most), "gain") if most else F.col("gain"))
+        out = out.unionByName(g.select("clause", "path", F.lit(0).alias("hits"), *[(F.col("gain") if n == name else F.lit(0)).alias(n) for n in ("always", "runtime", "flow")]))
+    if evidence.contracts is not None:
+        said = keep(evidence.contracts.select("id", "verification", text.normalize(F.col("said")).alias("text")))
+        about = substrings.containing(said, c, ["id"]).join(c, "term").select("clause", "id").distinct().join(said.select("id", "verification"), "id")
+        e = evidence.endpoints.select("id", "path", (F.col("role") == "provider").alias("p")).distinct().join(about, "id")
+        worth = F.when(~F.col("p"), 4).when(F.col("verification") == "native-authoritative", 8).otherwise(5)
+        out = out.unionByName(e.groupBy("clause", "path").agg(F.sum(worth).alias("always")).select("clause", "path", F.lit(0).alias("hits"), "always", F.lit(0).alias("runtime"), F.lit(0).alias("flow")))
+    degrees = stacks.select("path", (F.least(F.lit(4), "incoming") + F.least(F.lit(3), "outgoing")).alias("degrees"))
+    s = out.groupBy("clause", "path").agg(*[F.sum(n).alias(n) for n in ("hits", "always", "runtime", "flow")]).join(degrees, "path")
+    if evidence.flow is not None:
+        s = s.join(flow.select(F.col("file").alias("path"), "base"), "path", "left").withColumn("flow", F.when(F.col("base").isNotNull(), F.least(F.lit(12), F.col("flow") + F.col("base"))).otherwise(0))
+    scored = keep(s.select("clause", "path", (F.col("hits") + F.col("degrees") + F.col("always") + F.when(F.col("hits") > 0, F.col("runtime") + F.col("flow")).otherwise(0)).cast("int").alias("score")))
+    best = degrees.orderBy(F.col("degrees").desc(), "path").limit(spare).collect()
+    if not best:
+        return scored
+    spared = F.explode(F.array(*[F.struct(F.lit(b.path).alias("path"), F.lit(b.degrees).cast("int").alias("score")) for b in best])).alias("b")
+    return scored.unionByName(c.select("clause").distinct().select("clause", spared).select("clause", "b.*").join(scored, ["clause", "path"], "left_anti"))
+
+
 def owners(scored: DataFrame, least: int = 4, margin: int = 2) -> DataFrame:
     """(clause, path, score, runner_up, owned, candidates): the best file of each clause, whether it owns it, and the four best; ``scored`` (clause, path, score)."""
     top = ranking.top_k(scored.where("score > 0"), ["clause"], [F.col("score").desc(), "path"], 4)
@@ -92,35 +169,89 @@ def traced(hops: DataFrame, start: Column, end: Column) -> DataFrame:
     return hops.join(ends, F.lit(True)).where(F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("place").between(low, high)).groupBy("file").agg(F.min("place").alias("place"))
 
 
-def plan(spark: SparkSession, objective: str, m: Mapping[str, DataFrame], *, stop: Sequence[str] = (), most_files: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(clauses, files, summary) of an objective's corridor.
+class Plan(NamedTuple):
+    """A corridor's clauses, files, summary (one row) and gaps."""
+
+    clauses: DataFrame
+    files: DataFrame
+    summary: DataFrame
+    gaps: DataFrame
+
+
+BLOCKS = "Contract Map native conflict blocks "
+
+
+def plan(spark: SparkSession, objective: str, m: Mapping[str, DataFrame], *, stop: Sequence[str] = text.PLAN_STOP, most_files: int = 16, evidence: Evidence | None = None) -> Plan:
+    """(clauses, files, summary, gaps) of an objective's corridor.
+
+    Each clause is owned by the file that leads in its score; the files between the first owner and the others, along a
+    certified trace that holds both, else on the shortest way, belong to the corridor, which keeps the ``most_files`` best, scored by all terms of the objective. A
+    clause without an owner is a gap, and so is a native conflict among relevant contracts that touch the corridor. E32: a corridor
+    without gaps is certified, and sure if all its files have half of the score that counts. ``evidence`` defaults to the model's runtime nodes.
 
-    Each clause is owned by the file that leads in its score; files on the shortest ways from the first owner to the
-    others belong to the corridor, which keeps the ``most_files`` best. E32: a corridor is certified if each clause has an owner, and
-    sure if all its files have half of the score that counts.
+    An empty objective has no clauses, no files and a gap. A model without files gives clauses without owners.
     """
     r = graph.Rounds(spark)
+    evidence = Evidence(runtime=m["runtime_nodes"]) if evidence is None else evidence
     parts = clauses_of(spark, objective, stop)
     stacks = r.save(haystacks(m))
-    runtime = r.save(runtime_evidence(m["runtime_nodes"]))
-    by_clause = None
-    for name, _, terms in parts:
-        one = scores(stacks, terms, where_found=[boost(runtime, terms, 12)]).select(F.lit(name).alias("clause"), "path", "score")
-        by_clause = one if by_clause is None else by_clause.unionAll(one)
-    found = r.save(owners(by_clause))
-    known = spark.createDataFrame([(n, c, len(t)) for n, c, t in parts], "clause string, said string, terms int")
-    clauses = r.save(known.join(found, "clause", "left").withColumn("owner", F.when(F.col("owned"), F.col("path"))).select("clause", "said", "owner", "score", F.coalesce("owned", F.lit(False)).alias("complete"), "candidates"))
+    every = [r_[0] for r_ in spark.range(1).select(F.explode(text.terms(F.lit(objective), stop))).collect()]  # as long as the objective
+    terms = spark.createDataFrame([(n, t) for n, _, ts in parts for t in ts] + [("", t) for t in every], "clause string, term string")
+    by_clause = r.save(clause_scores(stacks, terms, evidence, r.save))
+    found = r.save(owners(by_clause.where("clause <> ''")))
+    known = spark.createDataFrame([(n, c, ts) for n, c, ts in parts], "clause string, said string, terms array<string>")
+    clauses = known.join(found, "clause", "left").withColumn("owner", F.when(F.col("owned"), F.col("path")))
+    clauses = r.save(clauses.select("clause", "said", "terms", "owner", F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("owned", F.lit(False)).alias("complete"), F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates")))
     anchor = clauses.where("owner is not null").orderBy(F.length("clause"), "clause").select("owner").first()
-    mine = clauses.where("owner is not null").select(F.col("owner").alias("path")).distinct()
+    ways = clauses.where("owner is not null").select(F.col("owner").alias("path"), F.col("owner").alias("node"), F.lit(True).alias("own"))
     if anchor is not None:
-        ways = graph.shortest_paths(m["dependencies"], anchor.owner, r.save(mine.withColumnRenamed("path", "node"))).join(mine.withColumnRenamed("path", "node"), "node").select(F.explode("path").alias("path"))
-        mine = mine.union(ways).distinct()
-    every = list(dict.fromkeys(t for _, _, terms in parts for t in terms))
-    scored = scores(stacks, every, where_found=[boost(runtime, every, 12)]).join(mine, "path", "left_semi")
-    files = r.save(scored.withColumn("confidence", text.confidence(F.col("score"))).orderBy(F.col("score").desc(), "path").limit(max(1, min(32, most_files))))
-    summary = clauses.agg(F.count("*").alias("clause_count"), F.count_if("complete").alias("covered_count")).join(files.agg(F.count("*").alias("file_count"), F.bool_and(F.col("confidence") >= 0.5).alias("sure")), F.lit(True))
-    sound = (F.col("clause_count") > 0) & (F.col("clause_count") == F.col("covered_count")) & (F.col("file_count") > 0)
-    return clauses, files, summary.select("clause_count", "covered_count", "file_count", sound.alias("certified"), F.when(~sound, "incomplete").when(F.col("sure"), "high").otherwise("medium").alias("confidence"))
+        mine = r.save(ways.select("node").distinct())
+        short = graph.shortest_paths(m["dependencies"], anchor.owner, mine).join(mine, "node").select(F.explode("path").alias("path"), "node")
+        if evidence.hops is not None:
+            first = r.save(evidence.hops.groupBy("file").agg(F.min("place").alias("p")))
+            since = first.where(F.col("file") == anchor.owner).select("p").first()
+            ends = first.join(mine.withColumnRenamed("node", "file"), "file").select(F.col("file").alias("node"), F.col("p").alias("b"), F.lit(since.p if since else None).cast("int").alias("a"))
+            traced_ = evidence.hops.select("file", "place").join(F.broadcast(ends), F.col("place").between(F.least("a", "b"), F.greatest("a", "b"))).where(F.col("node") != anchor.owner).select(F.col("file").alias("path"), "node").distinct()
+            short = short.join(traced_.select("node").distinct(), "node", "left_anti").unionByName(traced_)
+        ways = ways.unionByName(short.select("path", "node", (F.col("path") == F.col("node")).alias("own"))).groupBy("path", "node").agg(F.bool_or("own").alias("own"))
+    ways = r.save(ways)
+    held = clauses.where("owner is not null").select("clause", F.col("owner").alias("node")).join(ways, "node")
+    role = F.concat("clause", F.when(F.col("own"), ": owner").otherwise(": dependency path"))
+    reasons = held.groupBy("path").agg(F.array_sort(F.collect_set(F.struct(F.length("clause").alias("n"), F.lit(0).alias("k"), role.alias("said")))).alias("why"))
+    mine = ways.select("path").distinct()
+    whole = by_clause.where("clause = ''").select("path", "score")
+    degrees = stacks.select("path", (F.least(F.lit(4), "incoming") + F.least(F.lit(3), "outgoing")).alias("degrees"))
+    scored = mine.join(degrees, "path").join(whole, "path", "left").select("path", F.coalesce("score", "degrees").cast("int").alias("score"))
+    files = scored.orderBy(F.col("score").desc(), "path").limit(max(1, min(32, most_files))).withColumn("confidence", text.confidence(F.col("score")))
+    files = files.join(reasons, "path", "left")
+    contracts = spark.createDataFrame([], "path string, id string, name string, reconciliation string, failures string")
+    if evidence.contracts is not None and every:
+        c = evidence.contracts.withColumn("failures", F.col("failures") if "failures" in evidence.contracts.columns else F.lit(""))
+        about = substrings.containing(c.select("id", text.normalize(F.col("said")).alias("text")), terms.where("clause = ''"), ["id"]).select("id").distinct()
+        contracts = r.save(c.join(about, "id", "left_semi").join(evidence.endpoints.select("id", "path").distinct(), "id").select("path", "id", "name", "reconciliation", "failures"))
+    by_file = contracts.groupBy("path").agg(F.array_sort(F.collect_set("id")).alias("contract_ids"), F.array_sort(F.collect_set(F.concat(F.lit("Contract Map "), "reconciliation", F.lit(": "), "name"))).alias("told"))
+    marks = [(evidence.hops, "certified Trace lineage"), (evidence.flow, "certified Dataflow Slice lineage")]
+    files = files.join(by_file, "path", "left")
+    said = F.transform("why", lambda w: w["said"])
+    for rows, mark in marks:
+        if rows is not None:
+            files = files.join(rows.select(F.col("file").alias("path"), F.array(F.lit(mark)).alias("mark")).distinct(), "path", "left")
+            said = F.concat(said, F.coalesce("mark", F.array().cast("array<string>")))
+            files = files.withColumn("why", F.transform(said, lambda x: F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), x.alias("said")))).drop("mark")
+            said = F.transform("why", lambda w: w["said"])
+    empty = F.array().cast("array<string>")
+    files = r.save(files.select("path", "score", "confidence", F.concat(F.coalesce(said, empty), F.coalesce("told", empty)).alias("reasons"), F.coalesce("contract_ids", empty).alias("contract_ids")))
+    gaps = clauses.where("not complete").select(F.concat("clause", F.when(F.size("candidates") > 0, ": owner evidence remained ambiguous").otherwise(": no repository evidence matched the clause")).alias("gap"))
+    conflicts = contracts.where("reconciliation = 'native-conflict'").join(files.select("path"), "path", "left_semi").select("id", "name", "failures").distinct()
+    gaps = gaps.unionByName(conflicts.select(F.concat(F.lit(BLOCKS), "name", F.lit(": "), "failures").alias("gap")))
+    n = clauses.agg(F.count("*").alias("clauses"), F.count_if("complete").alias("covered")).first()
+    f = files.agg(F.count("*").alias("n"), F.bool_and(F.col("confidence") >= 0.5).alias("sure")).first()
+    touched = contracts.join(files.select("path"), "path", "left_semi").agg(F.count_distinct("id")).first()[0] if evidence.contracts is not None else 0
+    more = [g for g, missing in (("objective contains no behavioral clause", n.clauses == 0), ("no repository-model path could be certified", f.n == 0)) if missing]
+    gaps = r.save(gaps.unionByName(spark.createDataFrame([(g,) for g in more], "gap string")))
+    certified = n.clauses > 0 and n.clauses == n.covered and f.n > 0 and gaps.isEmpty()
+    summary = spark.createDataFrame([(n.clauses, n.covered, f.n, touched, certified, "incomplete" if not certified else "high" if f.sure else "medium")], "clause_count long, covered_count long, file_count long, contract_count long, certified boolean, confidence string")
+    return Plan(clauses, files, summary, gaps)
 
 
 def stages(files: DataFrame, dependencies: DataFrame, most_files: int = 1) -> DataFrame:
