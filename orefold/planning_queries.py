@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from orefold.functions import text
 from orefold.operators import facts, substrings
 from orefold.operators.graph import Rounds
-from orefold.plans import corridor, packs, probes
+from orefold.plans import claims, corridor, packs, probes
 from orefold.registry import query
 from orefold.source_queries import EFFS, LINKED, PROGRAM, STAT
 from orefold.sources import testdata as T
+from orefold.streaming import sessions
 
 C = F.col
 # Items of the benchmark as clauses, their words of five letters or more as terms.
@@ -137,3 +139,54 @@ def _(s, d):
     chunks = first.select("objective", F.lit(1).alias("chunk"), "s.source").unionByName(p.continuations.select("objective", "chunk", "source"))
     whole = chunks.groupBy("objective").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "source"))), lambda c: c["source"]), "").alias("text"))
     return whole.join(first, "objective").select("objective", F.sha2(C("text").cast("binary"), 256).alias("sha"), C("s.truncated").alias("truncated"))
+
+
+# --------------------------------------------------------------------------- claims and sessions
+
+# Line items are claims on their supplier's region: the order is one of two references, evidence if it is the supplier's own and even.
+CLAIMED = """e AS (SELECT DISTINCT l_suppkey AS s, 'o' || l_orderkey AS id, 'k' || l_orderkey % 3 AS kind FROM lineitem WHERE l_orderkey % 2 = 0),
+c AS (SELECT l_suppkey AS s, CASE l_linenumber WHEN 1 THEN 'purpose' WHEN 2 THEN 'responsibility' WHEN 3 THEN 'does-not-own' WHEN 4 THEN 'responsibility' WHEN 5 THEN 'key-flow' ELSE 'other' END AS kind, l_orderkey * 10 + l_linenumber AS pos, l_orderkey AS o, l_partkey % 11 = 0 AS blank FROM lineitem),
+j AS (SELECT c.*, (SELECT count(DISTINCT e.id) FROM e WHERE e.s = c.s AND e.id IN ('o' || c.o, 'o' || (c.o + 1))) AS refs, (SELECT count(DISTINCT e.kind) FROM e WHERE e.s = c.s AND e.id IN ('o' || c.o, 'o' || (c.o + 1))) AS kinds FROM c),
+r AS (SELECT *, CASE WHEN blank THEN 'no text' WHEN refs = 0 THEN 'no evidence of the region' END AS why FROM j),
+n AS (SELECT *, sum((why IS NULL)::INT) OVER (PARTITION BY s, kind ORDER BY pos, blank DESC ROWS UNBOUNDED PRECEDING) AS n, CASE kind WHEN 'purpose' THEN 1 WHEN 'responsibility' THEN 5 WHEN 'does-not-own' THEN 4 WHEN 'key-flow' THEN 5 ELSE 0 END AS most FROM r),
+v AS (SELECT 's' || s AS region, kind, pos, coalesce(why, CASE WHEN n > most THEN 'the region takes no more' END) AS reason, CAST(round(CAST(CAST(least(CASE WHEN kind = 'does-not-own' THEN 0.78 ELSE 0.95 END::DOUBLE, CASE WHEN kind = 'does-not-own' THEN 0.52 ELSE 0.58 END::DOUBLE + kinds * 0.07::DOUBLE + least(refs, 4) * 0.035::DOUBLE) AS VARCHAR) AS DECIMAL(18, 17)), 2) AS DOUBLE) AS score FROM n)"""
+
+
+def _claims(s, d):
+    line = T.table(s, d, "lineitem")
+    key, order = F.concat(F.lit("s"), C("l_suppkey").cast("string")), F.concat(F.lit("o"), C("l_orderkey").cast("string"))
+    evidence = line.where("l_orderkey % 2 = 0").select(key.alias("region"), order.alias("id"), F.concat(F.lit("k"), (C("l_orderkey") % 3).cast("string")).alias("kind"))
+    kinds = F.create_map(*[F.lit(x) for x in (1, "purpose", 2, "responsibility", 3, "does-not-own", 4, "responsibility", 5, "key-flow")])
+    refs = F.array(F.concat(F.lit(" "), order), F.concat(F.lit("o"), (C("l_orderkey") + 1).cast("string")), order, F.lit(None))
+    said = F.when(C("l_partkey") % 11 == 0, " \n ").otherwise(F.concat(F.lit("claim  of\n"), order))
+    rows = line.select(key.alias("region"), F.coalesce(kinds[C("l_linenumber").cast("int")], F.lit("other")).alias("kind"), (C("l_orderkey") * 10 + C("l_linenumber")).cast("long").alias("pos"), said.alias("text"), refs.alias("refs"))
+    return rows, evidence
+
+
+@query("claims_i17", f"WITH {CLAIMED} SELECT region, kind, pos::BIGINT AS pos, reason IS NULL AS accepted, reason, CASE WHEN reason IS NULL THEN score END AS confidence FROM v")
+def _(s, d):
+    return claims.validate(*_claims(s, d)).select("region", "kind", "pos", "accepted", "reason", "confidence")
+
+
+@query("claimed_regions_i17", f"""WITH {CLAIMED}, g AS (SELECT region, count(*) FILTER (reason IS NULL) AS accepted, count(*) FILTER (reason IS NOT NULL) AS rejected, count(*) FILTER (reason IS NULL AND kind = 'purpose') AS p, count(*) FILTER (reason IS NULL AND kind = 'responsibility') AS q FROM v GROUP BY 1)
+SELECT 's' || s_suppkey AS id, s_name AS name, coalesce(accepted, 0) AS accepted, coalesce(rejected, 0) AS rejected, CASE WHEN coalesce(accepted, 0) = 0 THEN 'deterministic' WHEN p > 0 AND q > 0 THEN 'synthesized' ELSE 'partial' END AS status FROM supplier LEFT JOIN g ON region = 's' || s_suppkey""")
+def _(s, d):
+    packets = T.table(s, d, "supplier").select(F.concat(F.lit("s"), C("s_suppkey").cast("string")).alias("id"), C("s_name").alias("name_hint"))
+    names = packets.select(C("id").alias("region"), F.lit(" ").alias("name"))
+    return claims.regions(packets, names, claims.validate(*_claims(s, d))).select("id", "name", "accepted", "rejected", "status")
+
+
+# A customer's orders are a session of three regions: the first begins it, the next ones submit the chunk of their number; an order after the third submission is refused.
+@query("sessions_i18", """WITH o AS (SELECT 'c' || o_custkey AS session, o_orderkey AS n, o_orderkey % 7 = 0 AS wrong, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
+w AS (SELECT *, min(i) FILTER (i > 0 AND (wrong OR i > 3)) OVER (PARTITION BY session) AS bad FROM o)
+SELECT session, n::BIGINT AS n, CASE WHEN i = 0 THEN 'issued' WHEN i >= 1 AND i < coalesce(bad, 99) THEN CASE i WHEN 3 THEN 'complete' ELSE 'issued' END ELSE 'refused' END AS result,
+  CASE WHEN i = 0 OR i < coalesce(bad, 99) THEN '' WHEN i = bad AND i <= 3 THEN 'not exactly one interpretation for every region of the chunk' WHEN bad = 4 THEN 'unknown or expired session' ELSE 'not the current chunk' END AS detail FROM w""")
+def _(s, d):
+    e = T.table(s, d, "orders").select(F.concat(F.lit("c"), C("o_custkey").cast("string")).alias("session"), C("o_orderkey").cast("long").alias("n"))
+    e = e.withColumn("i", F.row_number().over(Window.partitionBy("session").orderBy("n")) - 1)
+    regions = F.array(F.lit("r0"), F.lit("r1"), F.lit("r2"))
+    now = F.get(regions, C("i") - 1)
+    chunk = F.concat(F.lit("semantic-chunk-"), C("i").cast("string"), F.lit("-"), F.substring(F.sha2(F.concat_ws(":", "session", (C("i") - 1).cast("string"), now), 256), 1, 10))
+    sent = F.when(C("i") == 0, regions).when(C("n") % 7 == 0, F.array(F.lit("other"))).otherwise(F.array(now))
+    rows = e.select("session", F.timestamp_seconds(C("i")).alias("at"), "n", F.when(C("i") == 0, "begin").otherwise("submit").alias("kind"), chunk.alias("chunk"), sent.alias("regions"))
+    return sessions.answers(rows).select("session", "n", "result", "detail")
