@@ -1,4 +1,4 @@
-"""License scans by word-run fingerprints, chained pieces and banded alignment (operator 5)."""
+"""License scans by winnowed fingerprints, chained pieces and banded alignment (operator 5)."""
 
 from __future__ import annotations
 
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from orefold.llm.common import run_hashes, word_hashes, words_of
 
-#: Words of a fingerprint's run, in templates of SHORT words or more and in shorter ones. Every run is a fingerprint: windows of several would skip notices.
-RUN, SHORT_RUN, SHORT = 3, 2, 20
+#: Words of a fingerprint's run, in templates of SHORT words or more and in shorter ones, and runs of a window. Of each window of a template its least run
+#: is kept, so WINDOW + RUN - 1 equal words always hold a fingerprint; in shorter templates every run is one.
+RUN, SHORT_RUN, SHORT, WINDOW = 3, 2, 20, 4
 #: Least share of a template's words that a match covers; greatest half width of the alignment's band, in words (an eighth of a shorter template).
 COVERAGE, BAND = 0.75, 12
 #: Words that may stand between two pieces of one match: so many times the template's length, and in short templates once, or so many words.
@@ -55,6 +56,15 @@ _GAP = np.ones(256, dtype=bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+def winnow(runs: np.ndarray, window: int) -> np.ndarray:
+    """Where the least of each ``window`` consecutive runs stands, the last of equal ones; each place once. Fewer runs are one window."""
+    if not len(runs):
+        return np.empty(0, np.int64)
+    window = min(window, len(runs))
+    views = np.lib.stride_tricks.sliding_window_view(runs, window)[:, ::-1]
+    return np.unique(np.arange(len(views)) + window - 1 - views.argmin(1))
+
+
 @lru_cache(maxsize=4)
 def index(templates: tuple[tuple[str, str], ...]) -> tuple[list[str], list[np.ndarray], dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Names, words, and the inverted index of each length of run: fingerprints in order, with the template and the place of each."""
@@ -65,7 +75,8 @@ def index(templates: tuple[tuple[str, str], ...]) -> tuple[list[str], list[np.nd
         words.append(h)
         k = min(RUN if len(h) >= SHORT else SHORT_RUN, len(h))
         if k:
-            rows.setdefault(k, []).extend((r, i, p) for p, r in enumerate(run_hashes(h, k)))
+            runs = run_hashes(h, k)
+            rows.setdefault(k, []).extend((runs[p], i, int(p)) for p in (winnow(runs, WINDOW) if len(h) >= SHORT else range(len(runs))))
     for k in rows:
         rows[k].sort(key=lambda r: (int(r[0]), r[1], r[2]))
     return names, words, {k: (np.array([r[0] for r in x], dtype=np.uint64), np.array([r[1] for r in x]), np.array([r[2] for r in x])) for k, x in rows.items()}
@@ -107,20 +118,26 @@ def align(text: np.ndarray, template: np.ndarray, offset: int, band: int = BAND)
     return out[::-1]
 
 
-def pieces(h: np.ndarray, k: int, keys: np.ndarray, owner: np.ndarray, place: np.ndarray) -> dict[int, np.ndarray]:
-    """For each template, (word of the text, word of the template, words) of the longest equal pieces of k words or more, in order."""
+def pieces(h: np.ndarray, k: int, keys: np.ndarray, owner: np.ndarray, place: np.ndarray, words: list[np.ndarray]) -> dict[int, np.ndarray]:
+    """For each template, (word of the text, word of the template, words) of the longest equal pieces around its fingerprints in the text, in order."""
     runs = run_hashes(h, k)
     lo, hi = np.searchsorted(keys, runs, side="left"), np.searchsorted(keys, runs, side="right")
     at = np.flatnonzero(hi > lo)
     n = hi[at] - lo[at]
     entry = np.repeat(lo[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
     p, t, q = np.repeat(at, n), owner[entry], place[entry]
-    order = np.lexsort((p, p - q, t))
+    order = np.lexsort((q, p - q, t))
     p, t, q = p[order], t[order], q[order]
-    first = np.r_[True, (np.diff(t) != 0) | (np.diff(p - q) != 0) | (np.diff(p) != 1)][: len(p)]
-    start = np.flatnonzero(first)
-    found = np.column_stack([p[start], q[start], np.diff(np.r_[start, len(p)]) + k - 1])
-    return {int(x): (mine := found[t[start] == x])[np.lexsort((mine[:, 1], mine[:, 0]))] for x in np.unique(t[start])}
+    starts = np.flatnonzero(np.r_[True, (np.diff(t) != 0) | (np.diff(p - q) != 0)][: len(p)])
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    for a, b in zip(starts, np.r_[starts[1:], len(p)]):  # a template on one diagonal
+        shift, mine = int(p[a] - q[a]), words[t[a]]
+        first = max(0, -shift)
+        equal = h[first + shift: len(mine) + shift] == mine[first: max(first, min(len(mine), len(h) - shift))]
+        edges = np.flatnonzero(np.diff(np.r_[False, equal, False].astype(np.int8))) + first
+        which = np.unique(np.searchsorted(edges[::2], q[a:b], side="right") - 1)
+        found.setdefault(int(t[a]), []).extend((int(edges[2 * i]) + shift, int(edges[2 * i]), int(edges[2 * i + 1] - edges[2 * i])) for i in which)
+    return {x: np.array(sorted(rows)) for x, rows in found.items()}
 
 
 def chains(piece: np.ndarray, size: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +190,7 @@ def matches(h: np.ndarray, templates: tuple[tuple[str, str], ...], coverage: flo
     """(template, coverage, first word, last word, spans of matched words) of a text's word hashes, in order of place."""
     names, words, lists = index(templates)
     out = []
-    for t, found in [x for k, entries in lists.items() for x in pieces(h, k, *entries).items()]:
+    for t, found in [x for k, entries in lists.items() for x in pieces(h, k, *entries, words).items()]:
         size = len(words[t])
         reach = REACH * size if size >= SHORT else max(size, SHORT_REACH)
         band = min(BAND, max(1, size // 8))
@@ -216,10 +233,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tem
     """(doc_id, license, coverage, first_word, last_word, spans): a row for each place of a template in a whole text.
 
     Words are runs of ASCII letters and digits and of all other characters beyond ASCII, in lower case. Every run of RUN words
-    (SHORT_RUN in templates below SHORT words) of a text is looked up in the templates' inverted index, which is small and
-    goes with the code. Equal pieces of a template are chained over inserted, lost and changed words, what lies between and
+    (SHORT_RUN in templates below SHORT words) of a text is looked up in the inverted index of the templates' winnowed runs, which is small and
+    goes with the code; a notice is a candidate if one of these runs is intact, as in any WINDOW + RUN - 1 equal words. Equal pieces around them are chained over inserted, lost and changed words, what lies between and
     beside them is aligned, and a chain is reported when ``coverage`` of the template's words match. Spans are inclusive
-    word ranges. Null, empty and license-free texts give no row; repeated rows repeat theirs; extra columns are not read.
+    word ranges. Of equally good chains the first in the text is taken; templates whose words are much alike are reported side by side.
+    Null, empty and license-free texts give no row; repeated rows repeat theirs; very long texts are hashed in parts and matched whole, one at a
+    time; extra columns are not read.
     """
     known = tuple((templates or TEMPLATES).items())
     names = ["doc_id", "license", "coverage", "first_word", "last_word", "spans"]

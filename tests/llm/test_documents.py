@@ -346,6 +346,32 @@ def test_licenses_with_inserted_changed_and_split_words(spark):
 
 # --------------------------------------------------------------------------- 6
 
+def test_licences_winnow_and_align_as_plain_loops_do():
+    """Each window's least run is kept; banded alignments are as long as the longest common subsequence within the band."""
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 3, 4, 5, 60):
+        runs = rng.integers(0, 9, size=n).astype(np.uint64)
+        w = min(4, n)
+        want = {max(range(i, i + w), key=lambda p: (-int(runs[p]), p)) for i in range(n - w + 1)} if n else set()  # noqa: B023
+        assert set(licenses.winnow(runs, 4).tolist()) == want
+    names, words, lists = licenses.index(tuple(licenses.TEMPLATES.items()))
+    kept = sum(len(x[0]) for x in lists.values())
+    every = sum(max(0, len(w) - (licenses.RUN if len(w) >= licenses.SHORT else licenses.SHORT_RUN) + 1) for w in words)
+    assert kept < 0.65 * every and all(len(w) < licenses.SHORT or sum(x[1].tolist().count(i) for x in lists.values()) >= (len(w) - 2) // 4 for i, w in enumerate(words))
+    for _ in range(60):
+        template = rng.integers(0, 6, size=rng.integers(1, 25)).astype(np.uint64)
+        text = rng.integers(0, 6, size=rng.integers(1, 25)).astype(np.uint64)
+        offset, band = int(rng.integers(-3, 4)), int(rng.integers(1, 8))
+        best = np.zeros((len(template) + 1, len(text) + 1), int)
+        for i in range(1, len(template) + 1):
+            for j in range(1, len(text) + 1):
+                hit = template[i - 1] == text[j - 1] and abs(j - 1 - (i - 1 + offset)) <= band
+                best[i, j] = max(best[i - 1, j], best[i, j - 1], best[i - 1, j - 1] + 1 if hit else 0)
+        pairs = licenses.align(text, template, offset, band)
+        assert all(template[q] == text[p] and abs(p - q - offset) <= band for p, q in pairs)
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:])) and len(pairs) == best[-1, -1]
+
+
 def test_quality_on_held_out_rows(spark):
     big = DATA.replace("0.001", "0.01")
     table, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
