@@ -8,10 +8,11 @@ from pyspark.sql.window import Window
 from orefold.functions import text
 from orefold.operators import facts, substrings
 from orefold.operators.graph import Rounds
-from orefold.plans import claims, corridor, packs, probes
+from orefold.plans import claims, corridor, packs, probes, projections
 from orefold.registry import query
 from orefold.source_queries import EFFS, LINKED, PROGRAM, STAT
 from orefold.sources import testdata as T
+from orefold.sources.store import Store
 from orefold.streaming import sessions
 
 C = F.col
@@ -190,3 +191,88 @@ def _(s, d):
     sent = F.when(C("i") == 0, regions).when(C("n") % 7 == 0, F.array(F.lit("other"))).otherwise(F.array(now))
     rows = e.select("session", F.timestamp_seconds(C("i")).alias("at"), "n", F.when(C("i") == 0, "begin").otherwise("submit").alias("kind"), chunk.alias("chunk"), sent.alias("regions"))
     return sessions.answers(rows).select("session", "n", "result", "detail")
+
+
+# --------------------------------------------------------------------------- projections and snapshots
+
+# Customers' market segments are objectives; suppliers are contracts, their nations' customers the consumers, their parts the evidence.
+MAPPED = """o AS (SELECT DISTINCT c_mktsegment AS objective FROM customer), tm AS (SELECT objective, unnest(['supplier#00000000', 'nation-1', lower(objective)]) AS term FROM o),
+co AS (SELECT DISTINCT c_mktsegment AS objective, 'n' || c_nationkey AS path FROM customer WHERE c_custkey % 50 = 0),
+ct AS (SELECT s_suppkey AS pos, 'k' || s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 9 <> 0 THEN 'n' || s_nationkey END AS file, CASE WHEN s_suppkey % 17 = 0 THEN 'native-conflict' ELSE 'repository-only' END AS rec, CASE WHEN s_suppkey % 4 = 0 THEN 'native-authoritative' ELSE 'resolved' END AS ver, s_nationkey FROM supplier),
+cs AS (SELECT ct.id, c_custkey AS n, 'n' || c_nationkey AS file, 'c' || c_custkey AS symbol FROM ct JOIN customer ON c_nationkey = (s_nationkey + 1) % 25), ev AS (SELECT DISTINCT 'k' || l_suppkey AS id, l_partkey AS n, 'nation-' || l_partkey AS summary FROM lineitem),
+hs AS (SELECT ct.id, lower(concat_ws(' ', name, 'supplier', ct.file, name, string_agg(DISTINCT cs.file || ' ' || cs.symbol, ' '), (SELECT string_agg(summary, ' ') FROM ev WHERE ev.id = ct.id))) AS t FROM ct LEFT JOIN cs ON cs.id = ct.id GROUP BY ct.id, name, ct.file),
+sc AS (SELECT o.objective, ct.id, pos, 1 + CASE WHEN rec = 'native-conflict' THEN 1000 WHEN file IS NULL THEN 200 ELSE 0 END + CASE WHEN ver = 'native-authoritative' THEN 20 ELSE 0 END + CASE WHEN EXISTS (SELECT 1 FROM co WHERE co.objective = o.objective AND co.path = ct.file) THEN 300 ELSE 0 END
+  + 100 * (SELECT count(*) FROM cs JOIN co ON co.path = cs.file WHERE cs.id = ct.id AND co.objective = o.objective) + 10 * (SELECT count(*) FROM tm JOIN hs ON hs.id = ct.id AND contains(hs.t, tm.term) WHERE tm.objective = o.objective) AS score FROM o, ct)"""
+
+
+def _mapped(s, d):
+    key = lambda p, c: F.concat(F.lit(p), C(c).cast("string"))
+    cust, sup = T.table(s, d, "customer"), T.table(s, d, "supplier")
+    terms = cust.select(C("c_mktsegment").alias("objective")).distinct().select("objective", F.explode(F.array(F.lit("supplier#00000000"), F.lit("nation-1"), F.lower("objective"))).alias("term"))
+    corridor_ = cust.where("c_custkey % 50 = 0").select(C("c_mktsegment").alias("objective"), key("n", "c_nationkey").alias("path")).distinct()
+    ct = sup.select(C("s_suppkey").alias("pos"), key("k", "s_suppkey").alias("id"), F.lit("supplier").alias("kind"), C("s_name").alias("name"), F.when(C("s_suppkey") % 9 != 0, key("n", "s_nationkey")).alias("file"), C("s_name").alias("symbol"),
+                    F.when(C("s_suppkey") % 4 == 0, "native-authoritative").otherwise("resolved").alias("verification"), F.when(C("s_suppkey") % 17 == 0, "native-conflict").otherwise("repository-only").alias("reconciliation"), F.array().cast("array<string>").alias("refs"), "s_nationkey")
+    near = cust.select(((C("c_nationkey") + 24) % 25).cast("int").alias("at"), "c_custkey", "c_nationkey")
+    cs = ct.select("id", C("s_nationkey").cast("int").alias("at")).join(near, "at").select("id", C("c_custkey").alias("n"), key("n", "c_nationkey").alias("file"), key("c", "c_custkey").alias("symbol"))
+    ev = T.table(s, d, "lineitem").select(key("k", "l_suppkey").alias("id"), C("l_partkey").alias("n"), F.lit("part").alias("kind"), F.lit("f").alias("file"), C("l_partkey").alias("line"), key("nation-", "l_partkey").alias("summary")).distinct()
+    return terms, corridor_, ct, cs, ev
+
+
+@query("contract_projection_f15", f"""WITH {MAPPED}, r AS (SELECT *, row_number() OVER (PARTITION BY objective ORDER BY score DESC, pos) AS rank FROM sc QUALIFY rank <= 12), nc AS (SELECT id, count(*) AS n, string_agg(symbol, ',' ORDER BY n) FILTER (i <= 8) AS first FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) AS i FROM cs) GROUP BY id),
+ne AS (SELECT id, count(*) AS n, string_agg(summary, ',' ORDER BY n) FILTER (i <= 6) AS first FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) AS i FROM ev) GROUP BY id)
+SELECT objective, rank, r.id, score::INT AS score, coalesce(nc.first, '') AS consumers, coalesce(nc.n, 0) AS consumers_count, coalesce(nc.n, 0) > 8 AS consumers_truncated, coalesce(ne.first, '') AS evidence, coalesce(ne.n, 0) AS evidence_count FROM r LEFT JOIN nc ON nc.id = r.id LEFT JOIN ne ON ne.id = r.id""")
+def _(s, d):
+    terms, at, ct, cs, ev = _mapped(s, d)
+    p = projections.contract_map(terms, at, ct, cs, ev, ev.select("id", "n", "kind", "summary").limit(0))
+    return p.select("objective", "rank", "id", "score", F.array_join(F.transform("consumers", lambda c: c["symbol"]), ",").alias("consumers"), "consumers_count", "consumers_truncated", F.array_join(F.transform("evidence", lambda e: e["summary"]), ",").alias("evidence"), "evidence_count")
+
+
+@query("runtime_projection_f16", """WITH o AS (SELECT DISTINCT c_mktsegment AS objective FROM customer), tm AS (SELECT objective, unnest(['o1', 'item-r']) AS term FROM o), co AS (SELECT DISTINCT c_mktsegment AS objective, 'o' || o_orderkey AS path FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderkey % 10 = 0),
+nd AS (SELECT 'r' || l_suppkey AS region, 'l' || l_orderkey || '-' || l_linenumber || '-' || l_partkey AS id, 'o' || l_orderkey AS file, 'item-' || lower(l_returnflag) AS kind, l_linenumber AS line FROM lineitem), f AS (SELECT DISTINCT region, file FROM nd),
+sc AS (SELECT o.objective, 'r' || s_suppkey AS region, s_suppkey AS pos, CASE s_suppkey % 10 WHEN 0 THEN 30 WHEN 1 THEN 10 ELSE 0 END + 40 * (SELECT count(*) FROM f JOIN co ON co.path = f.file WHERE f.region = 'r' || s_suppkey AND co.objective = o.objective)
+  + 3 * (SELECT count(DISTINCT term) FROM tm, nd WHERE nd.region = 'r' || s_suppkey AND tm.objective = o.objective AND (contains(nd.file, term) OR contains(nd.kind, term))) AS score FROM o, supplier),
+r AS (SELECT *, row_number() OVER (PARTITION BY objective ORDER BY score DESC, pos) AS rank FROM sc QUALIFY rank <= 8),
+n AS (SELECT r.objective, r.region, id, row_number() OVER (PARTITION BY r.objective, r.region ORDER BY (co.path IS NOT NULL) DESC, file, line, id) AS i FROM r JOIN nd ON nd.region = r.region LEFT JOIN co ON co.objective = r.objective AND co.path = nd.file)
+SELECT r.objective, rank, r.region, score::INT AS score, coalesce((SELECT string_agg(id, ',' ORDER BY i) FROM n WHERE n.objective = r.objective AND n.region = r.region AND i <= 12), '') AS nodes, (SELECT count(*) FROM n WHERE n.objective = r.objective AND n.region = r.region) AS nodes_count, 0::BIGINT AS edges_count FROM r""")
+def _(s, d):
+    key = lambda p, c: F.concat(F.lit(p), C(c).cast("string"))
+    cust, line = T.table(s, d, "customer"), T.table(s, d, "lineitem")
+    terms = cust.select(C("c_mktsegment").alias("objective")).distinct().select("objective", F.explode(F.array(F.lit("o1"), F.lit("item-r"))).alias("term"))
+    at = cust.join(T.table(s, d, "orders").where("o_orderkey % 10 = 0"), C("o_custkey") == C("c_custkey")).select(C("c_mktsegment").alias("objective"), key("o", "o_orderkey").alias("path")).distinct()
+    nodes = line.select(key("r", "l_suppkey").alias("region"), F.concat(F.lit("l"), F.concat_ws("-", *[C(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")])).alias("id"), key("o", "l_orderkey").alias("file"), F.lit("").alias("symbol"), F.concat(F.lit("item-"), F.lower("l_returnflag")).alias("effect_kind"), F.lit("").alias("detail"), C("l_linenumber").alias("line"))
+    regions = T.table(s, d, "supplier").select(C("s_suppkey").alias("pos"), key("r", "s_suppkey").alias("region"), F.when(C("s_suppkey") % 10 == 0, "native-conflict").when(C("s_suppkey") % 10 == 1, "unresolved").otherwise("repository-confirmed").alias("reconciliation"), F.lit("").alias("said"))
+    edges = s.createDataFrame([], "region string, id string, kind string, from string, to string")
+    p = projections.runtime_regions(terms, at, regions, nodes.select("region", "file").distinct(), nodes, edges)
+    return p.select("objective", "rank", "region", "score", F.array_join(F.transform("nodes", lambda x: x["id"]), ",").alias("nodes"), "nodes_count", "edges_count")
+
+
+@query("context_grants_f17", """WITH g AS (SELECT 'c' || o_custkey AS objective, o_orderkey AS place, 'o' || o_orderkey AS path, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n, o_orderkey % 3 AS e, o_orderkey % 4 AS k, o_orderkey % 5 AS r FROM orders),
+s AS (SELECT *, (8 * (contains(path, '7'))::INT + 8 * (e > 0)::INT + 4 * e + least(28, 7 * r + 6 * k) + least(12, 2 * n))::INT AS score FROM g)
+SELECT objective, place::BIGINT AS place, path, score, row_number() OVER (PARTITION BY objective ORDER BY score DESC, place) AS rank, CASE WHEN r > 0 THEN 'runtime/effect evidence intersects the active objective' WHEN k > 0 THEN 'contract provider/consumer evidence intersects the active objective' WHEN e > 0 THEN 'direct certified repository evidence is available'
+  WHEN n > 0 THEN 'dependency consumers make this a plausible propagation surface' ELSE 'corridor-certified source is available for bounded inspection' END AS why, CASE WHEN score >= 50 THEN 'high' WHEN score >= 24 THEN 'medium' ELSE 'low' END AS gain FROM s QUALIFY rank <= 8""")
+def _(s, d):
+    n = T.table(s, d, "lineitem").groupBy(C("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("consumers"))
+    key = lambda p, c: F.concat(F.lit(p), C(c).cast("string"))
+    k = C("o_orderkey")
+    rows = T.table(s, d, "orders").join(n, "o_orderkey", "left").select(key("c", "o_custkey").alias("objective"), k.cast("long").alias("place"), key("o", "o_orderkey").alias("path"), F.array().cast("array<string>").alias("names"), F.array_repeat(F.lit("because"), (k % 3).cast("int")).alias("evidence"), (k % 4).alias("contracts"), (k % 5).alias("runtime"), "consumers")
+    terms = rows.select("objective").distinct().select("objective", F.explode(F.array(F.lit("7"), F.lit("cause"))).alias("term"))
+    return projections.grants(rows, terms)
+
+
+@query("native_projection_f14", """WITH tm AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))) AS term FROM benchmark), h AS (SELECT item_id, source AS record, doc_id AS pos, 2 * count(*) AS score FROM tm JOIN documents ON contains(lower(text), term) WHERE source IS NOT NULL GROUP BY ALL)
+SELECT item_id AS objective, record, pos, score::INT AS score, row_number() OVER (PARTITION BY item_id, record ORDER BY score DESC, pos) AS rank FROM h QUALIFY rank <= 8""")
+def _(s, d):
+    terms = T.table(s, d, "benchmark").select(C("item_id").alias("objective"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0)))).alias("term"))
+    entries = T.table(s, d, "documents").select(C("source").alias("record"), C("doc_id").alias("pos"), C("text").alias("said"))
+    return projections.native_contracts(terms, terms.select("objective", F.lit("").alias("path")), entries)
+
+
+@query("snapshot_commit_a21", """SELECT 'd/' || doc_id || '.md' AS path, sha256(CASE WHEN doc_id % 2 = 0 THEN coalesce(text, '') || '!' ELSE coalesce(text, '') END) AS sha FROM documents WHERE doc_id % 5 <> 4""")
+def _(s, d):
+    # all documents are committed; a second commit changes those of even number and removes those whose number ends in 4 or 9
+    files = T.table(s, d, "documents").select(F.concat(F.lit("./d/"), C("doc_id").cast("string"), F.lit(".md")).alias("path"), "text", "doc_id")
+    store = Store(s, f"{Rounds(s).root}-store")
+    base, _ = store.commit("main", 0, files)
+    even, gone = C("doc_id") % 2 == 0, C("doc_id") % 5 == 4
+    store.change("main", base, files.where(even | gone).select("path", F.when(~gone, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).alias("text"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("before")))
+    return store.files(store.head("main")[1]).select("path", "sha")

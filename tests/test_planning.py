@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orefold.operators import substrings
 from orefold.operators.graph import Rounds
-from orefold.plans import corridor, packs, probes
+from orefold.plans import corridor, packs, probes, projections
 
 
 def test_texts_hold_terms(spark, monkeypatch):
@@ -156,3 +156,21 @@ def test_calls_go_on_where_the_last_one_ended(spark, packed):
     assert all(seen[t] == {r for r in rows(whole, t) if r[0] == "o"} for t in seen)
     empty = packs.pack(asked.limit(0), m)
     assert all(t.collect() == [] for t in empty)
+
+
+def test_projections_of_odd_rows(spark):
+    """Empty lists, nulls, ties, more children than are shown; no task sends more than k rows of a group to the shuffle."""
+    parents = spark.createDataFrame([("a",), ("b",), (None,)], "id string")
+    children = spark.createDataFrame([("a", n, None if n == 3 else f"c{n}") for n in range(6)] + [("z", 1, "far"), (None, 1, "x")], "id string, n int, name string")
+    out = projections.first_children(parents, children, ["id"], ["n"], 4, ["name"], "kids")
+    assert {r.id: ([k.name for k in r.kids], r.kids_count, r.kids_truncated) for r in out.collect()} == {"a": (["c0", "c1", "c2", None], 6, True), "b": ([], 0, False), None: ([], 0, False)}
+    top = projections.ranking.top_k(children, ["id"], ["n"], 2)
+    assert "WindowGroupLimit" in top._jdf.queryExecution().toString() and "Partial" in top._jdf.queryExecution().toString()
+    rows = spark.createDataFrame([(1, "x", 5), (2, "y", None), (3, "z", 5)], "pos int, id string, b int")
+    said = spark.createDataFrame([("x", "one two"), ("y", "two"), ("z", None)], "id string, text string")
+    asked = spark.createDataFrame([("o", "two"), ("p", None), ("q", "nothing"), ("o", "two")], "objective string, term string")
+    got = projections.best(rows, ["id"], F.coalesce("b", F.lit(0)), said, asked, 10, None, 2, "pos")
+    assert sorted((r.objective, r.id, r.score, r["rank"]) for r in got.collect()) == [("o", "x", 15, 1), ("o", "y", 10, 2), ("p", "x", 5, 1), ("p", "z", 5, 2), ("q", "x", 5, 1), ("q", "z", 5, 2)]
+    assert projections.best(rows.limit(0), ["id"], F.lit(1), said, asked, 10, None, 2, "pos").collect() == []
+    segments = spark.createDataFrame([("o", 1, "p", None, None, None, None, None), ("o", 2, "two", ["n"], ["e"], 1, 0, 9)], "objective string, place int, path string, names array<string>, evidence array<string>, contracts int, runtime int, consumers int")
+    assert [(r.place, r.score, r.gain) for r in projections.grants(segments, asked).orderBy("rank").collect()] == [(2, 8 + 4 + 6 + 12, "medium"), (1, 0, "low")]
