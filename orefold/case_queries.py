@@ -58,24 +58,12 @@ cases("refs_a24", ["ref", "repo"], "branch slug allowed", lambda: [paths.branch(
     ("refs/heads/f#", "https://github.com/me/x#.git", "f#", "me/x#", False), ("heads/m", "x#", "m", "me/x#", False), ("HEAD", "me/x", None, "me/x", True), ("tags/v#", "a/b/c", None, None, False), ("refs/tags/v", "/you/y/", None, "you/y", False), ("main", "you/y", "main", "you/y", True)])
 cases("globs_b18", ["p"], "flat deep one", lambda: [C("p").rlike(paths.glob("src/*.ts")), C("p").rlike(paths.glob("src/**")), C("p").rlike(paths.glob("src/?.ts"))], [
     ("src/a.ts", True, True, True), ("src/a#.ts", True, True, False), ("src/x/a#.ts", False, True, False), ("lib/a.ts", False, False, False), ("src/axts", False, True, False)])
-cases("name_hint_b28", ["prefix"], "hint region", lambda: [paths.name_hint(C("prefix"), F.lit("me/my-repo")), F.length(text.region_id(F.lit("me/my-repo"), C("prefix")))], [
-    ("", "my-repo", 30), ("src/data-flow_x", "Data Flow X", 35), ("a/b c", "B C", 25), ("lib", "Lib", 23)])
-cases("text_terms_b22", ["t"], "flat terms catalog key", lambda: [text.normalize(C("t")), F.array_join(text.terms(C("t"), text.TRACE_STOP), ","), F.array_join(text.catalog_terms(F.array(C("t"))), ","), text.group_key(C("t"))], [
-    ("fixTheActorUpdate", "fix the actor update", "fix,actor,update", "fixtheactorupdate", "fix-actor"), ("roll_dice/now", "roll dice now", "roll,dice,now", "roll_dice,now", "roll-dice"),
-    ("the bug", "the bug", "", "the,bug", "bug"), ("doTheUpdate", "do the update", "update", "dotheupdate", "misc")])
-cases("bounded_b30", ["t"], "short raw around bytes", lambda: [text.bounded(C("t"), 5), text.bounded(C("t"), 5, False), text.snippet(F.lit("name"), C("t")), text.first_bytes(C("t"), 4)], [
-    ("a  b", "a b", "a  b", "a  b", "a  b"), ("abcdefg", "abcde…", "abcde…", "abcdefg", "abcd"), ("x" * 130 + "name" + "y" * 300, "xxxxx…", "xxxxx…", "x" * 120 + "name" + "y" * 276, "xxxx"), ("z" * 500, "zzzzz…", "zzzzz…", "z" * 400, "zzzz")])
 cases("guards_b33", ["t"], "kind condition fields", lambda: [text.guard(C("t"))["kind"], text.guard(C("t"))["condition"], F.array_join(text.suspects(C("t")), ",")], [
     ("if (!event#)\n  return;", "early-return", "if (!event#) return", ""), ("if (seen) return x", "dedupe", "if (seen) return", ""), ("if (a.includes) return 1", "suppression", "if (a.includes) return", ""), ("use(msg.id, targetId)", None, None, "message.id,targetId"), ("if (x) y()", None, None, "")])
 cases("blocks_b32", ["t", "line", "after"], "block needle", lambda: [text.block(C("t"), C("line"), C("after")), text.needle(C("t"), F.lit("./q"))], [
     ("a#\nb\nc", 1, 3, "a#\nb", None), ("a\nb#\nc \"./q\"", 2, None, "b#\nc \"./q\"", '"./q"'), ("x './q'\ny", 1, 2, "x './q'", "'./q'"), ("a", 1, 1, "", None)])
-cases("call_names_b40", ["t"], "root simple state sink callbacks lifecycle index", lambda: [text.call_root(C("t")), text.simple_name(C("t")), text.state_operation(C("t")), text.effect_sink(C("t")), text.takes_callbacks(C("t")), text.lifecycle_event(C("t")), text.argument_index(C("t"))], [
-    ("game.settings.get", "game", "get", "read", False, False, False, None), ("a[0].setFlag", "a", "setFlag", "write", False, False, False, None), ("token.update", "token", "update", None, True, False, False, None), ("list.map", "list", "map", None, False, True, False, None),
-    ("Ready", "Ready", "Ready", None, False, False, True, None), ("renderChat", "renderChat", "renderChat", None, False, False, True, None), ("register", "register", "register", None, False, True, False, None)])
 cases("exports_b45", ["t"], "names", lambda: [F.array_join(F.transform(text.exports(C("t")), lambda x: F.concat(x["kind"], F.lit(":"), x["name"])), ",")], [
     ("export default async function f#() {}\nexport class A {}\nexport let b = 1", "function:f#,class:A,variable:b"), ("export const T = 1; export type T = X", "type:T"), ("export interface I# {}", "interface:I#"), ("function g() {}", "")])
-cases("levels_b55", ["label", "n", "m"], "crossed gain seam claim clamp", lambda: [text.cross_map(C("label")), text.information_gain(C("n")), text.seam_confidence(C("m")), text.claim_confidence(C("m"), C("n"), C("label") == "x"), F.round(text.confidence(C("n")), 6)], [
-    ("repository-only", 3, 1, "cross-map-confirmed", "low", "high", 0.75, 0.2), ("x", 30, 2, "x", "medium", "medium", 0.78, 1.0), ("native-conflict", 60, 9, "native-conflict", "high", "low", 0.95, 1.0), ("x", 12, 0, "x", "low", "high", 0.66, 0.5)])
 
 
 @query("identities_b71", """SELECT p_partkey AS k, 'contract:state:' || left(sha256('state:' || p_name), 16) AS contract, 'semantic:' || regexp_replace(p_brand, '[^a-zA-Z0-9/_-]+', '-', 'g') || ':' || left(sha256('me/r:' || p_brand), 10) AS region,
@@ -89,9 +77,3 @@ def _(s, d):
 def _(s, d):
     v = F.array(F.struct(C("p_name").alias("name"), (C("p_size") > 25).alias("optional"), F.when(C("p_size") % 2 == 0, C("p_type")).alias("type")))
     return T.table(s, d, "part").select(C("p_partkey").alias("k"), text.compact_values(v)[0].alias("shown"))
-
-
-@query("plan_ids_b75", "SELECT v.t, v.h, count(*) AS n FROM part, (VALUES ('a', 'e40c292c'), ('', '811c9dc5'), ('foobar', 'bf9cf968')) v(t, h) GROUP BY ALL")
-def _(s, d):
-    t = T.table(s, d, "part").select(F.explode(F.array(F.lit("a"), F.lit(""), F.lit("foobar"))).alias("t"))
-    return t.groupBy("t", text.fnv1a(C("t")).alias("h")).agg(F.count("*").alias("n"))

@@ -160,7 +160,7 @@ def takes_callbacks(target: Column) -> Column:
 
 def first_bytes(text: Column, size: int) -> Column:
     """The first ``size`` bytes of a text in UTF-8; a code point that is cut becomes a replacement character."""
-    return F.when(F.octet_length(text) <= size, text).otherwise(F.decode(F.substring(F.encode(text, "UTF-8"), 1, size), "UTF-8"))
+    return F.when(F.octet_length(text) <= size, text).otherwise(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, size).cast("string")))
 
 
 def exports(code: Column) -> Column:
