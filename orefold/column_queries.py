@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orefold.functions import paths, text
+from orefold.operators import linking, ranking
+from orefold.plans import contracts, corridor, walks
 from orefold.registry import query
 from orefold.source_queries import PROGRAM
+from orefold.sources import snapshot
 from orefold.sources import testdata as T
 
 C = F.col
@@ -63,3 +66,72 @@ def _(s, d):
 @query("plan_ids_b75", """SELECT p_partkey AS k, format('{:08x}', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(p_name || '/' || p_brand || p_partkey, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)) AS id FROM part""")
 def _(s, d):
     return T.table(s, d, "part").select(C("p_partkey").alias("k"), text.fnv1a(F.concat("p_name", F.lit("/"), "p_brand", C("p_partkey").cast("string"))).alias("id"))
+
+
+# --------------------------------------------------------------------------- joins, spans, walks
+
+# Orders are nodes of 25 files, every tenth a module; parts are records with an endpoint.
+MET = """nd AS (SELECT 'o' || o_orderkey AS node, 'b' || o_custkey % 25 AS file, CASE WHEN o_orderkey % 10 = 0 THEN '<module>' ELSE 'f' || o_orderkey % 60 END AS symbol, o_orderkey % 200 AS line, o_orderkey AS k FROM orders),
+rc AS (SELECT DISTINCT 'k' || p_partkey AS id, 'b' || p_size % 25 AS file, 'f' || p_partkey % 60 AS symbol, p_partkey % 200 AS line, p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'native-conflict' WHEN 1 THEN 'cross-map-confirmed' ELSE 'repository-confirmed' END AS r, CASE p_partkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS s FROM part)"""
+
+
+def _met(s, d):
+    n = lambda p, c, m=None: F.concat(F.lit(p), (C(c) % m if m else C(c)).cast("string"))
+    o, k, p = T.table(s, d, "orders"), C("o_orderkey"), C("p_partkey")
+    nodes = o.select(n("o", "o_orderkey").alias("node"), n("b", "o_custkey", 25).alias("file"), F.when(k % 10 == 0, "<module>").otherwise(n("f", "o_orderkey", 60)).alias("symbol"), (k % 200).cast("int").alias("line"))
+    label = F.when(p % 3 == 0, "native-conflict").when(p % 3 == 1, "cross-map-confirmed").otherwise("repository-confirmed")
+    records = T.table(s, d, "part").select(n("k", "p_partkey").alias("id"), n("b", "p_size", 25).alias("file"), n("f", "p_partkey", 60).alias("symbol"), (p % 200).cast("int").alias("line"), p.cast("long").alias("k"), label.alias("reconciliation"))
+    return nodes, records
+
+
+@query("node_records_d7", f"""WITH {MET} SELECT node, count(DISTINCT rc.id) AS records, CASE max(s) WHEN 3 THEN 'native-conflict' WHEN 2 THEN 'cross-map-confirmed' WHEN 1 THEN 'repository-confirmed' END AS reconciliation
+FROM nd LEFT JOIN rc ON rc.file = nd.file AND (rc.symbol = nd.symbol OR nd.symbol = '<module>') GROUP BY node""")
+def _(s, d):
+    return linking.owned_by(*_met(s, d))
+
+
+@query("first_at_d11", f"WITH {MET} SELECT node AS id, arg_min(rc.id, rc.k) AS record FROM nd LEFT JOIN rc ON rc.file = nd.file AND (rc.line = nd.line OR rc.symbol = nd.symbol) GROUP BY node")
+def _(s, d):
+    nodes, records = _met(s, d)
+    return linking.first_at(nodes.withColumnRenamed("node", "id"), records.withColumnRenamed("id", "record"), "record", ["k"])
+
+
+@query("contract_calls_d9", f"WITH {MET} SELECT count(*) AS edges, count(DISTINCT consumer) AS consumers, count(DISTINCT provider) AS providers FROM (SELECT DISTINCT nd.node AS consumer, rc.id AS provider FROM nd JOIN rc ON nd.symbol = rc.symbol WHERE nd.node <> rc.id)")
+def _(s, d):
+    nodes, records = _met(s, d)
+    e = linking.crossings(records.select(C("id").alias("provider"), C("symbol").alias("contract")), nodes.select(C("node").alias("consumer"), C("symbol").alias("contract")), "contract")
+    return e.agg(F.count("*").alias("edges"), F.countDistinct("consumer").alias("consumers"), F.countDistinct("provider").alias("providers"))
+
+
+@query("region_contracts_d26", f"WITH {MET} SELECT DISTINCT id FROM rc WHERE file IN (SELECT file FROM nd WHERE k % 7 = 3)")
+def _(s, d):
+    nodes, records = _met(s, d)
+    return contracts.touching(records, nodes.where(F.substr("node", F.lit(2)).cast("long") % 7 == 3).select("file"))
+
+
+@query("next_line_f2", f"WITH {MET}, l AS (SELECT DISTINCT file, line FROM rc) SELECT file, line, coalesce(lead(line) OVER (PARTITION BY file ORDER BY line) - 1, 999) AS line_end FROM l")
+def _(s, d):
+    return ranking.spans(_met(s, d)[1].select("file", "line").distinct(), "file", ["line"], "line", F.lit(999))
+
+
+@query("criterion_f9", f"WITH {MET} SELECT node AS id FROM nd WHERE symbol <> '<module>' AND EXISTS (SELECT 1 FROM rc WHERE rc.file = nd.file AND rc.line = nd.line) ORDER BY CASE k % 4 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 2 END DESC, file, line, node LIMIT 1")
+def _(s, d):
+    nodes, records = _met(s, d)
+    k = F.substr("node", F.lit(2)).cast("long") % 4
+    n = nodes.select(C("node").alias("id"), "file", "symbol", C("line").alias("line_start"), F.when(k == 0, "unresolved").otherwise("repository-confirmed").alias("reconciliation"), F.when(k == 1, "parameter").otherwise("identifier").alias("kind"))
+    return walks.criterion(n, C("symbol") != "<module>", effects=records)
+
+
+@query("trace_subpath_g6", """WITH h AS (SELECT 'u' || user_id AS file, min(event_id) AS p FROM events GROUP BY 1), e AS (SELECT max(p) FILTER (file = (SELECT 'u' || user_id FROM events ORDER BY event_id LIMIT 1)) AS a, max(p) FILTER (file = (SELECT 'u' || max(user_id) FROM events)) AS b FROM h),
+i AS (SELECT 'u' || user_id AS file, event_id AS p FROM events, e WHERE event_id BETWEEN least(a, b) AND greatest(a, b)) SELECT file, min(p)::BIGINT AS place FROM i GROUP BY file""")
+def _(s, d):
+    ev = T.table(s, d, "events")
+    hops = ev.select(F.concat(F.lit("u"), C("user_id").cast("string")).alias("file"), C("event_id").cast("long").alias("place"))
+    first, last = ev.orderBy("event_id").select("user_id").first()[0], ev.agg(F.max("user_id")).first()[0]
+    return corridor.traced(hops, F.lit(f"u{first}"), F.lit(f"u{last}"))
+
+
+@query("read_file_a4", "SELECT 'docs/' || doc_id || '.md' AS path, text FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents)")
+def _(s, d):
+    files = T.table(s, d, "documents").select(F.concat(F.lit("docs/"), C("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
+    return snapshot.read_file(files, f"docs/{T.table(s, d, 'documents').agg(F.max('doc_id')).first()[0]}.md")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orefold.functions import paths
+from orefold.functions import paths, text
 
 
 def first_of(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -39,6 +39,32 @@ def either(left: DataFrame, right: DataFrame, on: Sequence[str], ways: Sequence[
     return out.distinct()
 
 
+def owned_by(nodes: DataFrame, records: DataFrame, id_col: str = "id", module: str = "<module>") -> DataFrame:
+    """(node, records, reconciliation): how many records have an endpoint (file, symbol) at each node (node, file, symbol), and the strongest of their labels.
+
+    A module's node meets all records of its file. Records of a file are counted once and joined as one row, so no node is paired with each of
+    them. Nodes without any have 0 and null; a null file meets nothing.
+    """
+    row = records.select("file", "symbol", id_col, "reconciliation").distinct()
+    whole = row.groupBy("file").agg(F.countDistinct(id_col).alias("n"), text.strongest(F.col("reconciliation")).alias("r"))
+    own = row.groupBy("file", "symbol").agg(F.countDistinct(id_col).alias("n"), text.strongest(F.col("reconciliation")).alias("r"))
+    is_module = F.col("symbol") == module
+    a = nodes.where(~is_module).join(own, ["file", "symbol"], "left")
+    b = nodes.where(is_module).join(whole, "file", "left")
+    return a.select("node", "n", "r").unionByName(b.select("node", "n", "r")).select("node", F.coalesce("n", F.lit(0)).alias("records"), F.col("r").alias("reconciliation"))
+
+
+def first_at(left: DataFrame, right: DataFrame, keep: str, order: Sequence[str]) -> DataFrame:
+    """(id, keep): for each row of ``left`` (id, file, line, symbol) the first of ``right``, by ``order``, of its file and its line or symbol; null without one.
+
+    Each way is an equi-join with the first row of its key, so a row of the left has two candidates at most.
+    """
+    out = left.select("id", "file", "line", "symbol")
+    for way in ("line", "symbol"):
+        out = out.join(first_of(right, ["file", way], order, [keep, *order]).select("file", way, F.struct(*order, keep).alias(f"_{way}")), ["file", way], "left")
+    return out.select("id", F.least("_line", "_symbol")[keep].alias(keep))
+
+
 def definition_of(uses: DataFrame, definitions: DataFrame, on: Sequence[str], owner: str, at: str, since: str, value: str) -> DataFrame:
     """Each use's nearest definition before it; one of the same owner comes first, then the later, then the greater ``value``.
 
