@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orefold.functions import paths, text
-from orefold.operators import linking, ranking
+from orefold.operators import graph, linking, ranking
 from orefold.plans import contracts, corridor, walks
-from orefold.registry import query
+from orefold.registry import ORACLES, query
 from orefold.source_queries import PROGRAM
 from orefold.sources import snapshot
 from orefold.sources import testdata as T
@@ -135,3 +135,14 @@ def _(s, d):
 def _(s, d):
     files = T.table(s, d, "documents").select(F.concat(F.lit("docs/"), C("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
     return snapshot.read_file(files, f"docs/{T.table(s, d, 'documents').agg(F.max('doc_id')).first()[0]}.md")
+
+
+# The rounds that graphs above the bound of one task take, on the same graphs.
+@query("topo_rounds_g3", ORACLES["topo_g3"])
+def _(s, d):
+    return graph.levels(T.dependencies(s, d), few=0)
+
+
+@query("scc_rounds_g1", ORACLES["scc_g1"])
+def _(s, d):
+    return graph.strong_components(T.transitions(s, d), few=0)

@@ -178,7 +178,7 @@ def trim(edges: DataFrame, rounds: Rounds) -> DataFrame:
     return edges
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, few: int | None = None) -> DataFrame:
     """(node, component): the greatest node of each strongly connected component of two nodes or more.
 
     What lies on no cycle is trimmed first and after each component. Then colours: every node takes the greatest node
@@ -187,7 +187,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     r = Rounds(edges.sparkSession)
     live = r.save(edges.select("from", "to").where("from <> to").distinct())
     kind = live.schema["from"].dataType.simpleString()
-    if kind == "string" and live.count() <= FEW_EDGES:
+    if kind == "string" and live.count() <= (FEW_EDGES if few is None else few):
         return live.coalesce(1).mapInPandas(_strong_rows, "node string, component string")
     live = trim(live, r)
     found: list[DataFrame] = []
@@ -216,7 +216,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return out.join(several, "component").select("node", "component")
 
 
-def levels(edges: DataFrame) -> DataFrame:
+def levels(edges: DataFrame, few: int | None = None) -> DataFrame:
     """(node, level): the longest way down from a node, each cycle counted as one node; nodes that depend on nothing have 0.
 
     Strongly connected components are condensed. Then nodes without an edge out go, with the edges to them, round by
@@ -224,9 +224,9 @@ def levels(edges: DataFrame) -> DataFrame:
     """
     r = Rounds(edges.sparkSession)
     plain = r.save(edges.select("from", "to").distinct())
-    if plain.schema["from"].dataType.simpleString() == "string" and plain.count() <= FEW_EDGES:
+    if plain.schema["from"].dataType.simpleString() == "string" and plain.count() <= (FEW_EDGES if few is None else few):
         return plain.coalesce(1).mapInPandas(_level_rows, "node string, level int")
-    named = r.save(strong_components(plain))
+    named = r.save(strong_components(plain, few))
     of = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
     live = r.save(plain.join(of("from"), "from", "left").join(of("to"), "to", "left").select(F.coalesce("from_c", "from").alias("from"), F.coalesce("to_c", "to").alias("to")).where("from <> to").distinct())
     nodes = r.save(plain.select(F.col("from").alias("node")).union(plain.select("to")).distinct().join(named, "node", "left").select("node", F.coalesce("component", "node").alias("c")))
