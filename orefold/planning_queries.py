@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from orefold.functions import text
 from orefold.operators import facts, substrings
 from orefold.operators.graph import Rounds
-from orefold.plans import claims, corridor, packs, probes, projections
+from orefold.plans import claims, corridor, moves, packs, probes, projections
 from orefold.registry import query
 from orefold.source_queries import EFFS, LINKED, PROGRAM, STAT
 from orefold.sources import testdata as T
@@ -276,3 +276,21 @@ def _(s, d):
     even, gone = C("doc_id") % 2 == 0, C("doc_id") % 5 == 4
     store.change("main", base, files.where(even | gone).select("path", F.when(~gone, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).alias("text"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("before")))
     return store.files(store.head("main")[1]).select("path", "sha")
+
+
+# --------------------------------------------------------------------------- path moves
+
+MOVES = "lib/x0"
+
+
+@query("path_moves_i20", f"""WITH {PROGRAM}, n AS (SELECT a.file, a.k, b.k AS to FROM prog a JOIN prog b ON b.k = a.k + 1),
+r AS (SELECT file, '"../m0/p' || n.to || '.js"' AS old, '"../../lib/x0/p' || n.to || '.js"' AS new FROM n WHERE k % 40 = 39 UNION ALL SELECT file, '"../m1/p' || n.to || '.js"', '"../../src/m1/p' || n.to || '.js"' FROM n WHERE k % 40 = 0)
+SELECT 'rewrite' AS row, file AS path, old, new, 1 AS occurrences FROM r UNION ALL SELECT 'moved', file, NULL, 'lib/x0/p' || k || '.js', NULL FROM prog WHERE k % 40 = 0 UNION ALL SELECT 'moved', 'src/m0/s' || k || '.css', NULL, 'lib/x0/s' || k || '.css', NULL FROM pt WHERE k % 40 = 0
+UNION ALL SELECT 'gap', 'move source does not exist: src/none', NULL, NULL, NULL UNION ALL SELECT 'gap', 'move destination already exists: pages/11.html', NULL, NULL, NULL FROM pt WHERE k = 11 UNION ALL SELECT 'moved', 'pages/1.html', NULL, 'pages/11.html', NULL FROM pt WHERE k = 1""")
+def _(s, d):
+    # a directory goes elsewhere, a page onto another one, and something that isn't there
+    moved = s.createDataFrame([(0, "./src/m0", MOVES), (1, "pages/1.html", "/pages/11.html"), (2, "src/none", "x")], "pos int, source string, target string")
+    p = moves.plan(_model(s, d), moved)
+    none = lambda n, t="string": F.lit(None).cast(t).alias(n)
+    out = p.rewrites.select(F.lit("rewrite").alias("row"), "path", "old", "new", "occurrences").unionByName(p.moved.select(F.lit("moved").alias("row"), "path", none("old"), C("new_path").alias("new"), none("occurrences", "int")))
+    return out.unionByName(p.gaps.select(F.lit("gap").alias("row"), C("gap").alias("path"), none("old"), none("new"), none("occurrences", "int")))
