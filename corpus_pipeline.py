@@ -41,7 +41,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("mixture", mixture_stage), ("tokens", token_stage)]
 
-#: The classifier's scores can't be expressed in SQL; tests hold the stages against brute force instead.
+#: The classifier's scores can't be expressed in SQL; tests hold each stage's operator against brute force, and the stages against these operators and on odd rows.
 ORACLE_SQL = None
 
 

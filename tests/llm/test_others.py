@@ -224,3 +224,27 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, DATA)
     assert empty.collect() == []
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Null and empty texts, a null id and source, repeated rows, equal texts, a long text, columns named like those of the operators."""
+    word = [f"word{n}" for n in range(40)]
+    prose = lambda n, k: " ".join(word[(n * 7 + i * (k + 1)) % 40] for i in range(30)) + "."
+    rows = [(n, prose(n, n % 5), "en", f"s{n % 3}", 1) for n in range(30)] + [(40, prose(0, 0), "en", None, 1), (41, prose(0, 0), "en", "s1", 1), (41, prose(0, 0), "en", "s1", 1), (42, None, None, None, None), (43, "", "en", "s0", 0), (None, prose(9, 3), "en", "s0", 1), (44, prose(4, 4) * 3000, "de", "s2", 1)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, shape).selectExpr("*", "1 as score", "'x' as taken", "2L as component_id", "'y' as size")
+    spark.createDataFrame([(n, n % 2, 0) for n in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    s, kept = common.Scratch(spark, "odd"), docs
+    for name, stage in corpus_pipeline.STAGES:
+        before, kept = kept, s.save(stage(spark, kept, str(tmp_path)), name)
+        if name != "tokens":
+            assert kept.columns == before.columns
+        if name == "near_duplicates":
+            texts = [r.text for r in kept.where("doc_id in (0, 40, 41)").collect()]
+            assert len(texts) <= 1
+        if name == "mixture":
+            assert kept.where("text is null or text = ''").count() == 0
+    assert kept.count() == before.count()
+    for name, stage in corpus_pipeline.STAGES[1:]:  # whatever the classifier refuses, the other stages take all rows
+        docs = s.save(stage(spark, docs, str(tmp_path)), f"all-{name}")
+    assert docs.count() > 20
