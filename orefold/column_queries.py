@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orefold.functions import paths, text
 from orefold.operators import graph, linking, ranking
-from orefold.plans import contracts, corridor, walks
+from orefold.plans import contracts, corridor, policy, walks
 from orefold.registry import ORACLES, query
 from orefold.source_queries import PROGRAM
 from orefold.sources import snapshot
@@ -68,6 +68,14 @@ def _(s, d):
     return T.table(s, d, "part").select(C("p_partkey").alias("k"), text.fnv1a(F.concat("p_name", F.lit("/"), "p_brand", C("p_partkey").cast("string"))).alias("id"))
 
 
+@query("compact_json_b51", """SELECT doc_id, '{"deep":{"a":{"b":"[object]","list":"[3 items]"}},"list":[' || array_to_string(list_transform(range(8), lambda i: (doc_id + i)::VARCHAR), ',') || '],"source":' || coalesce(to_json(source)::VARCHAR, 'null') || ',"text":' || to_json(CASE WHEN length(text) <= 240 THEN text ELSE left(text, 240) || '…' END)::VARCHAR || '}' AS short FROM documents WHERE text IS NOT NULL""")
+def _(s, d):
+    n = [C("doc_id") + i for i in range(9)]
+    deep = F.struct(F.struct(F.array(*n[:3]).alias("list"), F.struct(C("lang").alias("c")).alias("b")).alias("a"))
+    docs = T.table(s, d, "documents").where("text is not null").withColumn("json", F.to_json(F.struct("text", F.array(*n).alias("list"), C("source"), deep.alias("deep")), {"ignoreNullFields": "false"}))
+    return docs.select("doc_id", policy.compact_json(C("json")).alias("short"))
+
+
 # --------------------------------------------------------------------------- joins, spans, walks
 
 # Orders are nodes of 25 files, every tenth a module; parts are records with an endpoint.

@@ -35,6 +35,38 @@ def canonical_json(json: Column) -> Column:
     return F.to_json(F.try_parse_json(json))
 
 
+# Fixed values (B51): levels, items of an array, keys of an object and characters of a text that a compacted value shows.
+DEPTH, ITEMS, KEYS, CHARS = 3, 8, 10, 240
+
+
+def _quoted(value: Column) -> Column:
+    """A text as JSON."""
+    inside = F.to_json(F.array(value))
+    return F.substr(inside, F.lit(2), F.length(inside) - 2)
+
+
+def compact(value: Column, depth: int = 0) -> Column:
+    """A variant as JSON text of bounded depth and width: long texts end in an ellipsis, later items and keys go, deeper values are named.
+
+    Levels are expressions inside each other, so no value is taken apart outside the JVM; keys are in code-point order.
+    """
+    kind = F.schema_of_variant(value)
+    items, fields = F.try_variant_get(value, "$", "array<variant>"), F.try_variant_get(value, "$", "map<string,variant>")
+    if depth >= DEPTH:
+        array, record = F.concat(F.lit('"['), F.size(items), F.lit(' items]"')), F.lit('"[object]"')
+    else:
+        keys = F.slice(F.array_sort(F.map_keys(fields)), 1, KEYS)
+        array = F.concat(F.lit("["), F.array_join(F.transform(F.slice(items, 1, ITEMS), lambda x: compact(x, depth + 1)), ","), F.lit("]"))
+        record = F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(_quoted(k), F.lit(":"), compact(F.element_at(fields, k), depth + 1))), ","), F.lit("}"))
+    said = _quoted(text.bounded(F.try_variant_get(value, "$", "string"), CHARS, False))
+    return F.when(kind.startswith("ARRAY"), array).when(kind.startswith("OBJECT"), record).when(kind == "STRING", said).otherwise(F.coalesce(F.to_json(value), F.lit("null")))
+
+
+def compact_json(json: Column) -> Column:
+    """B51 of a JSON text; null where it is none."""
+    return F.when(F.try_parse_json(json).isNotNull(), compact(F.try_parse_json(json)))
+
+
 def request_fingerprint(json: Column) -> Column:
     """The SHA-256 of a request without its VOLATILE keys, in canonical form."""
     kept = F.map_filter(F.try_variant_get(F.try_parse_json(json), "$", "map<string,variant>"), lambda k, v: ~k.isin(*VOLATILE))

@@ -49,3 +49,11 @@ def test_plan_ids_b75(spark):
 
 def test_transaction_k6(spark):
     check(spark, ["failed", "committed", "same"], "state", lambda: [policy.transaction_state(C("failed"), C("committed"), C("same"))], [(False, False, False, "STAGED"), (True, False, False, "ABORTED"), (False, True, True, "COMMITTED"), (False, True, False, "VALIDATED")])
+
+
+def test_compact_json_b51(spark):
+    long = "é" * 241
+    check(spark, ["t"], "short", lambda: [policy.compact_json(C("t"))], [
+        ('{"b": [1, 2.5, true, null, "x", [], {}, -7, 9], "a": {"d": {"e": {"f": 1}, "g": [1, [2, 3]]}}}', '{"a":{"d":{"e":"[object]","g":"[2 items]"}},"b":[1,2.5,true,null,"x",[],{},-7]}'),
+        ("[[[[1, 2]]], [[{}]]]", '[[["[2 items]"]],[["[object]"]]]'), ('"a\\"b\\n"', '"a\\"b\\n"'), (f'"{long}"', f'"{long[:240]}…"'), ("null", "null"), ("7", "7"), ("no json", None), (None, None),
+        ("{" + ",".join(f'"k{i:02}": {i}' for i in reversed(range(12))) + "}", "{" + ",".join(f'"k{i:02}":{i}' for i in range(10)) + "}"), ('{"q\\"": {"x": 1}}', '{"q\\"":{"x":1}}')])
