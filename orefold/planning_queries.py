@@ -99,6 +99,12 @@ def _(s, d):
 
 # --------------------------------------------------------------------------- context packs
 
+def _sources(s, d):
+    """The programs and their symbols, which is all that packs read of a model."""
+    files = T.programs(s, d)
+    return {"files": files, "symbols": Rounds(s).save(facts.symbols(files))}
+
+
 # Each supplier's pack: the programs of its number and the next two, a file that isn't there, and a style; functions and variables are asked for.
 PACKED = f"""{PROGRAM}, o AS (SELECT 'o' || s_suppkey AS objective, s_suppkey AS j FROM supplier), f AS (SELECT objective, j, n AS place, file AS path, k, z FROM o, range(3) r(n), prog WHERE k = j + n),
 body AS (SELECT *, 'export async function f' || k || '(a, b) {{' || chr(10) || '  Hooks.on("ready", a); const t = await import("./p' || k || '.js");' || chr(10) || '  if (a == null) return; game.settings.set("ns", KEY, 1);' || chr(10) || '  token.update({{x: 1}}); return g(a);' || chr(10) || '}}' AS fn,
@@ -119,14 +125,14 @@ def _corridors(s, d):
 
 @query("context_segments_i7", f"""WITH {PACKED} SELECT objective, path, place, 'because' AS evidence, '/* f' || k || ' (function) lines 6-10 */' || chr(10) || fn || chr(10) || chr(10) || '/* v (variable) lines 12-13 */' || chr(10) || v AS content, 2 AS symbols FROM body""")
 def _(s, d):
-    p = packs.pack(_corridors(s, d), _model(s, d))
+    p = packs.pack(_corridors(s, d), _sources(s, d))
     return p.segments.select("objective", "path", C("place").cast("long").alias("place"), F.array_join("evidence", ",").alias("evidence"), "content", F.size("symbols").alias("symbols"))
 
 
 @query("context_omissions_i7", """SELECT 'o' || s_suppkey AS objective, path, reason FROM supplier, (VALUES ('src/gone.js', 'certified file has no text-backed Repository Model facts'), ('pages/1.html', 'certified file has no objective-local symbol anchor; exhaustive file source remains hidden')) t(path, reason)
 WHERE path = 'src/gone.js' OR EXISTS (SELECT 1 FROM part WHERE p_partkey = 1)""")
 def _(s, d):
-    return packs.pack(_corridors(s, d), _model(s, d)).omissions
+    return packs.pack(_corridors(s, d), _sources(s, d)).omissions
 
 
 @query("context_resumed_i7", "SELECT 'doc-' || doc_id AS objective, sha256(text) AS sha, length(text) > 4000 OR (len(string_split(text, chr(10))) > 120 AND length(array_to_string(string_split(text, chr(10))[1:120], chr(10))) + 1 < length(text)) AS truncated FROM documents WHERE text IS NOT NULL")
@@ -290,7 +296,9 @@ UNION ALL SELECT 'gap', 'move source does not exist: src/none', NULL, NULL, NULL
 def _(s, d):
     # a directory goes elsewhere, a page onto another one, and something that isn't there
     moved = s.createDataFrame([(0, "./src/m0", MOVES), (1, "pages/1.html", "/pages/11.html"), (2, "src/none", "x")], "pos int, source string, target string")
-    p = moves.plan(_model(s, d), moved)
+    files = T.programs(s, d)
+    refs = Rounds(s).save(facts.resolve(facts.dependencies(files), files).where("to is not null").withColumnRenamed("file", "from"))
+    p = moves.plan({"files": files, "dependencies": refs}, moved)
     none = lambda n, t="string": F.lit(None).cast(t).alias(n)
     out = p.rewrites.select(F.lit("rewrite").alias("row"), "path", "old", "new", "occurrences").unionByName(p.moved.select(F.lit("moved").alias("row"), "path", none("old"), C("new_path").alias("new"), none("occurrences", "int")))
     return out.unionByName(p.gaps.select(F.lit("gap").alias("row"), C("gap").alias("path"), none("old"), none("new"), none("occurrences", "int")))
