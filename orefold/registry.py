@@ -371,4 +371,4 @@ def _(s, d):
     return runs.windowed_counts(T.table(s, d, "events"), "ts", "event_type")
 
 
-from orefold import atlas_queries, case_queries, column_queries, contract_queries, dataflow_queries, diagnostic_queries, linkage_queries, planning_queries, policy_queries, source_queries  # noqa: E402, F401  - add their queries to QUERIES and ORACLES
+from orefold import archive_queries, atlas_queries, case_queries, column_queries, contract_queries, dataflow_queries, diagnostic_queries, linkage_queries, planning_queries, policy_queries, source_queries  # noqa: E402, F401  - add their queries to QUERIES and ORACLES
