@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orefold.functions import paths
+from orefold.functions import paths, text
 from orefold.operators.ranking import top_k
 
 # Fixed values (L10): words in a stage's name and the class of its failure, the first match counts.
@@ -69,7 +69,7 @@ def structural_findings(changes: DataFrame, most: int) -> DataFrame:
     """
     path, after = F.col("path"), F.col("after")
     bad = path.isNull() | (path == "") | path.rlike(r"^/|^[A-Za-z]:|\\|(^|/)\.\.(/|$)") | (F.instr(path, "\0") > 0)
-    json = F.lower(path).endswith(".json") & after.isNotNull() & F.try_parse_json(after).isNull()
+    json = F.lower(path).endswith(".json") & after.isNotNull() & ~text.is_json(after)
     rows = changes.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("before", "after")))
     code = lambda when, name, severity: F.when(when, F.struct(F.lit(name).alias("code"), F.lit(severity).alias("severity")))
     found = F.array_compact(F.array(

@@ -70,6 +70,15 @@ def test_edits_apply_in_order(spark):
     assert got == {"a": ("w y w", 2), "b": ("", 1)}
 
 
+def test_json_is_the_whole_text(spark):
+    good = ['{"a": 1, "a": 2}', " [null] ", "1e999", '""', "-0", '{"a": {"b": [1]}}']
+    bad = ["", " ", "12 more words", "{} {}", "1],[2", "1, 2", '1}, "b": {"c": 2', '1, "b": 2', "[1,]", "NaN", "{'a': 1}", "{a: 1}", '"\t"', "01"]
+    rows = spark.createDataFrame([("a.json", None, v) for v in good + bad], "path string, before string, after string")
+    assert {r.after: r.ok for r in rows.select("after", text.is_json(F.col("after")).alias("ok")).collect()} == dict.fromkeys(good, True) | dict.fromkeys(bad, False)
+    found = validation.structural_findings(rows.where("after like '12%'"), 100)
+    assert [r.code for r in found.collect()] == ["INVALID_JSON"]
+
+
 def test_structural_findings(spark):
     rows = [("a.json", None, "{"), ("/abs", "x", "x"), ("ok.md", "a", "b\0"), ("ok2.md", "a", None), ("a\\b", "a", "=======\n"), ("c", "a", ">>>>>>> x")]
     got = {(r.path, r.code) for r in validation.structural_findings(spark.createDataFrame(rows, "path string, before string, after string"), 100).collect()}
