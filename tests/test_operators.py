@@ -271,3 +271,13 @@ def test_chunks():
     assert _cut("") == [("", 1, 1, False)]
     assert [(len(p), a, b, c) for p, a, b, c in _cut("x" * 9000)] == [(4000, 1, 1, False), (4000, 1, 1, True), (1000, 1, 1, True)]
     assert [(len(p), a, b, c) for p, a, b, c in _cut("\n" * 250)] == [(120, 1, 120, False), (120, 121, 240, False), (10, 241, 250, False)]
+
+
+def test_facts_are_found_once_a_text(spark):
+    """No filter repeats the search for matches, and few blocks of a small table are work for all tasks."""
+    from orefold.sources import testdata
+    files = testdata.programs(spark, "/root/testdata/sf0.001")
+    for found in (facts.effects, facts.states):
+        plan = found(files)._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.split("\n") if "Filter" in line and "aggregate(" in line]
+    assert testdata.programs(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
