@@ -281,3 +281,19 @@ def test_facts_are_found_once_a_text(spark):
         plan = found(files)._jdf.queryExecution().optimizedPlan().toString()
         assert not [line for line in plan.split("\n") if "Filter" in line and "aggregate(" in line]
     assert testdata.programs(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_crossings_are_counted_without_pairs(spark):
+    from orefold.operators import linking
+    rng = random.Random(7)
+    for case in range(4):
+        side = lambda n: [(rng.choice([f"n{i}" for i in range(12)] + [None]), rng.choice("abcde") if rng.random() < 0.9 else None) for _ in range(n)]
+        p, c = side(20 * (case > 0)), [("n1", "z"), *side(25)]
+        rows = lambda rows, name: spark.createDataFrame(rows, f"{name} string, contract string")
+        p = [*p, ("n1", "z")] if case > 1 else p
+        pairs = {(x, y) for x, k in c for y, m in p if None not in (x, y, k) and k == m and x != y}
+        got = linking.crossing_counts(rows(p, "provider"), rows(c, "consumer"), "contract")
+        assert [tuple(r) for r in got.select("edges", "consumers", "providers").collect()] == [(len(pairs), len({x for x, _ in pairs}), len({y for _, y in pairs}))]
+    # sixteen million pairs of one contract are no rows
+    many = spark.range(4000).select(F.col("id").cast("string").alias("consumer"), F.lit("k").alias("contract"))
+    assert tuple(linking.crossing_counts(many.withColumnRenamed("consumer", "provider"), many, "contract").select("edges", "consumers", "providers").first()) == (4000 * 3999, 4000, 4000)
