@@ -297,3 +297,17 @@ def test_crossings_are_counted_without_pairs(spark):
     # sixteen million pairs of one contract are no rows
     many = spark.range(4000).select(F.col("id").cast("string").alias("consumer"), F.lit("k").alias("contract"))
     assert tuple(linking.crossing_counts(many.withColumnRenamed("consumer", "provider"), many, "contract").select("edges", "consumers", "providers").first()) == (4000 * 3999, 4000, 4000)
+
+
+def test_either_lists_each_pair_once(spark):
+    from orefold.operators import linking
+    rng = random.Random(3)
+    for ids in (10**6, 8):  # rows told apart by their ids, and repeated ones
+        side = lambda n: [(rng.randrange(ids), rng.choice("ab"), rng.choice([1, 2, 3, None]), rng.choice([1, 2, None])) for _ in range(n)]
+        a, b = side(30), side(25)
+        got = linking.either(*[spark.createDataFrame(r, f"{k} int, file string, symbol int, line int") for r, k in ((a, "x"), (b, "y"))], ["file"], ["symbol", "line"], ["x", "y"])
+        want = {(x[0], y[0]) for x in a for y in b if x[1] == y[1] and any(u == v is not None for u, v in zip(x[2:], y[2:]))}
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+        # told apart: pairs leave the joins as they are
+        root = got._jdf.queryExecution().optimizedPlan().nodeName()
+        assert (root == "Aggregate") == (ids == 8)
