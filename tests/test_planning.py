@@ -174,3 +174,18 @@ def test_projections_of_odd_rows(spark):
     assert projections.best(rows.limit(0), ["id"], F.lit(1), said, asked, 10, None, 2, "pos").collect() == []
     segments = spark.createDataFrame([("o", 1, "p", None, None, None, None, None), ("o", 2, "two", ["n"], ["e"], 1, 0, 9)], "objective string, place int, path string, names array<string>, evidence array<string>, contracts int, runtime int, consumers int")
     assert [(r.place, r.score, r.gain) for r in projections.grants(segments, asked).orderBy("rank").collect()] == [(2, 8 + 4 + 6 + 12, "medium"), (1, 0, "low")]
+
+
+def test_tables_of_substrings_hold_answers(spark, monkeypatch):
+    """What is stored on the way grows with the words and the answer: not with grams of whole texts, nor with words that share a gram."""
+    sizes = []
+    save = Rounds.save
+    monkeypatch.setattr(Rounds, "save", lambda self, df, *old: (out := save(self, df, *old), sizes.append(out.count()))[0])
+    numbers = [f"fun{i}" for i in range(300)]
+    texts = spark.createDataFrame([(i, " ".join(numbers)) for i in range(50)], "id int, text string")
+    terms = [f"n{i}" for i in range(0, 300, 10)]
+    got = substrings.containing(texts, spark.createDataFrame([(t,) for t in [*terms, "un29 fun30", "un28 fun30"]], "term string"), ["id"])
+    assert sorted(map(tuple, got.collect())) == sorted((i, t) for i in range(50) for t in [*terms, "un29 fun30"])
+    assert max(sizes) == 50 * 31
+    words = [f"{'long' * 3000}{i}x" for i in range(3)]  # pieces of one word
+    assert sorted(map(tuple, substrings.containing(spark.createDataFrame([(0, words[1])], "id int, text string"), spark.createDataFrame([(w,) for w in [*words, "glong1x", "longlonglonglong", "g1x", "g2x"]], "term string"), ["id"]).collect())) == sorted((0, t) for t in [words[1], "glong1x", "longlonglonglong", "g1x"] if t in words[1])
