@@ -218,8 +218,8 @@ def _mapped(s, d):
     corridor_ = cust.where("c_custkey % 50 = 0").select(C("c_mktsegment").alias("objective"), key("n", "c_nationkey").alias("path")).distinct()
     ct = sup.select(C("s_suppkey").alias("pos"), key("k", "s_suppkey").alias("id"), F.lit("supplier").alias("kind"), C("s_name").alias("name"), F.when(C("s_suppkey") % 9 != 0, key("n", "s_nationkey")).alias("file"), C("s_name").alias("symbol"),
                     F.when(C("s_suppkey") % 4 == 0, "native-authoritative").otherwise("resolved").alias("verification"), F.when(C("s_suppkey") % 17 == 0, "native-conflict").otherwise("repository-only").alias("reconciliation"), F.array().cast("array<string>").alias("refs"), "s_nationkey")
-    near = cust.select(((C("c_nationkey") + 24) % 25).cast("int").alias("at"), "c_custkey", "c_nationkey")
-    cs = ct.select("id", C("s_nationkey").cast("int").alias("at")).join(near, "at").select("id", C("c_custkey").alias("n"), key("n", "c_nationkey").alias("file"), key("c", "c_custkey").alias("symbol"))
+    # a nation's suppliers share their consumers: the customers of the next nation
+    cs = cust.select(((C("c_nationkey") + 24) % 25).cast("int").alias("class"), C("c_custkey").alias("n"), key("n", "c_nationkey").alias("file"), key("c", "c_custkey").alias("symbol"))
     ev = T.table(s, d, "lineitem").select(key("k", "l_suppkey").alias("id"), C("l_partkey").alias("n"), F.lit("part").alias("kind"), F.lit("f").alias("file"), C("l_partkey").alias("line"), key("nation-", "l_partkey").alias("summary")).distinct()
     return terms, corridor_, ct, cs, ev
 
@@ -229,7 +229,8 @@ ne AS (SELECT id, count(*) AS n, string_agg(summary, ',' ORDER BY n) FILTER (i <
 SELECT objective, rank, r.id, score::INT AS score, coalesce(nc.first, '') AS consumers, coalesce(nc.n, 0) AS consumers_count, coalesce(nc.n, 0) > 8 AS consumers_truncated, coalesce(ne.first, '') AS evidence, coalesce(ne.n, 0) AS evidence_count FROM r LEFT JOIN nc ON nc.id = r.id LEFT JOIN ne ON ne.id = r.id""")
 def _(s, d):
     terms, at, ct, cs, ev = _mapped(s, d)
-    p = projections.contract_map(terms, at, ct, cs, ev, ev.select("id", "n", "kind", "summary").limit(0))
+    sides = ct.select("id", C("s_nationkey").cast("int").alias("class"))
+    p = projections.contract_map(terms, at, ct, cs, ev, ev.select("id", "n", "kind", "summary").limit(0), sides)
     return p.select("objective", "rank", "id", "score", F.array_join(F.transform("consumers", lambda c: c["symbol"]), ",").alias("consumers"), "consumers_count", "consumers_truncated", F.array_join(F.transform("evidence", lambda e: e["summary"]), ",").alias("evidence"), "evidence_count")
 
 

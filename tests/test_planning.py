@@ -189,3 +189,19 @@ def test_tables_of_substrings_hold_answers(spark, monkeypatch):
     assert max(sizes) == 50 * 31
     words = [f"{'long' * 3000}{i}x" for i in range(3)]  # pieces of one word
     assert sorted(map(tuple, substrings.containing(spark.createDataFrame([(0, words[1])], "id int, text string"), spark.createDataFrame([(w,) for w in [*words, "glong1x", "longlonglonglong", "g1x", "g2x"]], "term string"), ["id"]).collect())) == sorted((0, t) for t in [words[1], "glong1x", "longlonglonglong", "g1x"] if t in words[1])
+
+
+def test_consumers_of_a_class_are_those_of_each_contract(spark):
+    contracts = spark.createDataFrame([(i, f"k{i}", "kind", f"name{i}", f"n{i % 2}" if i % 3 else None, "s", "resolved", "repository-only", []) for i in range(20)], "pos int, id string, kind string, name string, file string, symbol string, verification string, reconciliation string, refs array<string>")
+    shared = [(c, i, f"n{i % 4}", f"c{c}x{i}") for c in range(3) for i in range(11 - c)]
+    sides = [(f"k{i}", i % 4) for i in range(20)]  # class 3 has no consumers
+    listed = [(k, i, f, y) for k, c in sides for c2, i, f, y in shared if c == c2]
+    evidence = spark.createDataFrame([("k1", 1, "part", "f", 1, "Told")], "id string, n int, kind string, file string, line int, summary string")
+    terms = spark.createDataFrame([("o", "c1x1"), ("o", "name1"), ("o", "told"), ("p", "n3 c0x3"), ("q", None)], "objective string, term string")
+    at = spark.createDataFrame([("o", "n1"), ("p", "n0")], "objective string, path string")
+    few = evidence.select("id", "n", "kind", "summary").limit(0)
+    by_id = projections.contract_map(terms, at, contracts, spark.createDataFrame(listed, "id string, n int, file string, symbol string"), evidence, few)
+    by_class = projections.contract_map(terms, at, contracts, spark.createDataFrame(shared, "class int, n int, file string, symbol string"), evidence, few, spark.createDataFrame(sides, "id string, class int"))
+    assert sorted(map(str, by_class.collect())) == sorted(map(str, by_id.select(by_class.columns).collect())) and by_class.count() == 36
+    first = by_class.where("objective = 'o' and rank = 1").first()
+    assert (first.id, first.score, first.consumers_count, first.evidence_count) == ("k1", 1 + 300 + 3 * 100 + 10 * 3, 10, 1)
