@@ -311,3 +311,17 @@ def test_either_lists_each_pair_once(spark):
         # told apart: pairs leave the joins as they are
         root = got._jdf.queryExecution().optimizedPlan().nodeName()
         assert (root == "Aggregate") == (ids == 8)
+
+
+def test_references_are_found_once_when_resolved(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(x):
+        seen.add(1)
+        return x
+
+    refs = spark.createDataFrame([("a/x.js", s, i) for i, s in enumerate(["./b.js", "./b.js", "./none.js", "lib", "", None, "/a/b.js"])], "file string, specifier string, line int").repartition(2)
+    refs = refs.withColumn("specifier", F.udf(noted, "string")("specifier"))
+    got = facts.resolve(refs, spark.createDataFrame([("a/b.js",), ("a/b.js",), (None,)], "path string")).select("line", "specifier", "to", "external").collect()
+    assert sorted(map(tuple, got)) == [(0, "./b.js", "a/b.js", False), (1, "./b.js", "a/b.js", False), (2, "./none.js", None, False), (3, "lib", None, True), (4, "", None, False), (5, None, None, None), (6, "/a/b.js", "a/b.js", False)]
+    assert seen.value == 7
