@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from orefold.functions import paths, text
+from orefold.functions import paths, source, text
+from orefold.operators import facts
 from orefold.plans import policy
 
 C = F.col
@@ -57,3 +58,26 @@ def test_compact_json_b51(spark):
         ('{"b": [1, 2.5, true, null, "x", [], {}, -7, 9], "a": {"d": {"e": {"f": 1}, "g": [1, [2, 3]]}}}', '{"a":{"d":{"e":"[object]","g":"[2 items]"}},"b":[1,2.5,true,null,"x",[],{},-7]}'),
         ("[[[[1, 2]]], [[{}]]]", '[[["[2 items]"]],[["[object]"]]]'), ('"a\\"b\\n"', '"a\\"b\\n"'), (f'"{long}"', f'"{long[:240]}…"'), ("null", "null"), ("7", "7"), ("no json", None), (None, None),
         ("{" + ",".join(f'"k{i:02}": {i}' for i in reversed(range(12))) + "}", "{" + ",".join(f'"k{i:02}":{i}' for i in range(10)) + "}"), ('{"q\\"": {"x": 1}}', '{"q\\"":{"x":1}}')])
+
+
+def test_matches_of_long_and_odd_texts_b21(spark):
+    """An import of very many lines, texts without any word that a pattern needs, nulls, comments of several lines, groups that take no part."""
+    far = 'import {\n' + "a,\n" * 40_000 + '} from "far";'
+    rows = [(1, far, True), (2, "", True), (3, None, True), (4, "/* é\nfunction no() {} */ x\n\n  export class A {}\nlet b = '// \\' const c';", True), (5, "class A {}", False), (6, "let a = 1\rlet b = 2\nlet c = 3", None)]
+    df = spark.createDataFrame(rows, "i int, t string, code boolean")
+    found = source.all_matches(C("t"), facts.REFERENCES, facts.SYMBOLS, C("code"))
+    got = {r.i: [(m.kind, m.line, m.a, m.b, m.c) for m in r.m] for r in df.select("i", found.alias("m")).collect()}
+    assert got == {1: [("import", 1, "far", None, None)], 2: [], 3: [], 4: [("class", 2, "export ", "A", None), ("variable", 4, "", "b", None)], 5: [], 6: []}
+    blank = df.where("i = 4").select(source.blank_comments(C("t"))).first()[0]
+    assert blank.split("\n")[:2] == ["    ", " " * 19 + " x"] and blank.endswith("let b = '// \\' const c';")
+
+
+def test_words_that_patterns_need(spark):
+    """What a pattern matches holds one of its words, so skipping texts without them skips no match."""
+    hits = {"foundry-document": "actor.update(", "embedded-documents": "deleteEmbeddedDocuments (", "settings": "game.settings.register(", "hooks": "Hooks.on(Hooks.call(Hooks.off(", "chat-output": "ChatMessage.create(", "notifications": "ui.notifications.warn(",
+            "canvas-token": "canvas.tokens.x.release(", "application-lifecycle": "app.close(", "native-execution": "rollNativeX(", "network-request": "axios.put(", "timer": "queueMicrotask(", "event-emission": "a.emit("}
+    files = spark.createDataFrame([(f"{k}.txt", v) for k, v in hits.items()], "path string, text string")
+    got = {(r.file, r.kind) for r in facts.effects(files).collect()}
+    assert {(f"{k}.txt", k) for k in hits} <= got and ("embedded-documents.txt", "foundry-document") not in got
+    said = spark.createDataFrame([("a.txt", "a.unsetFlag(x, y) game.settings.get(p, q) sessionStorage.getItem(z) globalThis.b = 1; flags.m.k")], "path string, text string")
+    assert {r.kind for r in facts.states(said).collect()} == {p[0] for p in facts.STATES}
