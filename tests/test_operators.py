@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orefold.functions import paths, text
 from orefold.operators import facts, graph, joins, rollups
-from orefold.plans import validation, walks
+from orefold.plans import corridor, validation, walks
 from orefold.sources import snapshot
 
 
@@ -110,6 +110,34 @@ def test_levels_of_cyclic_graphs_match_a_plain_computation(spark, monkeypatch, f
         assert {r.node: r.component for r in graph.strong_components(edges).collect()} == several
 
 
+def test_long_ways_take_few_rounds(spark, monkeypatch):
+    saved, save = [], graph.Rounds.save
+    monkeypatch.setattr(graph.Rounds, "save", lambda self, df, *old: saved.append(1) or save(self, df, *old))
+    # a chain without a cycle, and a ring that another chain leaves for a pair
+    pairs = [(f"c{i}", f"c{i + 1}") for i in range(400)] + [(f"r{i}", f"r{(i + 1) % 90}") for i in range(90)] + [("r7", "x1"), ("x1", "x2"), ("x2", "y1"), ("y1", "y2"), ("y2", "y1"), ("y1", "z")]
+    found = graph.strong_components(spark.createDataFrame(pairs, "from string, to string"), few=40)
+    assert {r.node: r.component for r in found.collect()} == {f"r{i}": "r9" for i in range(90)} | {"y1": "y2", "y2": "y2"}
+    assert len(saved) < 60  # a round a node would be hundreds
+
+
+def test_rounds_send_no_table_to_the_driver(spark, monkeypatch):
+    plans, save = [], graph.Rounds.save
+    monkeypatch.setattr(graph.Rounds, "save", lambda self, df, *old: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(self, df, *old))
+    monkeypatch.setattr(graph, "FEW_EDGES", 0)
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e")], "from string, to string")
+    files = spark.createDataFrame([(p,) for p in "abcde"], "path string")
+    rows = {r.path: (r.phase, r.cyclic) for r in corridor.stages(files, edges).collect()}
+    assert rows == {"a": (3, True), "b": (3, True), "c": (3, True), "d": (2, False), "e": (1, False)}
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_models_make_only_what_is_asked_for(spark):
+    made = []
+    m = facts.model(spark.createDataFrame([("a.js", 'import "./b.js";'), ("b.js", "")], "path string, text string"), keep=lambda t: made.append(t) or t)
+    assert m["dependencies"].count() == 1 and m["references"].count() == 1 and len(made) == 1
+    assert set(m) == {"files", "references", "dependencies", "unresolved", "symbols", "effects", "runtime_nodes", "runtime_edges", "states"}
+
+
 def test_levels_of_a_long_chain(spark):
     edges = spark.range(10_000).selectExpr("cast(id as string) as `from`", "cast(id + 1 as string) as `to`")
     assert {int(r.node): r.level for r in graph.levels(edges).collect()} == {i: 10_000 - i for i in range(10_001)}
