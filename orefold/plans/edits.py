@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,19 +45,19 @@ def guards(edits: DataFrame, files: DataFrame, allowed: DataFrame | None = None)
     return e.select("seq", F.explode(codes).alias("code"))
 
 
-def _apply(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The edits of one group of paths, in order, over its files (rows without seq); the first that can't be applied ends the group."""
-    base = {r.path: r.text for r in pdf[pdf["seq"].isna()].itertuples() if isinstance(r.text, str)}
+def _apply(rows: list) -> list[tuple]:
+    """The edits of one group of paths, in order, over its files (rows without type); the first that can't be applied ends the group."""
+    base = {r.path: r.text for r in rows if r.type is None and r.text is not None}
     now, error = dict(base), None
-    for e in pdf[pdf["seq"].notna()].sort_values("seq").itertuples():
+    for e in sorted((r for r in rows if r.type is not None), key=lambda r: r.seq):
         text = now.get(e.path)
         if e.type == "create_file":
             now[e.path] = e.content
         elif text is None:
-            error = f"{int(e.seq)}: missing"
+            error = f"{e.seq}: missing"
         elif e.type == "move_file":
             if e.to in now:
-                error = f"{int(e.seq)}: destination exists"
+                error = f"{e.seq}: destination exists"
             else:
                 now[e.to] = now.pop(e.path)
         elif e.type == "remove_file":
@@ -62,28 +65,39 @@ def _apply(pdf: pd.DataFrame) -> pd.DataFrame:
         elif e.type == "replace_file":
             now[e.path] = e.content
         elif text.count(e.search) != e.times:
-            error = f"{int(e.seq)}: found {text.count(e.search)} times"
+            error = f"{e.seq}: found {text.count(e.search)} times"
         else:
             put = {"replace_exact": e.content, "insert_before_exact": f"{e.content}{e.search}", "insert_after_exact": f"{e.search}{e.content}", "delete_exact": ""}[e.type]
             now[e.path] = text.replace(e.search, put)
         if error:
             break
-    names = sorted(base.keys() | now.keys())
-    return pd.DataFrame({"path": names, "before": [base.get(p) for p in names], "after": [now.get(p) for p in names], "error": error}, columns=["path", "before", "after", "error"])
+    return [(p, base.get(p), now.get(p), error) for p in sorted(base.keys() | now.keys())]
+
+
+def _applied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What each group's edits make of its files; rows come in order of groups, and a task holds one at a time."""
+    every = (r for f in frames for r in f.itertuples(index=False, name="Row"))
+    done: list[tuple] = []
+    for _, group in groupby(every, key=lambda r: r.g):
+        done += _apply(list(group))
+        if len(done) > 1000:
+            yield pd.DataFrame(done, columns=["path", "before", "after", "error"], dtype=object)
+            done = []
+    yield pd.DataFrame(done, columns=["path", "before", "after", "error"], dtype=object)
 
 
 def stage(files: DataFrame, edits: DataFrame) -> DataFrame:
     """(path, before, after, kind, error) of the files that normalized edits change, and of groups in which an edit fails.
 
     Edits of one path keep their order; moves couple two paths. So paths are grouped by the moves between them, and each
-    group's edits are applied in one task, over its own files alone. Nothing of a failed group counts.
+    group's edits are applied in one task, over its own files alone; a task takes its groups from one sorted stream. Nothing of a failed group counts.
     """
     couples = edits.where("type = 'move_file'").select(F.col("path").alias("from"), "to")
     group = graph.components(couples).withColumnsRenamed({"node": "path", "component": "g"})
     touched = edits.select("path").union(edits.where("type = 'move_file'").select("to")).distinct().join(group, "path", "left").select("path", F.coalesce("g", "path").alias("g"))
-    ops = edits.join(touched, "path").select("g", "seq", "type", "path", "to", "search", "content", "times", F.lit(None).cast("string").alias("text"))
-    own = files.select("path", "text").join(touched, "path").select("g", F.lit(None).cast("long").alias("seq"), *[F.lit(None).cast("string").alias(c) if c != "path" else F.col("path") for c in ("type", "path", "to", "search", "content")], F.lit(None).cast("int").alias("times"), "text")
-    done = ops.unionByName(own).groupBy("g").applyInPandas(_apply, "path string, before string, after string, error string")
+    ops = edits.join(touched, "path").select("g", "seq", F.coalesce("type", F.lit("")).alias("type"), "path", "to", "search", "content", "times", F.lit(None).cast("string").alias("text"))
+    own = files.select("path", "text").join(touched, "path").select("g", F.lit(0).cast("long").alias("seq"), *[F.lit(None).cast("string").alias(c) if c != "path" else F.col("path") for c in ("type", "path", "to", "search", "content")], F.lit(0).alias("times"), "text")
+    done = ops.unionByName(own).repartition("g").sortWithinPartitions("g").mapInPandas(_applied, "path string, before string, after string, error string")
     kind = F.when(F.col("before").isNull(), "create").when(F.col("after").isNull(), "delete").otherwise("modify")
     return done.where(~F.col("before").eqNullSafe(F.col("after")) | F.col("error").isNotNull()).withColumn("kind", kind)
 

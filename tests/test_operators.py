@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orefold.functions import paths, text
 from orefold.operators import facts, graph, joins, rollups
-from orefold.plans import corridor, validation, walks
+from orefold.plans import corridor, edits, validation, walks
 from orefold.sources import snapshot
 
 
@@ -138,6 +138,13 @@ def test_models_make_only_what_is_asked_for(spark):
     assert set(m) == {"files", "references", "dependencies", "unresolved", "symbols", "effects", "runtime_nodes", "runtime_edges", "states"}
 
 
+def test_failed_edits_are_named_by_their_whole_number(spark):
+    e = spark.createDataFrame([(2**53 + 1, "replace_exact", "a", None, "x", "y", None, None), (2**53 + 2, "remove_file", "b", None, None, None, None, None)], edits.COLUMNS)
+    files = spark.createDataFrame([("a", "z"), ("b", "w")], "path string, text string")
+    got = {r.path: (r.after, r.kind, r.error) for r in edits.stage(files, edits.normalized(e)).collect()}
+    assert got == {"a": ("z", "modify", f"{2**53 + 1}: found 0 times"), "b": (None, "delete", None)}
+
+
 def test_levels_of_a_long_chain(spark):
     edges = spark.range(10_000).selectExpr("cast(id as string) as `from`", "cast(id + 1 as string) as `to`")
     assert {int(r.node): r.level for r in graph.levels(edges).collect()} == {i: 10_000 - i for i in range(10_001)}
