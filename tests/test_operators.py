@@ -145,6 +145,12 @@ def test_failed_edits_are_named_by_their_whole_number(spark):
     assert got == {"a": ("z", "modify", f"{2**53 + 1}: found 0 times"), "b": (None, "delete", None)}
 
 
+def test_group_keys_are_found_once(spark):
+    rows = spark.createDataFrame([("Feature_parse-tokens now",), ("the.",), ("a-b",)], "t string").select(text.group_key(F.col("t")).alias("key"))
+    assert [r.key for r in rows.collect()] == ["parse-tokens", "misc", "misc"]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("array_join") == 1
+
+
 def test_levels_of_a_long_chain(spark):
     edges = spark.range(10_000).selectExpr("cast(id as string) as `from`", "cast(id + 1 as string) as `to`")
     assert {int(r.node): r.level for r in graph.levels(edges).collect()} == {i: 10_000 - i for i in range(10_001)}
