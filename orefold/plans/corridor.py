@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from orefold.functions import text
 from orefold.operators import graph, ranking, substrings
 
-#: Weights of what may hold a term (I1): a file's path, symbols, effects, states, references, and the first TEXT characters of its text.
+#: Weights of what may hold a term (I1): a file's path, symbols, effects, states, references, and its whole text.
 WEIGHTS = {"path": 6, "symbols": 5, "effects": 4, "states": 4, "references": 2, "text": 1}
-TEXT = 24_000
 
 
 def clauses_of(spark: SparkSession, objective: str, stop: Sequence[str] = text.PLAN_STOP) -> list[tuple[str, str, list[str]]]:
@@ -27,7 +26,7 @@ def haystacks(m: Mapping[str, DataFrame]) -> DataFrame:
     """(path, h_<field>..., incoming, outgoing): the normalized texts of each file's fields, and its degrees."""
     joined = lambda rows, *cols: rows.groupBy(F.col("file").alias("path")).agg(F.concat_ws(" ", F.collect_list(F.concat_ws(" ", *cols))).alias("h"))
     own = {"symbols": joined(m["symbols"], "name"), "effects": joined(m["effects"], "kind", "detail", "symbol"), "states": joined(m["states"], "namespace", "key", "operation"), "references": joined(m["references"], "specifier")}
-    out = m["files"].where("text is not null").select("path", text.normalize(F.col("path")).alias("h_path"), text.normalize(F.substring("text", 1, TEXT)).alias("h_text"))
+    out = m["files"].where("text is not null").select("path", text.normalize(F.col("path")).alias("h_path"), text.normalize(F.col("text")).alias("h_text"))
     for name, rows in own.items():
         out = out.join(rows.select("path", text.normalize(F.col("h")).alias(f"h_{name}")), "path", "left")
     e = m["dependencies"]

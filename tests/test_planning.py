@@ -26,6 +26,16 @@ def test_texts_hold_terms(spark, monkeypatch):
     assert substrings.containing(frame, spark.createDataFrame([("",)], "term string"), ["id"]).collect() == [] == substrings.containing(frame.limit(0), spark.createDataFrame([("a",)], "term string"), ["id"]).collect()
 
 
+def test_a_term_counts_wherever_a_text_holds_it(spark):
+    files = spark.createDataFrame([("a.js", "x" * 30_000 + " settings"), ("b.js", "x" * 30_000), ("c.js", "settings"), ("d.js", None)], "path string, text string")
+    none = lambda cols: spark.createDataFrame([], ", ".join(f"{c} string" for c in cols.split()))
+    model = {"files": files, "symbols": none("file name"), "effects": none("file kind detail symbol"), "states": none("file namespace key operation"), "references": none("file specifier"), "dependencies": none("from to")}
+    stacks = corridor.haystacks(model)
+    assert {r.path: r.score for r in corridor.scores(stacks, ["settings"]).collect()} == {"a.js": 2, "b.js": 0, "c.js": 2}
+    clauses = spark.createDataFrame([("c1", "settings")], "clause string, term string")
+    assert {r.path: r.score for r in corridor.clause_scores(stacks, clauses, keep=Rounds(spark).save).collect()} == {"a.js": 2, "b.js": 0, "c.js": 2}
+
+
 def test_clause_scores_match_plain_scores(spark):
     """Scores of several clauses at once, with all evidence, against a loop over files and terms."""
     rng = random.Random(4)
