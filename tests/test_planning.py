@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orefold.operators import substrings
 from orefold.operators.graph import Rounds
-from orefold.plans import corridor, packs, probes, projections
+from orefold.plans import contracts, corridor, packs, probes, projections
 
 
 def test_texts_hold_terms(spark, monkeypatch):
@@ -215,3 +215,17 @@ def test_consumers_of_a_class_are_those_of_each_contract(spark):
     assert sorted(map(str, by_class.collect())) == sorted(map(str, by_id.select(by_class.columns).collect())) and by_class.count() == 36
     first = by_class.where("objective = 'o' and rank = 1").first()
     assert (first.id, first.score, first.consumers_count, first.evidence_count) == ("k1", 1 + 300 + 3 * 100 + 10 * 3, 10, 1)
+
+
+def test_native_entries_of_a_name_match_all_its_contracts_once(spark):
+    """By name as by pairs, without a row for each pair: a name of 3000 contracts and 3000 entries makes 9 million."""
+    contract = lambda i, name: (f"k{i}", name, "resolved", "repository-only")
+    frame = spark.createDataFrame([contract(0, "a"), contract(1, "a"), contract(2, "b"), contract(3, "c"), contract(4, None), contract(5, "d")], "id string, name string, verification string, reconciliation string")
+    entries = spark.createDataFrame([("a", 1, None), ("a", 2, None), ("a", 2, None), ("b", 3, "parameters"), ("b", 4, None), (None, 5, None), ("d", None, None)], "name string, native_id int, conflict string")
+    got = {r.id: (r.reconciliation, r.verification, r.refs) for r in contracts.reconciled_by(frame, entries).collect()}
+    pairs = contracts.reconciled(frame, frame.select("id", "name").join(entries, "name"))
+    assert got == {r.id: (r.reconciliation, r.verification, None if r.refs is None else len(r.refs)) for r in pairs.collect()} and len(got) == 6
+    many = spark.range(3000).select(F.lit("n").alias("name"), F.col("id").alias("native_id"), F.lit(None).cast("string").alias("conflict"))
+    hot = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.lit("n").alias("name"), F.lit("resolved").alias("verification"), F.lit("repository-only").alias("reconciliation"))
+    out = contracts.reconciled_by(hot, many)
+    assert out.count() == 3000 and {r.refs for r in out.select("refs").distinct().collect()} == {3000}
