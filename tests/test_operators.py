@@ -366,3 +366,23 @@ def test_references_are_found_once_when_resolved(spark):
     got = facts.resolve(refs, spark.createDataFrame([("a/b.js",), ("a/b.js",), (None,)], "path string")).select("line", "specifier", "to", "external").collect()
     assert sorted(map(tuple, got)) == [(0, "./b.js", "a/b.js", False), (1, "./b.js", "a/b.js", False), (2, "./none.js", None, False), (3, "lib", None, True), (4, "", None, False), (5, None, None, None), (6, "/a/b.js", "a/b.js", False)]
     assert seen.value == 7
+
+
+def test_walks_ask_for_no_more_than_they_may_take():
+    """A walk that begins with nothing asks, round by round, for nodes and edges within its limits, each edge about once, and ends as with the whole graph."""
+    rng = random.Random(8)
+    out = {i: sorted((f"e{rng.random():.9f}", str(rng.randrange(60)), "x") for _ in range(rng.choice((0, 2, 5, 50)))) for i in map(str, range(50))}
+    node = {i: walks.Node(f"f{int(i) % 7}", "identifier", "x", not out[i], False) for i in out}
+    limits = walks.Limits(nodes=12, edges=40, hops=5, files=6)
+    names = [*out, *map(str, range(50, 60))]
+    whole = walks.Met({i: node.get(i) for i in names}, {i: len(out.get(i, ())) for i in names}, {i: out.get(i, []) for i in names})
+    for start in names:
+        met, wanted, taken, rounds = walks.Met({None: None}, {}, {}), {start: limits.edges + 1}, 0, 0
+        while wanted:
+            assert sum(wanted.values()) <= 2 * limits.edges + len(wanted) and len(wanted) <= limits.edges + 1
+            rounds += 1
+            for i, n in wanted.items():
+                taken += len(out.get(i, [])[:n]) - len(met.out.get(i, ()))
+                met.node[i], met.degree[i], met.out[i] = node.get(i), len(out.get(i, ())), out.get(i, [])[:n]
+            wanted, rows = walks._sliced(walks.Asked("r", start, None), met, limits, False)
+        assert rows == walks._sliced(walks.Asked("r", start, None), whole, limits, False)[1] and rounds <= 10 and taken <= 3 * limits.edges
