@@ -246,6 +246,35 @@ def test_suspected_fields_that_something_mentions(spark):
     assert _traces(spark, nodes, edges, ("send@b.js", None)) == [(["send@b.js", "use@b.js"], "CERTIFIED", "")]
 
 
+def _shuffled(rows):
+    """The names of the columns of each shuffle of a plan."""
+    def walk(node):
+        own = [[node.output().apply(i).name() for i in range(node.output().size())]] if node.nodeName() == "Exchange" else []
+        return own + [x for i in range(node.children().size()) for x in walk(node.children().apply(i))]
+    return walk(rows._jdf.queryExecution().executedPlan().initialPlan())
+
+
+def test_trace_nodes_move_texts_once_and_no_code(spark):
+    files = spark.createDataFrame([("a.js", "function go() {\n  game.settings.set('a', 'b', 1);\n}\n")], "path string, text string")
+    moved = _shuffled(walks.trace_nodes(facts.symbols(files), files, facts.effects(files)))
+    assert any("text" in m for m in moved) and not any("code" in m for m in moved)
+    assert all(set(m) <= {"file", "text"} for m in moved if "text" in m)
+
+
+def test_trace_nodes_of_odd_rows(spark):
+    """Null files, names, lines and texts, a file that comes twice, a symbol named like a module; an effect of no symbol still lies in its file."""
+    files = spark.createDataFrame([("a.js", "function go() {\n  1;\n}\nfunction go() {}\nvar z = msg.id;\n"), ("i.js", "var one = payload.id;\nvar two;"), ("i.js", "var one = payload.id;\nvar two;"), ("n.js", None), (None, "x"), ("e.js", "")], "path string, text string")
+    symbols = spark.createDataFrame([("a.js", "go", 1), ("a.js", "go", 4), ("a.js", "z", 5), ("a.js", None, 5), ("a.js", "gone", None), (None, "go", 1), ("n.js", "go", 1), ("i.js", "one", 1), ("i.js", "two", 2), ("i.js", "<module>", 2), ("x.js", "one", 1)], "file string, name string, line int")
+    effects = spark.createDataFrame([("a.js", "hooks", "go", "entry-point", 2, "s"), ("a.js", "settings", "go", "effect-sink", 3, "s"), ("a.js", "settings", "go", "effect-sink", 1, "unresolved"), ("a.js", "timer", "<module>", "effect-sink", None, "s"), ("a.js", "dialog", "<module>", "integration-boundary", 9, None), ("a.js", "chat", None, "effect-sink", 1, "s"), (None, "chat", "two", "effect-sink", 1, "s")], "file string, kind string, symbol string, node_kind string, line int, reconciliation string")
+    got = sorted((r.node, r.suspects, r.mentioned, r.ends, r.raw) for r in walks.trace_nodes(symbols, files, effects).collect())
+    own = ["<module>:timer", "<module>:dialog"]
+    assert got == sorted([
+        ("<module>@a.js", "", True, ["timer"], ["timer", "dialog", *own]), ("a.js", "message.id", True, [], own), ("go@a.js", "", True, ["settings"], ["settings", "hooks", *own]), ("z@a.js", "message.id", True, [], own),
+        ("<module>@e.js", "", True, [], []), *[("<module>@i.js", "message.id", True, [], [])] * 4, *[("<module>@i.js", "", True, [], [])] * 2, *[("one@i.js", "message.id", False, [], [])] * 2, *[("two@i.js", "", True, [], [])] * 2])
+    idle = walks.trace_nodes(symbols, files, effects.where("false")).collect()
+    assert len(idle) == len(got) and not any(r.mentioned or r.ends or r.raw for r in idle)
+
+
 def test_calls_begin_at_the_first_symbol(spark):
     files = spark.createDataFrame([("a.js", "run ();\nfunction one() {}\nfunction two() { run\n\n  (1); $run(2) }\n"), ("b.js", "function run() {}"), ("c.js", "run(); runner(); re_run()"), ("d.js", None)], "path string, text string")
     got = walks.call_edges(files, facts.symbols(files)).collect()
