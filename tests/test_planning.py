@@ -109,6 +109,46 @@ def test_probes_of_clauses(spark):
     assert none[0].collect() == none[1].collect() == []
 
 
+def test_probes_of_odd_rows(spark):
+    """Files of one slug, ids that come twice in a file, more facts than a clause keeps, null files, lines and details; clauses that share files."""
+    m = {k: spark.createDataFrame([], v[1]) for k, v in FACTS.items()}
+    m["effects"] = spark.createDataFrame([("a/b", "settings", "Old", 1, "s"), ("a-b", "settings", "Mine", 1, "s"), ("a/b", "settings", "New", 1, "s"), ("a/b", "timer", None, 2, None), ("a/b", "hooks", "Late", None, "s"), (None, "settings", "No", 1, "s"), ("q", "settings", "Unasked", 1, "s")], FACTS["effects"][1])
+    m["states"] = spark.createDataFrame([("big", "ns", f"k{i:02}", "read", "get", i) for i in range(30)] + [("big", "ns", "k00", "write", "set", 0), ("big", None, "k00", "read", "get", 0)], FACTS["states"][1])
+    clauses = [("c1", "one", "a/b", ["a-b", "a/b", "", None], True, []), ("c2", "two", "big", ["big", "a-b"], True, None), ("c2", "two", "big", ["big", "a-b"], True, None), ("c03", "three", "a-b", [], True, []), (None, "null", "a-b", [], True, [])]
+    rows, goals = probes.probes(spark.createDataFrame(clauses, "clause string, said string, owner string, path array<string>, complete boolean, terms array<string>"), m)
+    ids = {r.clause: r.probe_ids for r in goals.collect()}
+    assert ids["c1"] == ["effect-a-b-settings-1", "effect-a-b-timer-2", "hook-a-b-hooks"] and ids["c03"] == ["effect-a-b-settings-1"] and ids[None] == [None]
+    assert ids["c2"] == ["effect-a-b-settings-1", "state-big-k00-0", *[f"state-big-ns-k{i:02}-{i}" for i in range(6)]]
+    got = {r.id: (r.clause, r.path, r.label, r.evidence) for r in rows.collect()}
+    assert got["effect-a-b-settings-1"] == ("c03", "a-b", "Mine at a-b:1", {"effectKind": "settings", "symbol": "s", "line": "1"})  # of the longest clause name
+    assert got["effect-a-b-timer-2"] == ("c1", "a/b", None, {"effectKind": "timer", "line": "2"}) and got["hook-a-b-hooks"][2:] == (None, {"effectKind": "hooks", "symbol": "s"})
+    assert got["state-big-ns-k05-5"] == ("c2", "big", "read ns.k05", {"namespace": "ns", "key": "k05", "operation": "get", "line": "5"}) and got["state-big-k00-0"][2] is None
+    alone = {r.id: r.label for r in probes.probes(spark.createDataFrame(clauses[:1], "clause string, said string, owner string, path array<string>, complete boolean, terms array<string>"), m)[0].collect()}
+    assert alone["effect-a-b-settings-1"] == "Old at a/b:1"  # the last by file, line, kind and detail
+
+
+def test_probes_are_chosen_from_bare_facts(spark, monkeypatch):
+    """No shuffle or sort carries the evidence of a probe: tasks hold it only for what they write."""
+    held, save = [], Rounds.save
+
+    def walk(node):
+        if node.nodeName() in ("Exchange", "Sort"):
+            held.extend(node.output().apply(i).dataType().catalogString() for i in range(node.output().size()))
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    def spy(self, df, *old):
+        plan = df._jdf.queryExecution().executedPlan()
+        walk(plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)
+        return save(self, df, *old)
+
+    monkeypatch.setattr(Rounds, "save", spy)
+    m = {k: spark.createDataFrame(*v) for k, v in FACTS.items()}
+    asked = spark.createDataFrame([("clause-1", "go there", "a.js", ["a.js"], True, ["go"])], "clause string, said string, owner string, path array<string>, complete boolean, terms array<string>")
+    assert probes.probes(asked, m)[0].count() == 7
+    assert held and not any("map<" in kind for kind in held)
+
+
 def test_native_hints(spark):
     regions = spark.createDataFrame([("root", "repository"), ("a", "directory"), ("b", "directory"), ("none", "directory")], "region string, kind string")
     paths = spark.createDataFrame([("a", "src/a"), ("a", "lib/a"), ("b", "src/b"), ("b", None), ("root", "zz"), ("none", "")], "region string, path string")
